@@ -1,0 +1,5 @@
+"""Nothing here on purpose: the feature set has no streaming operator.
+
+The row-wise operators (dates, cleaning, water balance) are plain projections, so they also
+accept a streaming DataFrame; the season operators need whole years and stay batch.
+"""
