@@ -13,3 +13,8 @@ def steady_round(value: Column | str, digits: int) -> Column:
     half-even rounding could flip at a tie. Snapping to 9 decimals first removes that noise.
     """
     return F.bround(F.round(value, 9), digits)
+
+
+def steady_sql(aggregate: str, digits: int) -> str:
+    """The same rounding as SQL text."""
+    return f"bround(round({aggregate}, 9), {digits})"

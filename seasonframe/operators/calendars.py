@@ -60,20 +60,28 @@ def with_calendar(df: DataFrame, calendar: DataFrame) -> DataFrame:
         F.broadcast(country_calendar(calendar)), "COUNTRY")
 
 
-def period_predicates() -> dict[str, Column]:
-    """Membership test per period for rows with CAMPAIGN_DEKAD and the stage columns.
+def _plus(stage: str, offset: int) -> str:
+    return f"{stage} {'+' if offset >= 0 else '-'} {abs(offset)}"
+
+
+def period_conditions() -> dict[str, str]:
+    """SQL condition per period for rows with CAMPAIGN_DEKAD and the stage columns.
 
-    A period is cut at the early-season end.
+    A period is cut at the early-season end. Text, because feature specs combine them into
+    dozens of aggregates and one parsed expression is far cheaper to build than nested columns.
     """
     return {
-        name: F.col("CAMPAIGN_DEKAD").between(
-            F.col(start) + lead,
-            F.least(F.col(stop) + tail, F.col("CAMPAIGN_EARLY_SEASON")),
-        )
-        for name, _, (start, lead), (stop, tail) in PERIODS
+        name: f"(CAMPAIGN_DEKAD BETWEEN {_plus(*start)} "
+              f"AND least({_plus(*stop)}, CAMPAIGN_EARLY_SEASON))"
+        for name, _, start, stop in PERIODS
     }
 
 
+def period_predicates() -> dict[str, Column]:
+    """The period conditions as columns."""
+    return {name: F.expr(condition) for name, condition in period_conditions().items()}
+
+
 def calendar_report(calendar: DataFrame, early: bool = False) -> DataFrame:
     """Mean calendar over all regions as rows (PERIOD, DESCRIPTION, START, STOP)."""
     means = calendar.agg(*[steady_round(F.avg(s), 0).alias(s) for s in STAGES])

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import steady_round
-from .calendars import period_predicates, with_calendar
+from ..functions import steady_sql
+from .calendars import period_conditions, with_calendar
 
 KEYS = ("IDREGION", "CAMPAIGN_YEAR")
 SPLIT = "SPLIT"
@@ -55,26 +55,27 @@ def _pairs(columns: Mapping[str, list[str]]):
 
 def _period_columns(spec: FeatureSpec, filled: bool = False):
     """Maximum and average expressions of a spec, for rows that carry their calendar."""
-    inside = period_predicates()
+    inside = period_conditions()
     exprs = {
-        **{f"max{x}{p}": F.bround(F.max(F.when(inside[p], F.col(x))), 2)
+        **{f"max{x}{p}": f"bround(max(CASE WHEN {inside[p]} THEN `{x}` END), 2)"
            for p, x in _pairs(spec.maxima)},
-        **{f"avg{x}{p}": steady_round(F.avg(F.when(inside[p], F.col(x))), 2)
+        **{f"avg{x}{p}": steady_sql(f"avg(CASE WHEN {inside[p]} THEN `{x}` END)", 2)
            for p, x in _pairs(spec.averages)},
     }
-    return [(F.coalesce(e, F.lit(0.0)) if filled else e).alias(n) for n, e in exprs.items()]
+    return [F.expr(f"coalesce({e}, 0D) AS `{n}`" if filled else f"{e} AS `{n}`")
+            for n, e in exprs.items()]
 
 
 def _extreme_columns(spec: FeatureSpec, sigmas=(1, 2)):
-    inside = period_predicates()
+    inside = period_conditions()
     exprs = []
     for p, x in _pairs(spec.extremes):
-        value, mean, spread = F.col(x), F.col(f"_lt_avg{x}{p}"), F.col(f"_lt_std{x}{p}")
+        mean, spread = f"`_lt_avg{x}{p}`", f"`_lt_std{x}{p}`"
         for i in sigmas:
-            exprs.append(F.count_if(inside[p] & (value > mean + i * spread))
-                         .alias(f"{x}{p}gt{i}STD"))
-            exprs.append(F.count_if(inside[p] & (value < mean - i * spread))
-                         .alias(f"{x}{p}lt{i}STD"))
+            for name, beyond in (("gt", f"> {mean} + {i} * {spread}"),
+                                 ("lt", f"< {mean} - {i} * {spread}")):
+                exprs.append(F.expr(
+                    f"count_if({inside[p]} AND `{x}` {beyond}) AS `{x}{p}{name}{i}STD`"))
     return exprs
 
 
@@ -86,12 +87,13 @@ def period_aggregates(df: DataFrame, calendar: DataFrame, spec: FeatureSpec,
 
 def fit_longterm_stats(df: DataFrame, calendar: DataFrame, spec: FeatureSpec) -> DataFrame:
     """Mean and sample deviation per country of every indicator with counted extremes."""
-    inside = period_predicates()
+    inside = period_conditions()
     aggregates = []
     for p, x in _pairs(spec.extremes):
-        value = F.when(inside[p], F.col(x))
-        aggregates += [steady_round(F.avg(value), 2).alias(f"avg{x}{p}"),
-                       steady_round(F.stddev_samp(value), 2).alias(f"std{x}{p}")]
+        value = f"CASE WHEN {inside[p]} THEN `{x}` END"
+        aggregates += [
+            F.expr(f"{steady_sql(f'avg({value})', 2)} AS `avg{x}{p}`"),
+            F.expr(f"{steady_sql(f'stddev_samp({value})', 2)} AS `std{x}{p}`")]
     return with_calendar(df, calendar).groupBy("COUNTRY").agg(*aggregates)
 
 
@@ -144,12 +146,8 @@ def campaign_to_year(df: DataFrame) -> DataFrame:
 
 def column_usage(df: DataFrame, cols) -> DataFrame:
     """One row: `<col>_nonzero` and `<col>_null` counts."""
-    counts = []
-    for c in cols:
-        value = F.col(f"`{c}`")
-        counts += [F.count_if(value != 0).alias(f"{c}_nonzero"),
-                   F.count_if(value.isNull()).alias(f"{c}_null")]
-    return df.agg(*counts)
+    return df.agg(*[F.expr(e) for c in cols for e in (
+        f"count_if(`{c}` <> 0) AS `{c}_nonzero`", f"count_if(`{c}` IS NULL) AS `{c}_null`")])
 
 
 def drop_zero_features(features: DataFrame, keep=("IDREGION", "FYEAR", SPLIT)) -> DataFrame:

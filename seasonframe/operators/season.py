@@ -13,6 +13,7 @@ from .clean import water_balance
 
 YEAR_KEYS = ["IDREGION", "FYEAR"]
 SEASON_COLUMNS = ["PREV_SEASON_END", "SEASON_END"]
+BOUND_COLUMNS = ["FIRST_YEAR", "LAST_YEAR"]
 CAMPAIGN_KEYS = ["IDREGION", "CAMPAIGN_YEAR", "CAMPAIGN_DEKAD"]
 RIPE = 200
 
@@ -39,8 +40,10 @@ def season_end(growth: DataFrame, crosses: bool = False) -> DataFrame:
         dvs.alias("DVS"),
     )
     when_keys = [*YEAR_KEYS, "DEKAD", "OBSERVED"]
+    # after the first reduction one shuffle by region-year serves both aggregates and the window
     steps = (
         observed.groupBy(*when_keys, "DVS").agg(F.count(F.lit(1)).alias("N"))
+        .repartition(*YEAR_KEYS)
         .groupBy(*when_keys)
         .agg(
             F.min("DVS").alias("LOW"),
@@ -60,28 +63,29 @@ def season_end(growth: DataFrame, crosses: bool = False) -> DataFrame:
 
 
 def season_bounds(ends: DataFrame, global_bounds: bool = False) -> DataFrame:
-    """(IDREGION, FYEAR, PREV_SEASON_END, SEASON_END): later of this and the next year's end.
+    """(IDREGION, FYEAR, PREV_SEASON_END, SEASON_END, FIRST_YEAR, LAST_YEAR).
 
-    A region's first year has no previous season (0) and its last year no next one. With
-    `global_bounds` first and last are those of the whole table, so a region that starts later
-    or stops earlier gets null bounds there.
+    SEASON_END is the later of this and the next year's end. A region's first year has no
+    previous season (0) and its last year no next one. With `global_bounds` first and last are
+    those of the whole table, so a region that starts later or stops earlier gets null bounds.
     """
-    by_year = Window.partitionBy("IDREGION").orderBy("FYEAR")
+    region = Window.partitionBy("IDREGION")
+    by_year = region.orderBy("FYEAR")
     own, following = F.col("SEASON_END_DEKAD"), F.lead("SEASON_END_DEKAD").over(by_year)
     if global_bounds:
-        last = ends.agg(F.max("FYEAR")).scalar()
-        first = ends.agg(F.min("FYEAR")).scalar()
-        ends = ends.withColumn("NEXT_END", F.when(F.col("FYEAR") == last, own).otherwise(following))
+        first, last = (ends.agg(f("FYEAR")).scalar() for f in (F.min, F.max))
+        following = F.when(F.col("FYEAR") == last, own).otherwise(following)
         end = F.when(own > F.col("NEXT_END"), own).otherwise(F.col("NEXT_END"))
         previous = F.when(F.col("FYEAR") == first, 0).otherwise(F.lag("SEASON_END").over(by_year))
     else:
-        ends = ends.withColumn("NEXT_END", following)
+        first, last = (f("FYEAR").over(region) for f in (F.min, F.max))
         end = F.greatest(own, F.col("NEXT_END"))
         previous = F.coalesce(F.lag("SEASON_END").over(by_year), F.lit(0))
     return (
-        ends.withColumn("SEASON_END", end.cast("int"))
+        ends.withColumns({"NEXT_END": following, "FIRST_YEAR": first, "LAST_YEAR": last})
+        .withColumn("SEASON_END", end.cast("int"))
         .withColumn("PREV_SEASON_END", previous.cast("int"))
-        .select(*YEAR_KEYS, *SEASON_COLUMNS)
+        .select(*YEAR_KEYS, *SEASON_COLUMNS, *BOUND_COLUMNS)
     )
 
 
@@ -90,6 +94,18 @@ def crop_season(growth: DataFrame, crosses: bool = False,
     return season_bounds(season_end(growth, crosses), global_bounds)
 
 
+def _with_year_bounds(season: DataFrame, global_bounds: bool) -> DataFrame:
+    """First and last year for season tables that come without them."""
+    if all(c in season.columns for c in BOUND_COLUMNS):
+        return season
+    if global_bounds:
+        first, last = (season.agg(f(F.col("FYEAR").cast("int"))).scalar() for f in (F.min, F.max))
+    else:
+        region = Window.partitionBy("IDREGION")
+        first, last = (f(F.col("FYEAR").cast("int")).over(region) for f in (F.min, F.max))
+    return season.withColumns({"FIRST_YEAR": first, "LAST_YEAR": last})
+
+
 def align_to_season(df: DataFrame, season: DataFrame, crosses: bool = False,
                     global_bounds: bool = False, keep_season: bool = False) -> DataFrame:
     """Add CAMPAIGN_YEAR and CAMPAIGN_DEKAD, counting dekads so that a season ends in 36.
@@ -100,18 +116,9 @@ def align_to_season(df: DataFrame, season: DataFrame, crosses: bool = False,
     The season table has one row per region-year and grows with the data, so the join carries
     no broadcast hint: adaptive execution picks one from the measured size, or splits skew.
     """
-    season = season.withColumn("FYEAR", F.col("FYEAR").cast("int"))
-    if global_bounds:
-        first = season.agg(F.min("FYEAR")).scalar()
-        last = season.agg(F.max("FYEAR")).scalar()
-    else:
-        region = Window.partitionBy("IDREGION")
-        season = season.withColumns({
-            "FIRST_YEAR": F.min("FYEAR").over(region),
-            "LAST_YEAR": F.max("FYEAR").over(region),
-        })
-        first, last = F.col("FIRST_YEAR"), F.col("LAST_YEAR")
-
+    season = _with_year_bounds(season, global_bounds).withColumn(
+        "FYEAR", F.col("FYEAR").cast("int"))
+    first, last = F.col("FIRST_YEAR"), F.col("LAST_YEAR")
     values = [c for c in df.columns if c not in (*YEAR_KEYS, "DEKAD")]
     moved = F.col("DEKAD") > F.col("SEASON_END")
     campaign_dekad = (

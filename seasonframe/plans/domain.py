@@ -7,194 +7,211 @@ multiples of a power of two: sums are exact, hence independent of the order rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from functools import cached_property
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def _cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("long")
+from ..storage import cut
 
 
-def _grid(value: Column, steps: int) -> Column:
-    """Round down to a multiple of 1/steps; steps is a power of two."""
-    return (F.floor(value * steps) / steps).cast("double")
-
-
-def regions(spark, sf_dir) -> DataFrame:
-    """n_nationkey -> IDREGION. Nations are a fixed list of 25, hence the broadcasts below."""
-    code = F.concat(F.lit("R"), F.col("n_regionkey"), F.lpad(F.col("n_nationkey").cast("string"),
-                                                            2, "0"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", code.alias("IDREGION"))
-
-
-def _date_text(day: Column, nation: Column) -> Column:
-    """Even nations write yyyyMMdd, odd ones dd/MM/yyyy."""
-    return F.when(nation % 2 == 0, F.date_format(day, "yyyyMMdd")).otherwise(
-        F.date_format(day, "dd/MM/yyyy"))
-
-
-def shipments(spark, sf_dir) -> DataFrame:
-    """Line items with their supplier's nation: only the columns the views need."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"),
-        _cents("l_extendedprice").alias("cents"), _cents("l_discount").alias("disc"),
-        F.to_date("l_shipdate").alias("day"))
-    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
-        .join(F.broadcast(regions(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("IDREGION", "n_nationkey", "day", "qty", "cents", "disc", "l_linenumber")
-    )
-
-
-def weather(spark, sf_dir) -> DataFrame:
-    """Daily weather per region."""
-    return shipments(spark, sf_dir).groupBy("IDREGION", "n_nationkey", "day").agg(
-        F.max("qty").cast("double").alias("TMAX"),
-        F.min("qty").cast("double").alias("TMIN"),
-        _grid(F.avg("qty"), 8).alias("TAVG"),
-        _grid(F.avg("qty") / 4, 16).alias("PREC"),
-        _grid(F.avg("disc"), 8).alias("ET0"),
-        _grid(F.avg("cents") / 800, 1).alias("RAD"),
-    ).select("IDREGION", _date_text(F.col("day"), F.col("n_nationkey")).alias("DATE"),
-             "TMAX", "TMIN", "TAVG", "PREC", "ET0", "RAD", F.lit(1).alias("IDCOVER"))
-
-
-def growth(spark, sf_dir) -> DataFrame:
-    """Dekadal growth of two crops per region; development follows the year's shipped share."""
-    dekad = (F.month("day") - 1) * 3 + F.least(F.ceil(F.dayofmonth("day") / 10), F.lit(3))
-    crop = F.when(F.col("l_linenumber") <= 5, 7).otherwise(6)
-    keys = ["CROP_ID", "IDREGION", "n_nationkey", "year"]
-    cells = shipments(spark, sf_dir).groupBy(
-        crop.alias("CROP_ID"), "IDREGION", "n_nationkey", F.year("day").alias("year"),
-        dekad.cast("int").alias("dekad"),
-    ).agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("n"), F.avg("qty").alias("aq"),
-          F.avg("disc").alias("ad"), F.max("qty").alias("hi"), F.min("qty").alias("lo"))
-    # at most 36 dekads per window
-    year = Window.partitionBy(*keys)
-    upto = year.orderBy("dekad")
-    done, total = F.sum("qty").over(upto), F.sum("qty").over(year)
-    day = F.make_date(F.col("year"), (F.floor((F.col("dekad") - 1) / 3) + 1).cast("int"),
-                      ((F.col("dekad") - 1) % 3 * 10 + 1).cast("int"))
-    return cells.select(
-        "CROP_ID", "IDREGION", _date_text(day, F.col("n_nationkey")).alias("DATE"),
-        F.sum("hi").over(upto).cast("double").alias("POT_YB"),
-        F.sum("n").over(upto).cast("double").alias("WLIM_YB"),
-        (F.sum("lo").over(upto) / 4).alias("WLIM_YS"),
-        F.least(F.lit(201), F.floor(done * 250 / total)).cast("double").alias("DVS"),
-        _grid(F.col("aq"), 8).alias("WLAI"),
-        _grid(F.col("ad"), 16).alias("RSM"),
-        F.col("hi").cast("double").alias("TWC"),
-        F.col("lo").cast("double").alias("TWR"),
-    )
-
-
-def remote_sensing(spark, sf_dir) -> DataFrame:
-    """Dekadal greenness per parent region (two-character code)."""
-    first = F.date_add(F.trunc("day", "month"),
-                       (F.least(F.floor((F.dayofmonth("day") - 1) / 10), F.lit(2)) * 10)
-                       .cast("int"))
-    return shipments(spark, sf_dir).groupBy(
-        F.left("IDREGION", F.lit(2)).alias("IDREGION"), first.alias("day"),
-    ).agg(_grid(F.avg("disc") / 16, 256).alias("FAPAR")).select(
-        "IDREGION", F.date_format("day", "yyyyMMdd").alias("DATE"), "FAPAR",
-        F.lit(1).alias("IDCOVER"))
-
-
-def sales(spark, sf_dir) -> DataFrame:
-    """Orders with their customer's nation."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_custkey", _cents("o_totalprice").alias("cents"), F.to_date("o_orderdate").alias("day"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return (
-        orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
-        .join(F.broadcast(regions(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("IDREGION", "n_nationkey", "day", "cents")
-    )
-
-
-def _yield() -> Column:
-    return _grid(F.avg("cents") / 400000, 128)
-
-
-def _crop_text(nation: Column) -> Column:
-    return F.when(nation % 7 == 3, "Soybean").when(nation % 2 == 0, "Potatoes").otherwise(
-        "Total potatoes")
-
-
-def raw_yields(spark, sf_dir) -> DataFrame:
-    """Long yields with crop names; one nation in seven grows something unknown."""
-    return sales(spark, sf_dir).groupBy(
-        "IDREGION", "n_nationkey", F.year("day").alias("FYEAR"),
-    ).agg(_yield().alias("YIELD")).select(
-        _crop_text(F.col("n_nationkey")).alias("Crop"), "IDREGION", "FYEAR", "YIELD")
+# The columns read from each table.
+COLUMNS = {
+    "nation": "n_nationkey int, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp",
+    "lineitem": "l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_shipdate timestamp",
+}
+YEARS = list(range(1995, 2002))
 
 
-YEARS = list(range(1995, 2002))
+def _cents(column: str) -> str:
+    return f"floor({column} * 100 + 0.5D)"
 
 
-def wide_yields(spark, sf_dir) -> DataFrame:
-    """The same yields with one column per year."""
-    return raw_yields(spark, sf_dir).groupBy("Crop", "IDREGION").pivot("FYEAR", YEARS).agg(
-        F.first("YIELD"))
-
-
-def yields(spark, sf_dir) -> DataFrame:
-    """Yields of every region, already clean."""
-    return sales(spark, sf_dir).groupBy("IDREGION", F.year("day").alias("FYEAR")).agg(
-        _yield().alias("YIELD"))
-
-
-def national_yields(spark, sf_dir) -> DataFrame:
-    """Yields of the two-character regions."""
-    return sales(spark, sf_dir).groupBy(
-        F.left("IDREGION", F.lit(2)).alias("IDREGION"), F.year("day").alias("FYEAR"),
-    ).agg(_yield().alias("YIELD"))
-
-
-def areas(spark, sf_dir, length: int) -> DataFrame:
-    """Share of each region in its parent's sales, for region codes of the given length."""
-    code = F.left("IDREGION", F.lit(length))
-    own = sales(spark, sf_dir).groupBy(code.alias("IDREGION"), F.year("day").alias("FYEAR")).agg(
-        F.sum("cents").alias("cents"))
-    parent = Window.partitionBy(F.left("IDREGION", F.lit(length - 1)), "FYEAR")
-    share = F.col("cents") / F.sum("cents").over(parent)
-    return own.select("IDREGION", "FYEAR", F.lit(7).alias("CROP_ID"),
-                      _grid(share, 1024).alias("FRACTION"))
-
-
-def forecasts(spark, sf_dir) -> DataFrame:
-    """Monthly national forecasts issued on the 11th."""
-    issued = F.date_add(F.trunc("day", "month"), 10)
-    return sales(spark, sf_dir).groupBy(
-        F.left("IDREGION", F.lit(2)).alias("IDREGION"), issued.alias("issued"),
-    ).agg(_yield().alias("YIELD_PRED")).select(
-        "IDREGION", F.lit("Potatoes").alias("CROP"),
-        F.date_format("issued", "dd/MM/yyyy").alias("PREDICTION_DATE"),
-        F.year("issued").alias("FYEAR"), "YIELD_PRED")
-
-
-def soil(spark, sf_dir) -> DataFrame:
-    """Soil limits per region from its customers' balances."""
-    customers = table(spark, sf_dir, "customer").select(
-        "c_nationkey", _cents("c_acctbal").alias("cents"))
-    return customers.join(
-        F.broadcast(regions(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"),
-    ).groupBy("IDREGION").agg(
-        _grid(F.max("cents") / 1000000, 128).alias("SM_FC"),
-        _grid(F.avg("cents") / 4000000, 128).alias("SM_WP"))
-
-
-def centroids(spark, sf_dir) -> DataFrame:
-    """Centroids per region from its suppliers."""
-    suppliers = table(spark, sf_dir, "supplier").select(
-        "s_nationkey", "s_suppkey", _cents("s_acctbal").alias("cents"))
-    return suppliers.join(
-        F.broadcast(regions(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"),
-    ).groupBy("IDREGION").agg(
-        _grid(F.avg("cents") / 10000, 1024).alias("CENTROID_X"),
-        _grid(F.avg("s_suppkey"), 1024).alias("CENTROID_Y"))
+def _grid(value: str, steps: int) -> str:
+    """Round down to a multiple of 1/steps; steps is a power of two."""
+    return f"CAST(floor(({value}) * {steps}) / {steps} AS DOUBLE)"
+
+
+# even nations write yyyyMMdd, odd ones dd/MM/yyyy
+_DATE_TEXT = "date_format({0}, CASE WHEN n_nationkey % 2 = 0 THEN 'yyyyMMdd' ELSE 'dd/MM/yyyy' END)"
+_DEKAD = "CAST((month(day) - 1) * 3 + least(ceil(dayofmonth(day) / 10), 3) AS INT)"
+_COUNTRY = "left(IDREGION, 2) AS IDREGION"
+_YIELD = _grid("sum(cents) / sum(n) / 400000", 128) + " AS YIELD"
+
+
+def grouped(df: DataFrame, keys: list[str], *aggregates: str) -> DataFrame:
+    return df.groupBy(*map(F.expr, keys)).agg(*map(F.expr, aggregates))
+
+
+class Domain:
+    """Domain tables of one scale-factor directory, each built once per instance.
+
+    Tables named in `kept` are materialised when first used: those a query reads repeatedly. So
+    the line items are scanned, joined and reduced to days once, whatever is built on top.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: tuple[str, ...] = ()):
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, kept
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        return cut(df) if name in self.kept else df
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        """n_nationkey -> IDREGION. Nations are a fixed list of 25, hence the broadcasts below."""
+        return self.table("nation").selectExpr(
+            "n_nationkey",
+            "concat('R', n_regionkey, lpad(CAST(n_nationkey AS STRING), 2, '0')) AS IDREGION")
+
+    def _in_regions(self, df: DataFrame, nation: str) -> DataFrame:
+        return df.join(F.broadcast(self.regions), df[nation] == F.col("n_nationkey"))
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        """Shipments reduced to region, day and crop: sums, counts and extremes."""
+        lines = self.table("lineitem").selectExpr(
+            "l_suppkey", "CASE WHEN l_linenumber <= 5 THEN 7 ELSE 6 END AS CROP_ID",
+            "CAST(l_quantity AS BIGINT) AS qty", f"{_cents('l_extendedprice')} AS cents",
+            f"{_cents('l_discount')} AS disc", "CAST(l_shipdate AS DATE) AS day")
+        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
+        shipped = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
+        days = grouped(
+            shipped, ["s_nationkey", "day", "CROP_ID"],
+            "count(1) AS n", "sum(qty) AS qty", "sum(cents) AS cents", "sum(disc) AS disc",
+            "max(qty) AS hi", "min(qty) AS lo")
+        return self.keep("daily", self._in_regions(days, "s_nationkey").drop("s_nationkey"))
+
+    @cached_property
+    def weather(self) -> DataFrame:
+        """Daily weather per region."""
+        qty, disc, cents = (f"sum({c}) / sum(n)" for c in ("qty", "disc", "cents"))
+        days = grouped(
+            self.daily, ["IDREGION", "n_nationkey", "day"],
+            "CAST(max(hi) AS DOUBLE) AS TMAX", "CAST(min(lo) AS DOUBLE) AS TMIN",
+            f"{_grid(qty, 8)} AS TAVG", f"{_grid(f'{qty} / 4', 16)} AS PREC",
+            f"{_grid(disc, 8)} AS ET0", f"{_grid(f'{cents} / 800', 1)} AS RAD")
+        return days.selectExpr(
+            "IDREGION", f"{_DATE_TEXT.format('day')} AS DATE",
+            "TMAX", "TMIN", "TAVG", "PREC", "ET0", "RAD", "1 AS IDCOVER")
+
+    @cached_property
+    def growth(self) -> DataFrame:
+        """Dekadal growth of two crops per region; development follows the year's shipped share."""
+        cells = grouped(
+            self.daily, ["CROP_ID", "IDREGION", "n_nationkey", "year(day) AS year",
+                         f"{_DEKAD} AS dekad"],
+            "sum(qty) AS qty", "sum(n) AS n", "sum(disc) AS disc", "max(hi) AS hi", "min(lo) AS lo")
+        # at most 36 dekads per window
+        year = "PARTITION BY CROP_ID, IDREGION, n_nationkey, year"
+        upto = f"OVER ({year} ORDER BY dekad)"
+        first = "make_date(year, (dekad - 1) DIV 3 + 1, (dekad - 1) % 3 * 10 + 1)"
+        return cells.selectExpr(
+            "CROP_ID", "IDREGION", f"{_DATE_TEXT.format(first)} AS DATE",
+            f"CAST(sum(hi) {upto} AS DOUBLE) AS POT_YB",
+            f"CAST(sum(n) {upto} AS DOUBLE) AS WLIM_YB",
+            f"sum(lo) {upto} / 4 AS WLIM_YS",
+            f"CAST(least(201, floor(sum(qty) {upto} * 250 / sum(qty) OVER ({year}))) AS DOUBLE)"
+            " AS DVS",
+            f"{_grid('qty / n', 8)} AS WLAI", f"{_grid('disc / n', 16)} AS RSM",
+            "CAST(hi AS DOUBLE) AS TWC", "CAST(lo AS DOUBLE) AS TWR")
+
+    @cached_property
+    def remote_sensing(self) -> DataFrame:
+        """Dekadal greenness per parent region (two-character code)."""
+        tens = "CAST(least(floor((dayofmonth(day) - 1) / 10), 2) AS INT)"
+        return grouped(
+            self.daily, [_COUNTRY, f"date_add(trunc(day, 'month'), {tens} * 10) AS day"],
+            f"{_grid('sum(disc) / sum(n) / 16', 256)} AS FAPAR",
+        ).selectExpr("IDREGION", "date_format(day, 'yyyyMMdd') AS DATE", "FAPAR", "1 AS IDCOVER")
+
+    @cached_property
+    def _sold(self) -> DataFrame:
+        orders = self.table("orders").selectExpr(
+            "o_custkey", f"{_cents('o_totalprice')} AS cents", "CAST(o_orderdate AS DATE) AS day")
+        customers = self.table("customer").select("c_custkey", "c_nationkey")
+        return orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        """Orders with their customer's region."""
+        return self._in_regions(self._sold, "c_nationkey").select("IDREGION", "day", "cents")
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        """Sales reduced to region and month: sums and counts."""
+        months = grouped(
+            self._sold, ["c_nationkey", "trunc(day, 'month') AS month"],
+            "sum(cents) AS cents", "count(1) AS n")
+        return self.keep("monthly", self._in_regions(months, "c_nationkey").drop("c_nationkey"))
+
+    @cached_property
+    def raw_yields(self) -> DataFrame:
+        """Long yields with crop names; one nation in seven grows something unknown."""
+        crop = "CASE WHEN n_nationkey % 7 = 3 THEN 'Soybean' " \
+            "WHEN n_nationkey % 2 = 0 THEN 'Potatoes' ELSE 'Total potatoes' END AS Crop"
+        return grouped(
+            self.monthly, ["IDREGION", "n_nationkey", "year(month) AS FYEAR"], _YIELD,
+        ).selectExpr(crop, "IDREGION", "FYEAR", "YIELD")
+
+    @cached_property
+    def wide_yields(self) -> DataFrame:
+        """The same yields with one column per year."""
+        return self.raw_yields.groupBy("Crop", "IDREGION").pivot("FYEAR", YEARS).agg(
+            F.first("YIELD"))
+
+    @cached_property
+    def yields(self) -> DataFrame:
+        """Yields of every region, already clean."""
+        return self.keep("yields", grouped(
+            self.monthly, ["IDREGION", "year(month) AS FYEAR"], _YIELD))
+
+    @cached_property
+    def national_yields(self) -> DataFrame:
+        """Yields of the two-character regions."""
+        return grouped(self.monthly, [_COUNTRY, "year(month) AS FYEAR"], _YIELD)
+
+    def areas(self, length: int) -> DataFrame:
+        """Share of each region in its parent's sales, for region codes of the given length."""
+        own = grouped(
+            self.monthly, [f"left(IDREGION, {length}) AS IDREGION", "year(month) AS FYEAR"],
+            "sum(cents) AS cents")
+        share = f"cents / sum(cents) OVER (PARTITION BY left(IDREGION, {length - 1}), FYEAR)"
+        return own.selectExpr(
+            "IDREGION", "FYEAR", "7 AS CROP_ID", f"{_grid(share, 1024)} AS FRACTION")
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        """Monthly national forecasts issued on the 11th."""
+        return grouped(
+            self.monthly, [_COUNTRY, "date_add(month, 10) AS issued"], _YIELD,
+        ).selectExpr(
+            "IDREGION", "'Potatoes' AS CROP",
+            "date_format(issued, 'dd/MM/yyyy') AS PREDICTION_DATE",
+            "year(issued) AS FYEAR", "YIELD AS YIELD_PRED")
+
+    @cached_property
+    def soil(self) -> DataFrame:
+        """Soil limits per region from its customers' balances."""
+        customers = self.table("customer").selectExpr(
+            "c_nationkey", f"{_cents('c_acctbal')} AS cents")
+        return grouped(
+            self._in_regions(customers, "c_nationkey"), ["IDREGION"],
+            f"{_grid('max(cents) / 1000000', 128)} AS SM_FC",
+            f"{_grid('avg(cents) / 4000000', 128)} AS SM_WP")
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        """Centroids per region from its suppliers."""
+        suppliers = self.table("supplier").selectExpr(
+            "s_nationkey", "s_suppkey", f"{_cents('s_acctbal')} AS cents")
+        return grouped(
+            self._in_regions(suppliers, "s_nationkey"), ["IDREGION"],
+            f"{_grid('avg(cents) / 10000', 1024)} AS CENTROID_X",
+            f"{_grid('avg(s_suppkey)', 1024)} AS CENTROID_Y")

@@ -173,7 +173,9 @@ for _name, _zero in (("", "(P >= 200 AND DVS = 0)"), ("_crossing", "DVS = 0")):
     GROUP BY IDREGION, FYEAR"""
     VIEWS[f"v_season{_name}"] = f"""
     SELECT IDREGION, FYEAR, coalesce(lag(SEASON_END) OVER (PARTITION BY IDREGION ORDER BY FYEAR), 0)
-             AS PREV_SEASON_END, SEASON_END
+             AS PREV_SEASON_END, SEASON_END,
+           min(FYEAR) OVER (PARTITION BY IDREGION) AS FIRST_YEAR,
+           max(FYEAR) OVER (PARTITION BY IDREGION) AS LAST_YEAR
     FROM (SELECT *, greatest(SEASON_END_DEKAD,
             lead(SEASON_END_DEKAD) OVER (PARTITION BY IDREGION ORDER BY FYEAR)) AS SEASON_END
           FROM v_ends{_name})"""
@@ -183,7 +185,8 @@ def _global_bounds(ends: str) -> str:
     return f"""
     SELECT IDREGION, FYEAR, CASE WHEN FYEAR = (SELECT min(FYEAR) FROM {ends}) THEN 0
              ELSE lag(SEASON_END) OVER (PARTITION BY IDREGION ORDER BY FYEAR) END AS PREV_SEASON_END,
-           SEASON_END
+           SEASON_END, (SELECT min(FYEAR) FROM {ends}) AS FIRST_YEAR,
+           (SELECT max(FYEAR) FROM {ends}) AS LAST_YEAR
     FROM (SELECT *, CASE WHEN SEASON_END_DEKAD > N THEN SEASON_END_DEKAD ELSE N END AS SEASON_END
           FROM (SELECT *, CASE WHEN FYEAR = (SELECT max(FYEAR) FROM {ends}) THEN SEASON_END_DEKAD
                   ELSE lead(SEASON_END_DEKAD) OVER (PARTITION BY IDREGION ORDER BY FYEAR) END AS N

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,560 +22,589 @@ from ..storage import checkpoint_dir, cut
 from . import domain, pipeline
 
 CROP = 7
+MODEL_FEATURES = ["avgTAVGp2", "avgPRECp3"]
 WINDOWS = [3, 4, 5]
 QUERIES = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-# --- shared intermediate tables -------------------------------------------------------------
-
-def _growth(spark, sf):
-    return clean.only_crop(domain.growth(spark, sf), CROP)
-
-
-def _season(spark, sf, crosses=False, whole=False):
-    return season.crop_season(_growth(spark, sf), crosses, whole)
-
-
-def _aligned_growth(spark, sf):
-    return season.prepare_growth(_growth(spark, sf), _season(spark, sf))
-
-
-def _aligned_weather(spark, sf):
-    return season.prepare_weather(domain.weather(spark, sf), _season(spark, sf))
-
-
-def _regional_remote_sensing(spark, sf):
-    return clean.expand_to_children(
-        domain.remote_sensing(spark, sf), domain.regions(spark, sf), prefix_length=2)
-
-
-def _aligned_remote_sensing(spark, sf):
-    return season.prepare_remote_sensing(_regional_remote_sensing(spark, sf), _season(spark, sf))
-
-
-def _calendar(spark, sf):
-    return calendars.calendar_summary(_aligned_growth(spark, sf))
-
-
-def _split(df, spark, sf, year="FYEAR", trended=False):
-    return splits.with_split(df, domain.yields(spark, sf), year, 0.3, trended)
-
-
-def _predictions(spark, sf) -> DataFrame:
-    """Two simple forecasts of every regional yield, as rows with SPLIT and ALG."""
-    table = _split(trend.fixed_window_trend(domain.yields(spark, sf), 3), spark, sf)
-    table = table.join(domain.yields(spark, sf), ["IDREGION", "FYEAR"])
-    wide = table.select("IDREGION", "FYEAR", "SPLIT", F.col("YIELD_TREND").alias("YIELD_PRED_line"),
-                        F.col("`YIELD-1`").alias("YIELD_PRED_last"), "YIELD")
-    return rollup.predictions_to_rows(
-        wide, ["line", "last"], ["IDREGION", "FYEAR", "SPLIT", "YIELD"])
-
-
-def _gappy_predictions(spark, sf):
-    """Predictions with gaps: one year missing for all, one region missing throughout."""
-    missing = (F.col("FYEAR") == 1999) | (F.col("IDREGION") == "R207")
-    return _predictions(spark, sf).withColumn(
-        "YIELD_PRED", F.when(~missing, F.col("YIELD_PRED"))
-    ).select("IDREGION", "FYEAR", "ALG", "YIELD_PRED")
-
-
-def _with_areas(spark, sf):
-    return domain.areas(spark, sf, 4).drop("CROP_ID").join(
-        _gappy_predictions(spark, sf), ["IDREGION", "FYEAR"])
-
-
-def _rolled_up(spark, sf):
-    return rollup.weighted_rollup(
-        _gappy_predictions(spark, sf), [domain.areas(spark, sf, 4), domain.areas(spark, sf, 3)])
-
-
-def _season_table(spark, sf, trended=True) -> DataFrame:
-    """Growth, weather, remote sensing, soil, centroids, trend and yield in one table."""
-    yields = _split(domain.yields(spark, sf), spark, sf, trended=trended)
-    bounds = cut(_season(spark, sf))
-    series = {
-        "WOFOST": season.prepare_growth(_growth(spark, sf), bounds),
-        "METEO": season.prepare_weather(domain.weather(spark, sf), bounds),
-        "REMOTE_SENSING": season.prepare_remote_sensing(
-            _regional_remote_sensing(spark, sf), bounds),
-    }
-    series = {n: _split(df, spark, sf, "CAMPAIGN_YEAR", trended) for n, df in series.items()}
-    calendar = calendars.calendar_summary(series["WOFOST"].filter(F.col("SPLIT") == "train"))
-    parts = {
-        n: features.campaign_to_year(features.build_features(
-            features.from_year(df, yields, train_only=n != "REMOTE_SENSING"), calendar,
-            features.SPECS[n]))
-        for n, df in series.items()
-    }
-    if trended:
-        parts["YIELD_TREND"] = trend.trend_features(yields, WINDOWS)
-    static = {"SOIL": clean.soil_capacity(domain.soil(spark, sf)),
-              "CENTROIDS": clean.round_centroids(domain.centroids(spark, sf))}
-    return features.combine_features(parts, yields, static)
+def query(*kept):
+    """Register a query; `kept` are the tables it reads repeatedly, to be materialised once."""
+    def register(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Tables(spark, sf_dir, kept))
+        return fn
+    return register
+
+
+# --- tables several queries are built on ----------------------------------------------------
+
+class Tables(domain.Domain):
+    """Season-aligned tables on top of the domain tables."""
+
+    def on_season(self, crosses=False, whole=False):
+        return season.crop_season(self.crop_growth, crosses, whole)
+
+    @cached_property
+    def crop_growth(self):
+        return self.keep("crop_growth", clean.only_crop(self.growth, CROP))
+
+    @cached_property
+    def season(self):
+        return self.keep("season", self.on_season())
+
+    @cached_property
+    def growth_ready(self):
+        return self.keep("growth_ready", season.prepare_growth(self.crop_growth, self.season))
+
+    @cached_property
+    def weather_ready(self):
+        return self.keep(
+            "weather_ready", season.prepare_weather(self.weather, self.season))
+
+    @cached_property
+    def greenness(self):
+        return clean.expand_to_children(self.remote_sensing, self.regions, prefix_length=2)
+
+    @cached_property
+    def greenness_ready(self):
+        return season.prepare_remote_sensing(self.greenness, self.season)
+
+    @cached_property
+    def calendar(self):
+        return self.keep("calendar", calendars.calendar_summary(self.growth_ready))
+
+    @cached_property
+    def weather_stats(self):
+        return features.fit_longterm_stats(
+            self.weather_ready, self.calendar, features.SPECS["METEO"])
+
+    @cached_property
+    def weather_features(self):
+        return features.period_features(
+            self.weather_ready, self.calendar, features.SPECS["METEO"], self.weather_stats)
+
+    def split(self, df, year="FYEAR", trended=False):
+        return splits.with_split(df, self.yields, year, 0.3, trended)
+
+    @cached_property
+    def split_yields(self):
+        return self.split(self.yields)
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Two simple forecasts of every regional yield, as rows with SPLIT and ALG."""
+        table = self.split(trend.fixed_window_trend(self.yields, 3))
+        wide = table.join(self.yields, ["IDREGION", "FYEAR"]).select(
+            "IDREGION", "FYEAR", "SPLIT", F.col("YIELD_TREND").alias("YIELD_PRED_line"),
+            F.col("`YIELD-1`").alias("YIELD_PRED_last"), "YIELD")
+        return self.keep("predictions", rollup.predictions_to_rows(
+            wide, ["line", "last"], ["IDREGION", "FYEAR", "SPLIT", "YIELD"]))
+
+    @cached_property
+    def wide_predictions(self):
+        return rollup.predictions_to_columns(
+            self.predictions, ["line", "last"], ["IDREGION", "FYEAR", "YIELD"])
+
+    @cached_property
+    def gappy_predictions(self):
+        """Predictions with gaps: one year missing for all, one region missing throughout."""
+        missing = (F.col("FYEAR") == 1999) | (F.col("IDREGION") == "R207")
+        return self.predictions.select(
+            "IDREGION", "FYEAR", "ALG", F.when(~missing, F.col("YIELD_PRED")).alias("YIELD_PRED"))
+
+    @cached_property
+    def gappy_with_areas(self):
+        return self.areas(4).drop("CROP_ID").join(self.gappy_predictions, ["IDREGION", "FYEAR"])
+
+    @cached_property
+    def rolled_up(self):
+        return rollup.weighted_rollup(self.gappy_predictions, [self.areas(4), self.areas(3)])
+
+    @cached_property
+    def targets(self):
+        calendar = self.calendar.withColumn("IDREGION", country_of("IDREGION"))
+        means = rollup.season_mean_by_year(calendar, ["IDREGION", "FYEAR"])
+        return means.select("IDREGION", "FYEAR", F.col("END_SEASON").alias("TARGET_DEKAD"))
+
+    @cached_property
+    def national(self):
+        return self.keep("national", rollup.national_table(
+            self.rolled_up, self.targets, clean.clean_forecast(self.forecasts, CROP),
+            self.national_yields, ["IDREGION", "FYEAR"]))
+
+    @cached_property
+    def model_table(self):
+        """Two weather features and the label, with SPLIT; a small stable modelling problem."""
+        table = features.campaign_to_year(features.period_aggregates(
+            self.weather_ready, self.calendar, features.SPECS["METEO"]))
+        table = table.na.drop(subset=MODEL_FEATURES).join(self.yields, ["IDREGION", "FYEAR"])
+        return self.keep("model_table", self.split(
+            table.select("IDREGION", "FYEAR", *MODEL_FEATURES, "YIELD")))
+
+    def season_features(self, trended=True) -> DataFrame:
+        """Growth, weather, remote sensing, soil, centroids, trend and yield in one table."""
+        yields = self.split(self.yields, trended=trended)
+        series = {"WOFOST": self.growth_ready, "METEO": self.weather_ready,
+                  "REMOTE_SENSING": self.greenness_ready}
+        series = {n: self.split(df, "CAMPAIGN_YEAR", trended) for n, df in series.items()}
+        calendar = self.keep("calendar", calendars.calendar_summary(
+            series["WOFOST"].filter(F.col("SPLIT") == "train")))
+        parts = {
+            n: features.campaign_to_year(features.build_features(
+                features.from_year(df, yields, train_only=n != "REMOTE_SENSING"), calendar,
+                features.SPECS[n]))
+            for n, df in series.items()
+        }
+        if trended:
+            parts["YIELD_TREND"] = trend.trend_features(yields, WINDOWS)
+        static = {"SOIL": clean.soil_capacity(self.soil),
+                  "CENTROIDS": clean.round_centroids(self.centroids)}
+        return features.combine_features(parts, yields, static)
 
 
 # --- dates, codes, cleaning -----------------------------------------------------------------
 
-def _raw_dates(spark, sf):
+def _raw_dates(t):
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     text = F.when(key % 17 == 0, "12345678").when(key % 19 == 0, "123-12-24") \
         .when(key % 2 == 0, F.date_format(day, "yyyyMMdd")) \
         .otherwise(F.date_format(day, "dd/MM/yyyy"))
-    return domain.table(spark, sf, "orders").select("o_orderkey", text.alias("DATE"))
+    return t.table("orders").select("o_orderkey", text.alias("DATE"))
 
 
-@query
-def date_parts(spark, sf):
-    return _raw_dates(spark, sf).select(
+@query()
+def date_parts(t):
+    return _raw_dates(t).select(
         "o_orderkey", "DATE", year_of("DATE").alias("FYEAR"), month_of("DATE").alias("MONTH"),
         day_of("DATE").alias("DAY"), dekad_of("DATE").alias("DEKAD"))
 
 
-@query
-def year_dekad(spark, sf):
-    return with_year_dekad(domain.weather(spark, sf))
+@query()
+def year_dekad(t):
+    return with_year_dekad(t.weather)
 
 
-@query
-def crop_lookup(spark, sf):
+@query()
+def crop_lookup(t):
     number = crop_id("Crop")
-    return domain.raw_yields(spark, sf).select(
+    return t.raw_yields.select(
         "Crop", "IDREGION", "FYEAR", number.alias("CROP_ID"), crop_name(number).alias("CROP_NAME"))
 
 
-@query
-def region_codes(spark, sf):
-    return domain.sales(spark, sf).groupBy(
+@query()
+def region_codes(t):
+    return t.sales.groupBy(
         "IDREGION", country_of("IDREGION").alias("COUNTRY"),
         parent_region("IDREGION").alias("PARENT"), parent_region("IDREGION", 2).alias("GRAND"),
     ).agg(F.count(F.lit(1)).alias("ORDERS"))
 
 
-@query
-def water_balance(spark, sf):
-    return clean.water_balance(domain.weather(spark, sf).drop("IDCOVER"))
+@query()
+def water_balance(t):
+    return clean.water_balance(t.weather.drop("IDCOVER"))
 
 
-@query
-def soil_capacity(spark, sf):
-    return clean.soil_capacity(domain.soil(spark, sf))
+@query()
+def soil_capacity(t):
+    return clean.soil_capacity(t.soil)
 
 
-@query
-def rounded_centroids(spark, sf):
-    return clean.round_centroids(domain.centroids(spark, sf))
+@query()
+def rounded_centroids(t):
+    return clean.round_centroids(t.centroids)
 
 
-@query
-def crop_filter(spark, sf):
-    return _growth(spark, sf)
+@query()
+def crop_filter(t):
+    return t.crop_growth
 
 
-@query
-def clean_yield_long(spark, sf):
-    return clean.clean_yield(domain.raw_yields(spark, sf), CROP)
+@query()
+def clean_yield_long(t):
+    return clean.clean_yield(t.raw_yields, CROP)
 
 
-@query
-def clean_yield_wide(spark, sf):
-    return clean.clean_yield(domain.wide_yields(spark, sf).withColumn("_c9", F.lit(None)), CROP)
+@query()
+def clean_yield_wide(t):
+    return clean.clean_yield(t.wide_yields.withColumn("_c9", F.lit(None)), CROP)
 
 
-@query
-def unpivoted_years(spark, sf):
-    return clean.unpivot_years(domain.wide_yields(spark, sf))
+@query()
+def unpivoted_years(t):
+    return clean.unpivot_years(t.wide_yields)
 
 
-@query
-def empty_columns_dropped(spark, sf):
+@query()
+def empty_columns_dropped(t):
     return clean.drop_empty_columns(
-        domain.soil(spark, sf).withColumns({"_c3": F.lit(""), "_c4": F.lit("")}))
+        t.soil.withColumns({"_c3": F.lit(""), "_c4": F.lit("")}))
 
 
-@query
-def clean_forecast(spark, sf):
-    return clean.clean_forecast(domain.forecasts(spark, sf), CROP)
+@query()
+def clean_forecast(t):
+    return clean.clean_forecast(t.forecasts, CROP)
 
 
-@query
-def clean_area(spark, sf):
-    return clean.clean_area(domain.areas(spark, sf, 4), CROP)
+@query()
+def clean_area(t):
+    return clean.clean_area(t.areas(4), CROP)
 
 
-@query
-def parent_to_children(spark, sf):
-    return _regional_remote_sensing(spark, sf)
+@query()
+def parent_to_children(t):
+    return t.greenness
 
 
 # --- season and calendar --------------------------------------------------------------------
 
-@query
-def season_ends(spark, sf):
-    return season.season_end(_growth(spark, sf))
+@query()
+def season_ends(t):
+    return season.season_end(t.crop_growth)
 
 
-@query
-def season_ends_crossing(spark, sf):
-    return season.season_end(_growth(spark, sf), crosses=True)
+@query()
+def season_ends_crossing(t):
+    return season.season_end(t.crop_growth, crosses=True)
 
 
-@query
-def season_bounds(spark, sf):
-    return _season(spark, sf)
+@query()
+def season_bounds(t):
+    return t.season
 
 
-@query
-def season_bounds_global(spark, sf):
+@query("crop_growth")
+def season_bounds_global(t):
     # regions with an odd last digit lose their latest year, so bounds differ from per-region
     odd_last = (F.right("IDREGION", F.lit(1)).cast("int") % 2 == 1) & (F.col("FYEAR") == 2001)
-    ends = season.season_end(_growth(spark, sf)).filter(~odd_last)
+    ends = season.season_end(t.crop_growth).filter(~odd_last)
     return season.season_bounds(ends, global_bounds=True)
 
 
-@query
-def growth_aligned(spark, sf):
-    return season.align_to_season(with_year_dekad(_growth(spark, sf)), _season(spark, sf))
+@query("crop_growth")
+def growth_aligned(t):
+    return season.align_to_season(with_year_dekad(t.crop_growth), t.season)
 
 
-@query
-def growth_aligned_crossing(spark, sf):
+@query("crop_growth")
+def growth_aligned_crossing(t):
     return season.align_to_season(
-        with_year_dekad(_growth(spark, sf)), _season(spark, sf, crosses=True), crosses=True)
+        with_year_dekad(t.crop_growth), t.on_season(crosses=True), crosses=True)
 
 
-@query
-def growth_aligned_global(spark, sf):
-    return season.align_to_season(with_year_dekad(_growth(spark, sf)),
-                                  _season(spark, sf, whole=True), global_bounds=True)
+@query("crop_growth")
+def growth_aligned_global(t):
+    return season.align_to_season(with_year_dekad(t.crop_growth),
+                                  t.on_season(whole=True), global_bounds=True)
 
 
-@query
-def growth_prepared(spark, sf):
-    return _aligned_growth(spark, sf)
+@query("crop_growth")
+def growth_prepared(t):
+    return t.growth_ready
 
 
-@query
-def weather_prepared(spark, sf):
-    return _aligned_weather(spark, sf)
+@query("daily")
+def weather_prepared(t):
+    return t.weather_ready
 
 
-@query
-def remote_sensing_prepared(spark, sf):
-    return _aligned_remote_sensing(spark, sf)
+@query("daily")
+def remote_sensing_prepared(t):
+    return t.greenness_ready
 
 
-@query
-def weather_dekadal(spark, sf):
-    return season.daily_to_dekadal(_aligned_weather(spark, sf))
+@query("daily")
+def weather_dekadal(t):
+    return season.daily_to_dekadal(t.weather_ready)
 
 
-@query
-def weather_dekadal_view(spark, sf):
+@query("daily")
+def weather_dekadal_view(t):
     """The same aggregation written in SQL over a temporary view of the aligned weather."""
-    _aligned_weather(spark, sf).createOrReplaceTempView("aligned_weather")
-    return spark.sql("""
+    t.weather_ready.createOrReplaceTempView("aligned_weather")
+    return t.spark.sql("""
         SELECT IDREGION, CAMPAIGN_YEAR, CAMPAIGN_DEKAD, max(TMAX) AS TMAX, min(TMIN) AS TMIN,
                bround(sum(PREC), 2) AS PREC, count(*) AS DAYS
         FROM aligned_weather GROUP BY ALL""")
 
 
-@query
-def calendar_summary(spark, sf):
-    return _calendar(spark, sf)
+@query("crop_growth")
+def calendar_summary(t):
+    return t.calendar
 
 
-@query
-def calendar_summary_early(spark, sf):
-    return calendars.calendar_summary(_aligned_growth(spark, sf), early_offset=-6)
+@query("crop_growth")
+def calendar_summary_early(t):
+    return calendars.calendar_summary(t.growth_ready, early_offset=-6)
 
 
-@query
-def country_calendar(spark, sf):
-    return calendars.country_calendar(_calendar(spark, sf))
+@query("crop_growth")
+def country_calendar(t):
+    return calendars.country_calendar(t.calendar)
 
 
-@query
-def period_days(spark, sf):
+@query("daily", "season")
+def period_days(t):
     """Days of weather per region, campaign and period."""
-    days = calendars.with_calendar(_aligned_weather(spark, sf), _calendar(spark, sf))
+    days = calendars.with_calendar(t.weather_ready, t.calendar)
     return days.groupBy("IDREGION", "CAMPAIGN_YEAR").agg(*[
         F.count_if(inside).alias(p) for p, inside in calendars.period_predicates().items()])
 
 
-@query
-def calendar_report(spark, sf):
-    return calendars.calendar_report(_calendar(spark, sf))
+@query("crop_growth")
+def calendar_report(t):
+    return calendars.calendar_report(t.calendar)
 
 
-@query
-def calendar_report_early(spark, sf):
-    early = calendars.calendar_summary(_aligned_growth(spark, sf), early_offset=-12)
+@query("crop_growth")
+def calendar_report_early(t):
+    early = calendars.calendar_summary(t.growth_ready, early_offset=-12)
     return calendars.calendar_report(early, early=True)
 
 
 # --- summaries ------------------------------------------------------------------------------
 
-@query
-def growth_summary(spark, sf):
-    return summary.source_summary(_aligned_growth(spark, sf), "WOFOST")
+@query("crop_growth")
+def growth_summary(t):
+    return summary.source_summary(t.growth_ready, "WOFOST")
 
 
-@query
-def weather_summary(spark, sf):
-    return summary.source_summary(_aligned_weather(spark, sf), "METEO")
+@query("daily")
+def weather_summary(t):
+    return summary.source_summary(t.weather_ready, "METEO")
 
 
-@query
-def remote_sensing_summary(spark, sf):
-    return summary.source_summary(_aligned_remote_sensing(spark, sf), "REMOTE_SENSING")
+@query("daily")
+def remote_sensing_summary(t):
+    return summary.source_summary(t.greenness_ready, "REMOTE_SENSING")
 
 
-@query
-def yield_summary(spark, sf):
-    return summary.yield_summary(domain.yields(spark, sf))
+@query()
+def yield_summary(t):
+    return summary.yield_summary(t.yields)
 
 
-@query
-def year_range(spark, sf):
-    return summary.year_range(_season(spark, sf))
+@query()
+def year_range(t):
+    return summary.year_range(t.season)
 
 
-@query
-def distinct_regions(spark, sf):
-    return summary.distinct_keys(_aligned_growth(spark, sf), "IDREGION", "CAMPAIGN_YEAR")
+@query("crop_growth")
+def distinct_regions(t):
+    return summary.distinct_keys(t.growth_ready, "IDREGION", "CAMPAIGN_YEAR")
 
 
 # --- features -------------------------------------------------------------------------------
 
-@query
-def growth_period_aggregates(spark, sf):
+@query("crop_growth", "growth_ready")
+def growth_period_aggregates(t):
     return features.period_aggregates(
-        _aligned_growth(spark, sf), _calendar(spark, sf), features.SPECS["WOFOST"])
-
+        t.growth_ready, t.calendar, features.SPECS["WOFOST"])
 
-@query
-def weather_longterm_stats(spark, sf):
-    return features.fit_longterm_stats(
-        _aligned_weather(spark, sf), _calendar(spark, sf), features.SPECS["METEO"])
 
+@query("daily", "season")
+def weather_longterm_stats(t):
+    return t.weather_stats
 
-def _weather_stats(spark, sf):
-    return features.fit_longterm_stats(
-        _aligned_weather(spark, sf), _calendar(spark, sf), features.SPECS["METEO"])
 
+@query("daily", "season", "weather_ready", "calendar")
+def weather_extreme_counts(t):
+    return features.extreme_counts(t.weather_ready, t.calendar,
+                                   t.weather_stats, features.SPECS["METEO"])
 
-@query
-def weather_extreme_counts(spark, sf):
-    return features.extreme_counts(_aligned_weather(spark, sf), _calendar(spark, sf),
-                                   _weather_stats(spark, sf), features.SPECS["METEO"])
 
+@query("daily", "season", "weather_ready", "calendar")
+def weather_features(t):
+    return t.weather_features
 
-@query
-def weather_features(spark, sf):
-    return features.period_features(_aligned_weather(spark, sf), _calendar(spark, sf),
-                                    features.SPECS["METEO"], _weather_stats(spark, sf))
 
-
-@query
-def remote_sensing_features(spark, sf):
-    return features.period_features(_aligned_remote_sensing(spark, sf), _calendar(spark, sf),
+@query("daily", "season")
+def remote_sensing_features(t):
+    return features.period_features(t.greenness_ready, t.calendar,
                                     features.SPECS["REMOTE_SENSING"])
 
 
-@query
-def split_growth_features(spark, sf):
+@query("crop_growth", "growth_ready", "yields")
+def split_growth_features(t):
     """Statistics from training rows, features for training and test rows."""
-    series = _split(_aligned_growth(spark, sf), spark, sf, "CAMPAIGN_YEAR")
+    series = t.split(t.growth_ready, "CAMPAIGN_YEAR")
     calendar = calendars.calendar_summary(series.filter(F.col("SPLIT") == "train"))
     return features.campaign_to_year(
         features.build_features(series, calendar, features.SPECS["WOFOST"]))
 
 
-@query
-def recent_campaigns(spark, sf):
+@query("crop_growth", "yields")
+def recent_campaigns(t):
     """Growth from the first training yield on, when yields start in 1997."""
-    yields = _split(domain.yields(spark, sf).filter(F.col("FYEAR") >= 1997), spark, sf)
-    rows = _split(_aligned_growth(spark, sf), spark, sf, "CAMPAIGN_YEAR")
+    yields = t.split(t.yields.filter(F.col("FYEAR") >= 1997))
+    rows = t.split(t.growth_ready, "CAMPAIGN_YEAR")
     return features.from_year(rows, yields, train_only=True).groupBy(
         "IDREGION", "CAMPAIGN_YEAR", "SPLIT").agg(F.count(F.lit(1)).alias("N"))
 
 
-@query
-def feature_column_usage(spark, sf):
-    table = features.period_features(_aligned_weather(spark, sf), _calendar(spark, sf),
-                                     features.SPECS["METEO"], _weather_stats(spark, sf))
-    return features.column_usage(
-        table, [c for c in table.columns if c not in ("IDREGION", "CAMPAIGN_YEAR")])
+@query("daily", "season", "weather_ready", "calendar")
+def feature_column_usage(t):
+    names = [c for c in t.weather_features.columns if c not in ("IDREGION", "CAMPAIGN_YEAR")]
+    return features.column_usage(t.weather_features, names)
 
 
-@query
-def zero_features_dropped(spark, sf):
+@query("daily", "season", "yields")
+def zero_features_dropped(t):
     """Remote-sensing features joined with two dead columns, which go away."""
     table = features.campaign_to_year(features.period_features(
-        _aligned_remote_sensing(spark, sf), _calendar(spark, sf),
+        t.greenness_ready, t.calendar,
         features.SPECS["REMOTE_SENSING"]))
-    table = _split(table, spark, sf).withColumns({
+    table = t.split(table).withColumns({
         "NOTHING": F.lit(0.0),
         "GAPS": F.when(F.col("FYEAR") != 1998, F.col("avgFAPARp2")),
     })
     return features.drop_zero_features(cut(table))
 
 
-@query
-def season_features(spark, sf):
+@query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
+def season_features(t):
     """Flagship: every feature family, the trend and the label in one table."""
-    return _season_table(spark, sf)
+    return t.season_features()
 
 
 # --- trend ----------------------------------------------------------------------------------
 
-@query
-def previous_yields(spark, sf):
-    return trend.lag_columns(domain.yields(spark, sf), 3)
+@query()
+def previous_yields(t):
+    return trend.lag_columns(t.yields, 3)
 
 
-@query
-def fixed_window_trend(spark, sf):
-    return trend.fixed_window_trend(domain.yields(spark, sf), 3)
+@query()
+def fixed_window_trend(t):
+    return trend.fixed_window_trend(t.yields, 3)
 
 
-@query
-def fixed_window_point(spark, sf):
-    return trend.fixed_window_query(domain.yields(spark, sf), "R101", 2000, 4)
+@query("yields")
+def fixed_window_point(t):
+    return trend.fixed_window_query(t.yields, "R101", 2000, 4)
 
 
-@query
-def leave_one_out(spark, sf):
-    return trend.loo_predictions(domain.yields(spark, sf), 4)
+@query()
+def leave_one_out(t):
+    return trend.loo_predictions(t.yields, 4)
 
 
-@query
-def leave_one_out_error(spark, sf):
-    return trend.loo_rmse(domain.yields(spark, sf), 4)
+@query()
+def leave_one_out_error(t):
+    return trend.loo_rmse(t.yields, 4)
 
 
-@query
-def optimal_window(spark, sf):
-    return trend.optimal_window_trend(domain.yields(spark, sf), WINDOWS)
+@query()
+def optimal_window(t):
+    return trend.optimal_window_trend(t.yields, WINDOWS)
 
 
-@query
-def optimal_window_point(spark, sf):
-    return trend.optimal_window_query(domain.yields(spark, sf), "R101", 2001, WINDOWS)
+@query("yields")
+def optimal_window_point(t):
+    return trend.optimal_window_query(t.yields, "R101", 2001, WINDOWS)
 
 
-@query
-def optimal_trend_features(spark, sf):
-    return trend.optimal_trend_features(domain.yields(spark, sf), WINDOWS)
+@query("yields")
+def optimal_trend_features(t):
+    return trend.optimal_trend_features(t.yields, WINDOWS)
 
 
-@query
-def split_trend_features(spark, sf):
-    yields = _split(domain.yields(spark, sf), spark, sf)
-    return trend.trend_features(yields, WINDOWS)
+@query("yields")
+def split_trend_features(t):
+    return trend.trend_features(t.split_yields, WINDOWS)
 
 
-@query
-def split_trend_features_optimal(spark, sf):
-    yields = _split(domain.yields(spark, sf), spark, sf, trended=True)
+@query("yields")
+def split_trend_features_optimal(t):
+    yields = t.split(t.yields, trended=True)
     return trend.trend_features(yields, WINDOWS, optimal=True)
 
 
-@query
-def trend_rounds(spark, sf):
-    return trend.trend_rounds(domain.yields(spark, sf), 4)
+@query()
+def trend_rounds(t):
+    return trend.trend_rounds(t.yields, 4)
 
 
 # --- splits ---------------------------------------------------------------------------------
 
-@query
-def test_years_last(spark, sf):
-    return splits.test_years(domain.yields(spark, sf), 0.3, trend=True)
+@query()
+def test_years_last(t):
+    return splits.test_years(t.yields, 0.3, trend=True)
 
 
-@query
-def test_years_spaced(spark, sf):
-    return splits.test_years(domain.yields(spark, sf), 0.3)
+@query()
+def test_years_spaced(t):
+    return splits.test_years(t.yields, 0.3)
 
 
-@query
-def split_yields(spark, sf):
-    return _split(domain.yields(spark, sf), spark, sf)
+@query("yields")
+def split_yields(t):
+    return t.split_yields
 
 
-@query
-def split_test_side(spark, sf):
-    yields = domain.yields(spark, sf)
+@query("yields")
+def split_test_side(t):
+    yields = t.yields
     return splits.split(yields, "FYEAR", splits.test_years(yields, 0.3))[1]
 
 
-@query
-def sliding_folds(spark, sf):
-    return splits.sliding_folds(domain.yields(spark, sf), 4)
+@query()
+def sliding_folds(t):
+    return splits.sliding_folds(t.yields, 4)
 
 
-@query
-def contiguous_folds(spark, sf):
-    return splits.contiguous_folds(domain.yields(spark, sf), 5)
+@query("yields")
+def contiguous_folds(t):
+    return splits.contiguous_folds(t.yields, 5)
 
 
 # --- predictions, scores, roll-up -----------------------------------------------------------
 
-@query
-def prediction_rows(spark, sf):
-    return _predictions(spark, sf)
+@query("yields")
+def prediction_rows(t):
+    return t.predictions
 
 
-@query
-def prediction_columns(spark, sf):
-    return rollup.predictions_to_columns(
-        _predictions(spark, sf), ["line", "last"], ["IDREGION", "FYEAR", "YIELD"])
+@query("yields")
+def prediction_columns(t):
+    return t.wide_predictions
 
 
-@query
-def prediction_scores(spark, sf):
-    return metrics.scores(_predictions(spark, sf), metrics=[
+@query("yields", "predictions")
+def prediction_scores(t):
+    return metrics.scores(t.predictions, metrics=[
         "NMAE", "MAPE", "NRMSE", "R2", "NSE", "EXP_VAR", "NMdAE"])
 
 
-@query
-def prediction_score_table(spark, sf):
-    return metrics.score_table(metrics.scores(_predictions(spark, sf)))
+@query("yields")
+def prediction_score_table(t):
+    return metrics.score_table(metrics.scores(t.predictions))
 
 
-@query
-def median_order_value(spark, sf):
+@query()
+def median_order_value(t):
     """Exact median of every order's cents per region, without gathering a region."""
-    return metrics.exact_median(domain.sales(spark, sf), "cents", ["IDREGION"])
+    return metrics.exact_median(t.sales, "cents", ["IDREGION"])
 
 
-@query
-def null_stats(spark, sf):
-    yields = _split(domain.yields(spark, sf), spark, sf)
-    return models.null_stats(yields.filter(F.col("SPLIT") == "train"))
+@query("yields")
+def null_stats(t):
+    return models.null_stats(t.split_yields.filter(F.col("SPLIT") == "train"))
 
 
-@query
-def null_average(spark, sf):
-    return models.null_model(_split(domain.yields(spark, sf), spark, sf))
+@query("yields")
+def null_average(t):
+    return models.null_model(t.split_yields)
 
 
-@query
-def null_trend(spark, sf):
-    table = trend.fixed_window_trend(domain.yields(spark, sf), 3)
-    table = table.join(domain.yields(spark, sf), ["IDREGION", "FYEAR"])
-    return models.null_model(_split(table, spark, sf), trend=True)
+@query("yields")
+def null_trend(t):
+    table = trend.fixed_window_trend(t.yields, 3)
+    table = table.join(t.yields, ["IDREGION", "FYEAR"])
+    return models.null_model(t.split(table), trend=True)
 
 
-@query
-def restored_trend(spark, sf):
-    wide = rollup.predictions_to_columns(
-        _predictions(spark, sf), ["line", "last"], ["IDREGION", "FYEAR", "YIELD"])
+@query("yields")
+def restored_trend(t):
+    wide = t.wide_predictions
     residual = wide.withColumn("YIELD_TREND", F.col("YIELD_PRED_line")).withColumn(
         "YIELD_PRED_last", F.col("YIELD_PRED_last") - F.col("YIELD_TREND"))
     table = models.restore_trend(residual, ["last"])
@@ -581,94 +612,69 @@ def restored_trend(spark, sf):
         c: F.round(c, 6) for c in ("YIELD_PRED_last", "YIELD_RES_PRED_last")})
 
 
-@query
-def missing_filled(spark, sf):
-    filled = rollup.fill_missing(_with_areas(spark, sf))
+@query("monthly", "yields")
+def missing_filled(t):
+    filled = rollup.fill_missing(t.gappy_with_areas)
     return filled.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
 
 
-@query
-def fractions_renormalised(spark, sf):
-    rows = rollup.fill_missing(_with_areas(spark, sf)).withColumn(
+@query("monthly", "yields")
+def fractions_renormalised(t):
+    rows = rollup.fill_missing(t.gappy_with_areas).withColumn(
         "IDREG_PARENT", parent_region("IDREGION"))
     return rollup.renormalise(rows).select(
         "IDREGION", "IDREG_PARENT", "FYEAR", "ALG", F.round("FRACTION", 9).alias("FRACTION"))
 
 
-@query
-def national_rollup(spark, sf):
-    return _rolled_up(spark, sf).withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
+@query("monthly", "yields")
+def national_rollup(t):
+    return t.rolled_up.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
 
 
-@query
-def season_mean(spark, sf):
-    calendar = calendars.calendar_summary(_aligned_growth(spark, sf), early_offset=-6)
+@query("crop_growth")
+def season_mean(t):
+    calendar = calendars.calendar_summary(t.growth_ready, early_offset=-6)
     return rollup.season_mean_by_year(calendar)
 
 
-def _targets(spark, sf):
-    calendar = _calendar(spark, sf).withColumn("IDREGION", country_of("IDREGION"))
-    means = rollup.season_mean_by_year(calendar, ["IDREGION", "FYEAR"])
-    return means.select("IDREGION", "FYEAR", F.col("END_SEASON").alias("TARGET_DEKAD"))
-
+@query("crop_growth")
+def forecast_asof(t):
+    forecasts = clean.clean_forecast(t.forecasts, CROP)
+    return rollup.asof_forecast(t.targets, forecasts, ["IDREGION", "FYEAR"])
 
-@query
-def forecast_asof(spark, sf):
-    forecasts = clean.clean_forecast(domain.forecasts(spark, sf), CROP)
-    return rollup.asof_forecast(_targets(spark, sf), forecasts, ["IDREGION", "FYEAR"])
 
+@query("monthly", "yields", "crop_growth")
+def national_comparison(t):
+    return t.national.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
 
-def _national(spark, sf):
-    return rollup.national_table(
-        _rolled_up(spark, sf), _targets(spark, sf),
-        clean.clean_forecast(domain.forecasts(spark, sf), CROP),
-        domain.national_yields(spark, sf), ["IDREGION", "FYEAR"])
 
-
-@query
-def national_comparison(spark, sf):
-    return _national(spark, sf).withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
-
-
-@query
-def national_scores(spark, sf):
-    return rollup.compare_national(_national(spark, sf), ["IDREGION"])
+@query("monthly", "yields", "crop_growth", "national")
+def national_scores(t):
+    return rollup.compare_national(t.national, ["IDREGION"])
 
 
 # --- models ---------------------------------------------------------------------------------
 
-MODEL_FEATURES = ["avgTAVGp2", "avgPRECp3"]
-
-
-def _model_table(spark, sf):
-    """Two weather features and the label, with SPLIT; a small stable modelling problem."""
-    table = features.campaign_to_year(features.period_aggregates(
-        _aligned_weather(spark, sf), _calendar(spark, sf), features.SPECS["METEO"]))
-    table = table.na.drop(subset=MODEL_FEATURES).join(
-        domain.yields(spark, sf), ["IDREGION", "FYEAR"])
-    return _split(table.select("IDREGION", "FYEAR", *MODEL_FEATURES, "YIELD"), spark, sf)
-
-
-@query
-def scaled_features(spark, sf):
-    rows = cut(_model_table(spark, sf))
+@query("daily", "season", "yields", "model_table")
+def scaled_features(t):
+    rows = t.model_table
     stats = models.scaling_stats(rows.filter(F.col("SPLIT") == "train"), MODEL_FEATURES)
     scaled = models.population_scaled(rows, MODEL_FEATURES, stats)
     return scaled.select("IDREGION", "FYEAR", *[F.round(c, 6).alias(c) for c in MODEL_FEATURES])
 
 
-@query
-def ridge_predictions(spark, sf):
-    rows = cut(_model_table(spark, sf))
+@query("daily", "season", "yields", "model_table")
+def ridge_predictions(t):
+    rows = t.model_table
     train = rows.filter(F.col("SPLIT") == "train")
     line = ridge_fit(collect_moments(train, MODEL_FEATURES, "YIELD", "FYEAR"), alpha=5.0)
     return rows.select("IDREGION", "FYEAR", "SPLIT",
                        F.round(line.column(), 6).alias("YIELD_PRED"))
 
 
-@query
-def knn_test_predictions(spark, sf):
-    rows = cut(_model_table(spark, sf))
+@query("daily", "season", "yields", "model_table")
+def knn_test_predictions(t):
+    rows = t.model_table
     train, test = (rows.filter(F.col("SPLIT") == s) for s in ("train", "test"))
     found = knn_predictions(test, train, MODEL_FEATURES, "YIELD", models.IDS, [3, 5])
     ids = F.from_json("qid", "IDREGION string, FYEAR int")
@@ -680,22 +686,22 @@ def _numeric(table):
     return [c for c in table.columns if c not in ("IDREGION", "FYEAR", "SPLIT", "YIELD")]
 
 
-@query
-def lasso_selected(spark, sf):
+@query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
+def lasso_selected(t):
     """Features left by recursive elimination down to 10."""
-    table = cut(_season_table(spark, sf, trended=False).na.fill(0.0))
+    table = cut(t.season_features(trended=False).na.fill(0.0))
     train = table.filter(F.col("SPLIT") == "train")
     moments = collect_moments(train, _numeric(table), "YIELD", "FYEAR")
     kept = lasso_elimination(moments, [10])[10]
-    return spark.createDataFrame([("rfe_lasso", f) for f in kept], "ALG string, FEATURE string") \
+    return t.spark.createDataFrame([("rfe_lasso", f) for f in kept], "ALG string, FEATURE string") \
         .transform(models.selected_frequency)
 
 
-@query
-def ridge_detrended(spark, sf):
-    table = trend.lag_columns(domain.yields(spark, sf), 3).join(
-        domain.yields(spark, sf), ["IDREGION", "FYEAR"])
-    rows = cut(_split(table, spark, sf, trended=True))
+@query("yields")
+def ridge_detrended(t):
+    table = trend.lag_columns(t.yields, 3).join(
+        t.yields, ["IDREGION", "FYEAR"])
+    rows = cut(t.split(table, trended=True))
     return models.detrend(rows, trend.lag_names(3)[1], k=1)
 
 
@@ -707,52 +713,56 @@ SMALL_ESTIMATORS = (
 )
 
 
-@query
-def model_scores(spark, sf):
+@query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
+def model_scores(t):
     """Selection, tuning, training and scoring of all estimators on the season table."""
     cfg = RunConfig(estimators=SMALL_ESTIMATORS, cv_folds=3, use_yield_trend=False)
-    table = features.drop_zero_features(cut(_season_table(spark, sf, trended=False)))
+    table = features.drop_zero_features(cut(t.season_features(trended=False)))
     return pipeline.train_and_predict(table, cfg).scores
 
 
 # --- sources and sinks ----------------------------------------------------------------------
 
-def _written_source(spark, sf, name, df, level, country=None):
-    folder = f"{checkpoint_dir(spark)}/sources/{name}/{sf.strip('/').replace('/', '_')}"
+def _folder(t, name):
+    app = t.spark.sparkContext.applicationId
+    return f"{checkpoint_dir(t.spark)}/{app}/{name}/{t.sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
+
+
+def _written_source(t, name, df, level, country=None):
+    folder = _folder(t, name)
     df.write.mode("overwrite").option("header", True).csv(
         readers.source_path(folder, name, level, country))
     return folder
 
 
-@query
-def source_csv(spark, sf):
+@query()
+def source_csv(t):
     """Weather written as CSV and read back under the declared schema, with its origin."""
-    folder = _written_source(spark, sf, "METEO", domain.weather(spark, sf), "NUTS2", "RX")
-    return readers.read_source(spark, folder, "METEO", "NUTS2", "RX", with_origin=True)
+    folder = _written_source(t, "METEO", t.weather, "NUTS2", "RX")
+    return readers.read_source(t.spark, folder, "METEO", "NUTS2", "RX", with_origin=True)
 
 
-@query
-def source_levels(spark, sf):
+@query("monthly", "yields")
+def source_levels(t):
     """Area fractions of two levels as one table."""
     for length, level in ((4, "NUTS2"), (3, "NUTS1")):
         folder = _written_source(
-            spark, sf, "AREA_FRACTIONS", domain.areas(spark, sf, length), level, "RX")
-    return readers.read_levels(spark, folder, "AREA_FRACTIONS", ["NUTS2", "NUTS1"], "RX")
+            t, "AREA_FRACTIONS", t.areas(length), level, "RX")
+    return readers.read_levels(t.spark, folder, "AREA_FRACTIONS", ["NUTS2", "NUTS1"], "RX")
 
 
-@query
-def saved_features(spark, sf):
+@query("daily", "season", "yields", "model_table")
+def saved_features(t):
     cfg = RunConfig(country_code="RX")
-    folder = f"{checkpoint_dir(spark)}/saved/{sf.strip('/').replace('/', '_')}"
-    writers.save_features(_model_table(spark, sf), folder, cfg)
-    return writers.load_features(spark, folder, cfg)
+    folder = _folder(t, "saved")
+    writers.save_features(t.model_table, folder, cfg)
+    return writers.load_features(t.spark, folder, cfg)
 
 
-@query
-def saved_predictions(spark, sf):
+@query("yields")
+def saved_predictions(t):
     cfg = RunConfig(country_code="RX")
-    folder = f"{checkpoint_dir(spark)}/saved/{sf.strip('/').replace('/', '_')}"
-    wide = rollup.predictions_to_columns(
-        _predictions(spark, sf), ["line", "last"], ["IDREGION", "FYEAR", "YIELD"])
+    folder = _folder(t, "saved")
+    wide = t.wide_predictions
     writers.save_predictions(wide, folder, cfg, fmt="csv")
-    return writers.load_predictions(spark, folder, cfg, fmt="csv")
+    return writers.load_predictions(t.spark, folder, cfg, fmt="csv")

@@ -1,24 +1,32 @@
-"""Where intermediate results that are read many times are kept."""
+"""Where intermediate results that are read more than once are kept."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own_folder = None
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only when none is configured."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    """The session's shared checkpoint folder; a temporary one only when none is configured."""
+    global _own_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getCheckpointDir() or _own_folder
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="seasonframe-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+        folder = _own_folder = tempfile.mkdtemp(prefix="seasonframe-")
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder: survives lost executors, ends the lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write to a table in the shared checkpoint folder and continue from there.
+
+    Ends the lineage and survives lost executors like a checkpoint, but stays columnar: later
+    reads prune columns, push filters, and know the size when choosing a join.
+    """
+    spark = df.sparkSession
+    target = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
