@@ -1,0 +1,128 @@
+"""Window trends against numpy, region by region."""
+
+import numpy as np
+import pytest
+from conftest import rows
+from fixtures import yields
+from pyspark.sql import functions as F
+
+from seasonframe.operators import trend
+from seasonframe.operators.splits import with_split
+
+WINDOWS = [5, 7, 10]
+
+
+def history(df):
+    by_region = {}
+    for r in sorted(df.collect()):
+        by_region.setdefault(r["IDREGION"], []).append((r["FYEAR"], r["YIELD"]))
+    return by_region
+
+
+def line(points, at):
+    x, y = zip(*points)
+    slope, level = np.polyfit(np.array(x) - at, y, 1)
+    return level
+
+
+def brute(df, w):
+    """(region, year) -> (trend, leave-one-out error) from the previous w rows."""
+    out = {}
+    for region, points in history(df).items():
+        for i in range(w, len(points)):
+            past = points[i - w:i]
+            left_out = [round(line(past[:j] + past[j + 1:], past[j][0]), 2) for j in range(w)]
+            rmse = np.sqrt(np.mean([(p[1] - q) ** 2 for p, q in zip(past, left_out)]))
+            out[region, points[i][0]] = (line(past, points[i][0]), rmse)
+    return out
+
+
+def as_dict(df):
+    return {(r["IDREGION"], r["FYEAR"]): r for r in df.collect()}
+
+
+def test_known_line(spark):
+    df = spark.createDataFrame(
+        [("A", y, v) for y, v in zip(range(1, 7), (3.0, 5.0, 6.5, 9.0, 9.5, 0.0))],
+        "IDREGION string, FYEAR int, YIELD double")
+    assert rows(trend.fixed_window_trend(df, 5), "FYEAR", "YIELD_TREND") == [(6, 11.7)]
+    assert rows(trend.window_scores(df, [5]), "YIELD_TREND5") == [(11.7,)]
+
+
+@pytest.mark.parametrize("w", [3, 5, 7])
+def test_fixed_window(spark, w):
+    got, want = as_dict(trend.fixed_window_trend(yields(spark), w)), brute(yields(spark), w)
+    assert got.keys() == want.keys()
+    for key, (value, _) in want.items():
+        assert got[key]["YIELD_TREND"] == pytest.approx(value, abs=0.0051)
+
+
+def test_lags_skip_gaps(spark):
+    got = as_dict(trend.lag_columns(yields(spark), 3))
+    assert list(got["AA12", 1997])[2:5] == [1992, 1993, 1994]
+    assert trend.lag_columns(yields(spark), 3, "BB11").count() == 3
+    assert trend.lag_columns(yields(spark), 3).columns[2:] == [
+        "YEAR-3", "YEAR-2", "YEAR-1", "YIELD-3", "YIELD-2", "YIELD-1"]
+
+
+def test_leave_one_out(spark):
+    got, want = as_dict(trend.loo_rmse(yields(spark), 5)), brute(yields(spark), 5)
+    assert got.keys() == want.keys()
+    for key, (value, rmse) in want.items():
+        assert got[key]["CV_RMSE5"] == pytest.approx(rmse, abs=0.011)
+        assert got[key]["YIELD_TREND5"] == pytest.approx(value, abs=0.0051)
+    single = trend.loo_predictions(yields(spark), 5)
+    assert single.count() == 5 * len(want)
+    latest = single.filter("ITERATION = 1 AND IDREGION = 'AA12' AND FYEAR = 1997").first()
+    assert latest["YEAR"] == 1994
+
+
+def test_optimal_window_is_the_best_of_all(spark):
+    best = as_dict(trend.optimal_window_trend(yields(spark), WINDOWS))
+    each = {w: as_dict(trend.loo_rmse(yields(spark), w)) for w in WINDOWS}
+    assert best.keys() == each[5].keys()
+    for key, row in best.items():
+        errors = {w: t[key][f"CV_RMSE{w}"] for w, t in each.items() if key in t}
+        assert errors[row["OPT_TW"]] == min(errors.values())
+        assert row["YIELD_TREND"] == each[row["OPT_TW"]][key][f"YIELD_TREND{row['OPT_TW']}"]
+
+
+def test_ties_go_to_the_first_window(spark):
+    df = spark.createDataFrame([("A", y, 2.0 * y) for y in range(2000, 2012)],
+                               "IDREGION string, FYEAR int, YIELD double")
+    assert {r[0] for r in rows(trend.optimal_window_trend(df, [7, 5]), "OPT_TW")} == {7}
+    assert {r[0] for r in rows(trend.optimal_window_trend(df, [5, 7]), "OPT_TW")} == {5}
+
+
+def test_missing_yield_breaks_the_windows_over_it(spark):
+    df = yields(spark).withColumn("YIELD", F.when(F.col("FYEAR") != 1995, F.col("YIELD")))
+    years = {k[1] for k in as_dict(trend.window_scores(df, [3])) if k[0] == "AA11"}
+    assert years == {k[1] for k in as_dict(trend.fixed_window_trend(df, 3)) if k[0] == "AA11"}
+    assert not years & {1996, 1997, 1998}
+
+
+def test_point_queries(spark):
+    df = yields(spark)
+    row = trend.fixed_window_query(df, "AA11", 2000, 5).first()
+    assert row["PREDICTED"] == pytest.approx(brute(df, 5)["AA11", 2000][0], abs=0.0051)
+    assert row["ACTUAL"] == dict(history(df)["AA11"])[2000]
+    best = trend.optimal_window_query(df, "AA12", 2001, WINDOWS).first()
+    assert best["PREDICTED"] == as_dict(
+        trend.optimal_window_trend(df, WINDOWS))["AA12", 2001]["YIELD_TREND"]
+    assert trend.fixed_window_query(df, "BB11", 2000, 5).count() == 0
+
+
+@pytest.mark.parametrize("optimal", [False, True])
+def test_split_features(spark, optimal):
+    df = with_split(yields(spark), yields(spark), trend=True)
+    out = trend.trend_features(df, [3, 4], optimal)
+    assert out.columns == ["IDREGION", "FYEAR", "YIELD-3", "YIELD-2", "YIELD-1", "YIELD_TREND",
+                           "SPLIT"]
+    test_years = {r[0] for r in out.filter("SPLIT = 'test'").select("FYEAR").collect()}
+    assert test_years == {2000, 2001, 2002, 2003}
+    assert out.filter("SPLIT = 'train' AND FYEAR >= 2000").count() == 0
+
+
+def test_rounds(spark):
+    got = rows(trend.trend_rounds(yields(spark), 10, "AA11"))
+    assert got == [("AA11", i, 2003 - i, 1993 - i, 2002 - i) for i in range(4)]
