@@ -62,7 +62,9 @@ def _cells_to_visit(pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k:
 def _best_in_chunk(k: int):
     def best(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or rows.empty:
-            return pd.DataFrame({"qid": [], "dist": [], "tie": [], "y": []})
+            return pd.DataFrame({
+                "qid": pd.Series(dtype=object), "dist": pd.Series(dtype=float),
+                "tie": pd.Series(dtype="int64"), "y": pd.Series(dtype=float)})
         d = _distances(np.stack(queries["v"].to_numpy()), np.stack(rows["v"].to_numpy()))
         tie = rows["tie"].to_numpy()
         take = min(k, d.shape[1])
