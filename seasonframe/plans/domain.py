@@ -20,9 +20,9 @@ COLUMNS = {
     "nation": "n_nationkey int, n_regionkey int",
     "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
     "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz",
     "lineitem": "l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
-                "l_discount double, l_shipdate timestamp",
+                "l_discount double, l_shipdate timestamp_ntz",
 }
 YEARS = list(range(1995, 2002))
 
