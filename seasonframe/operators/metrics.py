@@ -83,8 +83,8 @@ def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int
         if by:
             joined = rows.join(F.broadcast(state), list(by))
         else:
-            joined = rows.withColumn("_one", F.lit(1)).join(
-                F.broadcast(state.withColumn("_one", F.lit(1))), "_one")
+            both = state.agg(F.collect_list(F.struct("_rank", "_k", "_lo", "_hi"))).scalar()
+            joined = rows.select("_x", F.explode(both).alias("_s")).select("_x", "_s.*")
         counted = joined.filter(x.between(F.col("_lo"), F.col("_hi"))).groupBy(
             *keys, "_k", bucket.alias("_b")).agg(
             F.count(x).alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
