@@ -7,8 +7,10 @@ multiples of a power of two: sums are exact, hence independent of the order rows
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ class Domain:
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         return cut(df) if name in self.kept else df
 
+    def prepare(self, *names: str) -> None:
+        """Build several kept tables at once, so that their jobs overlap on the cluster."""
+        build = inheritable_thread_target(self.spark)(lambda name: getattr(self, name))
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(build, names))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 

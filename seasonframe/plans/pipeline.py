@@ -23,7 +23,7 @@ from ..operators.splits import with_split
 from ..operators.summary import source_summary, yield_summary
 from ..operators.trend import lag_names, trend_features
 from ..sources import readers, writers
-from ..storage import cut
+from ..storage import cut, cut_all
 
 SERIES = ("WOFOST", "METEO", "REMOTE_SENSING")
 
@@ -75,14 +75,15 @@ def feature_table(parts: dict[str, DataFrame], calendar: DataFrame, cfg: RunConf
                   counts: dict | None = None) -> DataFrame:
     """Combined features and label per (IDREGION, FYEAR), with SPLIT."""
     yields = parts["YIELD"]
-    calendar = from_year(calendar.withColumn("SPLIT", F.lit("train")), yields).drop("SPLIT")
+    # small, and needed by every source's statistics and features
+    calendar = cut(from_year(calendar.withColumn("SPLIT", F.lit("train")), yields).drop("SPLIT"))
     features = {}
     for name in SERIES:
         if name in parts:
             # test rows of growth and weather are exempt from the first-year filter
             rows = from_year(parts[name], yields, train_only=name != "REMOTE_SENSING")
-            table = campaign_to_year(build_features(rows, calendar, SPECS[name]))
-            features[name] = drop_zero_features(cut(table))
+            features[name] = campaign_to_year(build_features(rows, calendar, SPECS[name]))
+    features = {n: drop_zero_features(df) for n, df in cut_all(features).items()}
     if cfg.use_yield_trend:
         features["YIELD_TREND"] = trend_features(
             yields, cfg.trend_windows, cfg.find_optimal_trend_window)

@@ -79,6 +79,8 @@ class Tables(domain.Domain):
 
     @cached_property
     def weather_features(self):
+        self.prepare("season")
+        self.prepare("weather_ready", "calendar")
         return features.period_features(
             self.weather_ready, self.calendar, features.SPECS["METEO"], self.weather_stats)
 
@@ -127,6 +129,7 @@ class Tables(domain.Domain):
 
     @cached_property
     def national(self):
+        self.prepare("monthly", "crop_growth")
         return self.keep("national", rollup.national_table(
             self.rolled_up, self.targets, clean.clean_forecast(self.forecasts, CROP),
             self.national_yields, ["IDREGION", "FYEAR"]))
@@ -142,6 +145,9 @@ class Tables(domain.Domain):
 
     def season_features(self, trended=True) -> DataFrame:
         """Growth, weather, remote sensing, soil, centroids, trend and yield in one table."""
+        self.prepare("daily", "yields")
+        self.prepare("season")
+        self.prepare("growth_ready", "weather_ready")
         yields = self.split(self.yields, trended=trended)
         series = {"WOFOST": self.growth_ready, "METEO": self.weather_ready,
                   "REMOTE_SENSING": self.greenness_ready}

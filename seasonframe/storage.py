@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder = None
@@ -30,3 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     target = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+def cut_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Cut several independent tables; their jobs overlap on the cluster."""
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    with ThreadPoolExecutor(len(tables)) as pool:
+        done = pool.map(inheritable_thread_target(spark)(cut), tables.values())
+        return dict(zip(tables, done))
