@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seasonframe.llm.decontaminate import benchmark_hits
 from seasonframe.llm.near_dedup import near_duplicates
+from seasonframe.llm.pii import pii_report
 from seasonframe.llm.workers import importable
 
 
@@ -13,10 +15,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=2)
 
 
+def op10_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_benchmark_hits": op10_benchmark_hits,
 }
