@@ -28,6 +28,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+# In what follows w is a column, never an expression: lambdas would evaluate that once per element.
 def _starts(w: Column, n: int) -> Column:
     return F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0)))
                   ).otherwise(F.array().cast("array<int>"))
@@ -72,8 +73,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
     """
     items = cut(benchmark.where("item_id IS NOT NULL").select(
         "item_id", words(F.col("text")).alias("w")).select(
-        "item_id", F.explode(F.arrays_zip(shingle_hashes(F.col("w"), n).alias("h"))).alias("s"))
-        .select("item_id", F.col("s.h").alias("h")).distinct())
+        "item_id", F.explode(shingle_hashes(F.col("w"), n)).alias("h")).distinct())
     sizes = items.groupBy("item_id").agg(F.count("*").alias("n_item"),
                                          F.array_sort(F.collect_set("h")).alias("all"))
     sampled = sizes.select("item_id", "n_item", F.slice("all", 1, SKETCH).alias("sketch"))
@@ -93,12 +93,14 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
         .where("found >= hits AND n_words >= wanted").select("doc_id", "item_id"))
 
     whole = benchmark.join(candidates.select("item_id").distinct(), "item_id", "left_semi").select(
-        "item_id", F.explode(shingle_texts(words(F.col("text")), n)).alias("shingle")).distinct()
+        "item_id", words(F.col("text")).alias("w")).select(
+        "item_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle")).distinct()
     asked = candidates.join(whole, "item_id")
     counts = whole.groupBy("item_id").agg(F.count("*").alias("n_item"))
     found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         candidates.select("doc_id").distinct(), "doc_id", "left_semi").select(
-        "doc_id", F.explode(shingle_texts(words(F.col("text")), n)).alias("shingle"))
+        "doc_id", words(F.col("text")).alias("w")).select(
+        "doc_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle"))
     return found.join(asked, ["doc_id", "shingle"]).groupBy("doc_id", "item_id").agg(
         F.count_distinct("shingle").alias("n_shared")).join(counts, "item_id").where(
         F.col("n_shared") * 100 >= F.col("n_item") * percent).select(
