@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonframe.llm.decontaminate import benchmark_hits
+from seasonframe.llm.language_id import UNKNOWN, predict_language, train_model
 from seasonframe.llm.near_dedup import near_duplicates
+from seasonframe.llm.packing import packed_documents
+from seasonframe.llm.secrets import redact_secrets
 from seasonframe.llm.workers import importable
 from seasonframe.storage import cut
 
@@ -18,6 +21,15 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language (null, or no letter at all) go."""
+    importable(spark)
+    model = train_model(docs)
+    if model is None:  # nothing to learn from, so nothing to reject by but the lack of letters
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return predict_language(docs, model).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, 80 % shared) stays."""
     importable(spark)
@@ -31,10 +43,28 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(docs, hits.select("doc_id").distinct())
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in it are replaced, and n_chars follows where it is there."""
+    importable(spark)
+    clean = redact_secrets(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in packed sequences."""
+    importable(spark)
+    return packed_documents(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("packing", packing),
 ]
 
 #: The language model and the packing have no SQL; tests hold each stage against a plain version.
