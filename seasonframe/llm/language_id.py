@@ -169,15 +169,17 @@ def train_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     return Model(families, weights, bias, duels)
 
 
-def predict_language(rows: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Rows with lang_pred and score appended, from the text alone; the other columns stay.
+def predict_language(rows: DataFrame, model: Model | None, text: str = "text",
+                     into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Rows with the language and a score from 0 to 1 appended, from the text alone. The other
+    columns stay; those already named as `into` are replaced.
 
     `und` with score 0 for null texts, texts with no letter, and where there is no model.
     """
     shared = rows.sparkSession.sparkContext.broadcast(model)  # a few arrays of BUCKETS numbers
-    schema = T.StructType([*(f for f in rows.schema if f.name not in ("lang_pred", "score")),
-                           T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(f for f in rows.schema if f.name not in into),
+                           T.StructField(into[0], T.StringType()),
+                           T.StructField(into[1], T.DoubleType())])
     kept = [f.name for f in schema][:-2]
 
     def run(batches):
@@ -188,7 +190,7 @@ def predict_language(rows: DataFrame, model: Model | None, text: str = "text") -
                 out.append((UNKNOWN, 0.0) if x is None else shared.value.predict(x))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array([o[0] for o in out], pa.string()),
-                 pa.array([o[1] for o in out], pa.float64())], [*kept, "lang_pred", "score"])
+                 pa.array([o[1] for o in out], pa.float64())], [*kept, *into])
     return rows.mapInArrow(run, schema)
 
 

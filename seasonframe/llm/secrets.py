@@ -122,12 +122,12 @@ def find_secrets(rows: DataFrame, text: str = "text", into: str = "secrets") ->
     return rows.withColumn(into, spans(F.col(text)))
 
 
-def redact_secrets(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Rows with every secret in `text` replaced; null stays null, other columns as they are."""
+def redact_secrets(rows: DataFrame, text: str = "text", into: str = "redacted") -> DataFrame:
+    """Rows with `into`: the text with every secret in it replaced; null stays null."""
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact(t, scan(t)) if t else t)
-    return rows.withColumn(text, clean(F.col(text)))
+    return rows.withColumn(into, clean(F.col(text)))
 
 
 def secret_report(documents: DataFrame) -> DataFrame:
