@@ -27,7 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_model(docs)
     if model is None:  # nothing to learn from, so nothing to reject by but the lack of letters
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return predict_language(docs, model).where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    found = predict_language(docs, model, into=("_found", "_found_score"))
+    return found.where(F.col("_found") != UNKNOWN).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +47,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in it are replaced, and n_chars follows where it is there."""
     importable(spark)
-    clean = redact_secrets(docs)
+    changed = {"text": F.col("_redacted")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("text").eqNullSafe(F.col("_redacted")), F.col("n_chars")
+                                    ).otherwise(F.length("_redacted")).cast(
+            docs.schema["n_chars"].dataType)
+    return redact_secrets(docs, into="_redacted").select(
+        *(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
