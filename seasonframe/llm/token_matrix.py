@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.tokens import LENGTH, TOKENIZER, pieces, token_bytes
+from seasonframe.llm.tokens import LENGTH, TOKENIZER, pieces, tokens_of
 
 WINDOW_TOKENS = 4_000_000
 ROWS_OUT = 256
@@ -103,8 +103,9 @@ def token_matrix(documents: DataFrame, length: int = LENGTH, tokenizer: str = TO
                 yield table(rows[at:at + ROWS_OUT])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                whole = np.frombuffer(token_bytes(text.as_py(), tokenizer), "<u4")
+            texts = (text.as_py() for text in batch.column("text"))
+            for doc_id, whole in zip(batch.column("doc_id"), tokens_of(texts, tokenizer)):
+                whole = np.frombuffer(whole, "<u4")
                 if whole.max() >= 1 << 16:
                     raise ValueError("ids of this vocabulary do not fit into 16 bits")
                 for k, _, part in pieces(whole.tobytes(), length):

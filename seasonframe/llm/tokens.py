@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,34 +14,68 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+GROUP = 1 << 20
+LONG = 64  # characters from which a chunk is not remembered
 
 
-class WordIds(dict):
+class WordIds:
     """Ids (little-endian 32-bit) of blank-separated chunks, remembered up to a bound.
 
     The tokenizer splits at white space, lower-cases letter by letter and keeps runs of letters
     apart from punctuation, so chunks are independent of each other, plain upper case equals lower
-    case, and one final stop or comma after a plain letter is a token run of its own. Everything
-    else goes through the tokenizer as it is.
+    case, and one final stop or comma after a plain letter is a token run of its own. New words of
+    lower-case letters only are tokenized many at a time: each ends with the one token that closes
+    a word. Everything else goes through the tokenizer as it is.
     """
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if chunk.isascii() and not chunk.islower() and chunk != chunk.lower() and "<" not in chunk:
-            ids = self[chunk.lower()]
-        elif chunk[-1:] in (".", ",") and chunk[-2:-1].isascii() and chunk[-2:-1].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]
-        else:
-            ids = np.array(self.encode(chunk), "<u4").tobytes()
-        if len(chunk) < 64:
-            self[chunk] = ids
-        return ids
+    def __init__(self, model):
+        self.model, self.ids = model, {}
+        vocabulary = model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn_words(self, words: list[str]) -> None:
+        ids = self.encode(" ".join(words))
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(words):
+            data, at = ids.tobytes(), 0
+            for word, end in zip(words, (4 * ends).tolist()):
+                self.ids[word] = data[at:end]
+                at = end
+
+    def learn(self, chunks: set[str]) -> None:
+        if len(self.ids) > REMEMBERED:
+            self.ids.clear()
+        known, words = self.ids, set()
+        for chunk in (new := chunks.difference(known)):
+            word = _base(chunk)
+            if word not in known and word.isalpha() and word == word.lower():
+                words.add(word)
+        words = list(words)
+        for at in range(0, len(words), 5000):
+            self._learn_words(words[at:at + 5000])
+        for chunk in new:
+            if chunk in known:
+                continue
+            word = _base(chunk)
+            if word in known:
+                closing = chunk[-1] if len(chunk) > len(word) else ""
+                if closing and closing not in known:
+                    known[closing] = self.encode(closing).tobytes()
+                known[chunk] = known[word] + (known[closing] if closing else b"")
+            else:
+                known[chunk] = self.encode(chunk).tobytes()
+
+
+def _base(chunk: str) -> str:
+    """A chunk without one final stop or comma after a plain letter, plain capitals lowered."""
+    if chunk[-1:] in (".", ",") and chunk[-2:-1].isascii() and chunk[-2:-1].isalpha():
+        chunk = chunk[:-1]
+    return chunk.lower() if chunk.isascii() and "<" not in chunk else chunk
 
 
 @functools.lru_cache
@@ -49,14 +83,33 @@ def _word_ids(tokenizer: str) -> WordIds:
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-    return WordIds(lambda chunk: model.encode(chunk, add_special_tokens=False).ids)
+    return WordIds(Tokenizer.from_file(public_tokenizers.path(tokenizer)))
+
+
+def tokens_of(texts: Iterable[str | None], tokenizer: str = TOKENIZER) -> Iterator[bytes]:
+    """Per text, ids of the whole text and a final id 0, 4 bytes each, little-endian; null is
+    empty. Texts are taken about GROUP characters at a time."""
+    words, held, size = _word_ids(tokenizer), [], 0
+
+    def flush():
+        words.learn(set().union(*held))
+        find = words.ids.__getitem__
+        for chunks in held:
+            yield b"".join(map(find, chunks)) + END
+        for chunk in [c for chunks in held for c in chunks if len(c) > LONG]:
+            words.ids.pop(chunk, None)
+
+    for text in texts:
+        held.append((text or "").replace("\n", " ").split(" "))
+        size += len(text or "")
+        if size > GROUP:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
 
 
 def token_bytes(text: str | None, tokenizer: str = TOKENIZER) -> bytes:
-    """Ids of the whole text and a final id 0, 4 bytes each, little-endian; null is empty."""
-    chunks = (text or "").replace("\n", " ").split(" ")
-    return b"".join(map(_word_ids(tokenizer).__getitem__, chunks)) + END
+    return next(tokens_of([text], tokenizer))
 
 
 def pieces(ids: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, bytes]]:
@@ -78,8 +131,9 @@ def piece_table(documents: DataFrame, length: int = LENGTH, with_ids: bool = Fal
     def run(batches):
         for batch in batches:
             rows, held = [], 0
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                for k, start, ids in pieces(token_bytes(text.as_py(), tokenizer), length):
+            texts = (text.as_py() for text in batch.column("text"))
+            for doc_id, whole in zip(batch.column("doc_id"), tokens_of(texts, tokenizer)):
+                for k, start, ids in pieces(whole, length):
                     rows.append((doc_id.as_py(), k, start, len(ids) // 4, zlib.crc32(ids), ids)
                                 [:len(names)])
                     held += len(ids)
