@@ -8,9 +8,9 @@ sets. Candidates are never listed pair by pair:
 1. Documents with equal shingle sets form a class; only one document of each class goes on.
 2. Every class is compared with one leader: the first class of the bucket it shares most with.
 3. Where a bucket still holds several components, members of the smaller are compared with all
-   members of the larger, and members of small components with each other, in blocks of bounded
-   size. A block skips what is linked already and returns at most one link per member and
-   component. This repeats until no new link appears, so no candidate stays untested.
+   members of large ones, then members of small components with each other (in the first bucket
+   that two of them share), in blocks of bounded size. A block skips what is linked already and
+   returns at most one link per member and component. So no candidate stays untested.
 """
 
 from __future__ import annotations
@@ -122,7 +122,10 @@ def _pair_links(percent: int, miss: float):
 
 
 def block_links(block: pd.DataFrame, percent: int, miss: float) -> list[tuple[int, int]]:
-    """Links between the two sides of a block (or within it, if there is one side only)."""
+    """Links between the two sides of a block (or within it, if there is one side only).
+
+    With `band`, pairs that agree on an earlier band are left to the bucket they share there.
+    """
     floors = least_matches(percent / 100, miss)
     block = block.sort_values("rep", kind="stable").reset_index(drop=True)
     reps = block["rep"].to_numpy()
@@ -132,6 +135,7 @@ def block_links(block: pd.DataFrame, percent: int, miss: float) -> list[tuple[in
     side = block["side"].to_numpy()
     sides = np.unique(side)
     left = np.flatnonzero(side == sides[0])
+    band = int(block["band"].iloc[0]) if len(block) else 0
     links = []
     for i in left:
         right = np.flatnonzero(side == sides[1]) if len(sides) > 1 else np.arange(i + 1, len(reps))
@@ -142,6 +146,10 @@ def block_links(block: pd.DataFrame, percent: int, miss: float) -> list[tuple[in
             equal += (sigs[right, span] == sigs[i, span]).sum(axis=1)
             stays = equal >= floor
             right, equal = right[stays], equal[stays]
+        if band > 0:
+            agree = (sigs[right, :band * ROWS] == sigs[i, :band * ROWS]).reshape(-1, band, ROWS)
+            first = ~agree.all(axis=2).any(axis=1)
+            right, equal = right[first], equal[first]
         for j in right[np.argsort(-equal, kind="stable")]:
             if parts[j] != parts[i] and _reaches(
                     _common(sets[i], sets[j]), len(sets[i]), len(sets[j]), percent):
@@ -161,33 +169,36 @@ def _blocks(rows, largest):
     return F.ceil(rows / F.floor(fit)).cast("int")
 
 
-def _against_larger(mixed: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+def _against_larger(mixed: DataFrame, present: DataFrame, labels: DataFrame) -> DataFrame:
     """Blocks that hold members of smaller components against whole larger ones."""
-    there = mixed.join(sizes, "comp")
-    large = there.where(F.col("size") > BLOCK_ROWS).select(
-        "key", F.col("comp").alias("x"), F.col("size").alias("x_size")).distinct()
-    left = there.join(large, "key").where(
-        F.struct("size", "comp") < F.struct("x_size", "x")).groupBy("rep", "x").agg(
-        F.first("comp").alias("comp"), F.first("x_size").alias("x_size"),
-        F.first("n_shingles").alias("n_shingles"))
+    large = present.where(F.col("size") > BLOCK_ROWS).select(
+        "key", F.col("comp").alias("x"), F.col("size").alias("x_size"))
+    sizes = present.select("comp", "size").distinct()
+    left = mixed.join(large, (mixed["key"] == large["key"]) & (F.col("comp") != F.col("x"))).groupBy(
+        "rep", "x").agg(F.first("comp").alias("comp"), F.first("x_size").alias("x_size"),
+                        F.first("n_shingles").alias("n_shingles")).join(sizes, "comp").where(
+        F.struct("size", "comp") < F.struct("x_size", "x"))
     groups = left.groupBy("x").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most"),
                                    F.first("x_size").alias("x_size")).select(
         "x", _blocks(F.col("rows"), F.col("most")).alias("p"),
         _blocks(F.col("x_size"), F.col("most")).alias("q"))
     left = left.select("rep", "comp", "x").join(groups, "x").select(
         "x", _spread("rep", F.col("p")).alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(0).alias("side"), "rep",
-        "comp")
+        F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(-1).alias("band"),
+        F.lit(0).alias("side"), "rep", "comp")
     right = labels.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(
         groups, F.col("comp") == F.col("x")).select(
         "x", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"),
-        _spread("rep", F.col("q")).alias("j"), F.lit(1).alias("side"), "rep", "comp")
+        _spread("rep", F.col("q")).alias("j"), F.lit(-1).alias("band"), F.lit(1).alias("side"),
+        "rep", "comp")
     return left.unionByName(right)
 
 
-def _among_small(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Blocks of each bucket's members that belong to small components."""
-    there = mixed.join(sizes, "comp").where(F.col("size") <= BLOCK_ROWS)
+def _among_small(mixed: DataFrame, present: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of each bucket's members that were in small components, with their components now."""
+    small = present.where((F.col("size") <= BLOCK_ROWS) & (F.col("several_small"))).select(
+        "key", "comp")
+    there = _labelled(mixed.join(small, ["key", "comp"]).drop("comp"), labels)
     buckets = there.groupBy("key").agg(
         F.count("*").alias("rows"), F.max("n_shingles").alias("most"),
         F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(
@@ -195,7 +206,13 @@ def _among_small(mixed: DataFrame, sizes: DataFrame) -> DataFrame:
     placed = there.join(buckets, "key").withColumn("side", _spread("rep", F.col("p")))
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).select(
         F.col("key").alias("x"), F.least("side", "other").alias("i"),
-        F.greatest("side", "other").alias("j"), "side", "rep", "comp")
+        F.greatest("side", "other").alias("j"), "band", "side", "rep", "comp")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the component of rep; one without links is its own."""
+    return rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "comp", F.coalesce("root", "rep")).drop("root")
 
 
 def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80,
@@ -214,7 +231,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80,
     classes = cut(described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands")))
-    banded = classes.select(F.explode("bands").alias("key"), "rep", "n_shingles")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep", "n_shingles")
     leaders = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")
                                         ).where("leader != last").drop("last")
     buckets = cut(banded.join(leaders, "key"))
@@ -237,23 +254,24 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80,
         return cut(blocks.join(sets, "rep").groupBy("x", "i", "j").applyInPandas(
             run, "a long, b long"))
 
-    while True:
-        labels = cut(connected_components(links))
-        placed = buckets.select("key", "rep", "n_shingles").join(
-            labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", "n_shingles", F.coalesce("root", "rep").alias("comp"))
-        several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")
-                                            ).where("low != high").select("key")
-        mixed = cut(placed.join(several, "key", "left_semi"))
-        sizes = mixed.select("comp").distinct().join(
-            labels.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size")), "comp",
-            "left").na.fill(1, ["size"])
-        new = found(_against_larger(mixed, labels, sizes))
-        if new.isEmpty():
-            new = found(_among_small(mixed, sizes))
+    def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
         if new.isEmpty():
-            break
-        links = labels.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)
+            return labels
+        known = labels.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        return cut(connected_components(known.unionByName(new)))
+
+    labels = cut(connected_components(links))
+    placed = _labelled(buckets.select("key", "band", "rep", "n_shingles"), labels)
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")
+                                        ).where("low != high").select("key")
+    mixed = cut(placed.join(several, "key", "left_semi"))
+    sizes = labels.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
+    present = mixed.select("key", "comp").distinct().join(sizes, "comp", "left").na.fill(1, ["size"])
+    several = present.where(F.col("size") <= BLOCK_ROWS).groupBy("key").agg(
+        (F.count("*") > 1).alias("several_small"))
+    present = cut(present.join(several, "key", "left").na.fill(False, ["several_small"]))
+    labels = joined(labels, found(_against_larger(mixed, present, labels)))
+    labels = joined(labels, found(_among_small(mixed, present, labels)))
 
     groups = classes.select("set_key", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left").select(
