@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 LENGTH = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 GROUP = 1 << 20
 LONG = 64  # characters from which a chunk is not remembered
 
