@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, replace
 
 from .schemas import COUNTRIES, CROP_IDS, CROP_NAMES, LEVELS
@@ -82,8 +83,9 @@ class RunConfig:
     @property
     def sources(self) -> dict[str, str]:
         """Source name -> region level. Remote sensing is kept one level, NUTS2, for all runs."""
-        chosen = dict(self.data_sources) if self.data_sources else {
-            s: self.nuts_level for s in BASE_SOURCES
+        wanted = self.data_sources or BASE_SOURCES
+        chosen = dict(wanted) if isinstance(wanted, Mapping) else {
+            s: "NUTS2" if s == "REMOTE_SENSING" else self.nuts_level for s in wanted
         }
         for source, wanted, level in (
             ("CENTROIDS", self.use_centroids, self.nuts_level),

@@ -7,10 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import CROP_IDS
+
 # Crops, countries with their level, early-season dekads, kinds of experiment.
 CROPS = ("potatoes", "sugar beets", "spring barley", "sunflower")
 COUNTRY_LEVELS = {"NL": "NUTS2", "FR": "NUTS3", "DE": "NUTS3"}
-EARLY_DEKADS = {"potatoes": 18, "sugarbeet": 21, "spring barley": 18, "sunflower": 18}
+# by crop id, since a crop goes by several names
+EARLY_DEKADS = {7: 18, 6: 21, 95: 18, 93: 18}
 KINDS = {
     "rand": ("N", "N"),
     "trend": ("Y", "N"),
@@ -27,7 +30,7 @@ def experiment_grid(spark: SparkSession, crops: Sequence[str] = CROPS,
                          for row in values])
 
     crop = rows(("crop_name", "early_season_end_dekad"),
-                [(c, EARLY_DEKADS.get(c)) for c in crops])
+                [(c, EARLY_DEKADS.get(CROP_IDS[c])) for c in crops])
     country = rows(("country_code", "nuts_level"), list(countries.items()))
     kind = rows(("experiment", "use_yield_trend", "early_season_prediction"),
                 [(k, *flags) for k, flags in KINDS.items()])

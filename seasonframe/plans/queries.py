@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -325,11 +326,12 @@ def weather_dekadal(t):
 @query("daily")
 def weather_dekadal_view(t):
     """The same aggregation written in SQL over a temporary view of the aligned weather."""
-    t.weather_ready.createOrReplaceTempView("aligned_weather")
-    return t.spark.sql("""
+    view = f"aligned_weather_{uuid.uuid4().hex}"
+    t.weather_ready.createOrReplaceTempView(view)
+    return t.spark.sql(f"""
         SELECT IDREGION, CAMPAIGN_YEAR, CAMPAIGN_DEKAD, max(TMAX) AS TMAX, min(TMIN) AS TMIN,
                bround(sum(PREC), 2) AS PREC, count(*) AS DAYS
-        FROM aligned_weather GROUP BY ALL""")
+        FROM {view} GROUP BY ALL""")
 
 
 @query("crop_growth")

@@ -22,25 +22,47 @@ def read_source(spark: SparkSession, path: str, source: str, level: str,
                 with_origin: bool = False) -> DataFrame:
     """Read one source at one level.
 
-    A CSV file gets its types from the declared columns, matched to the header by name: only
-    the header line is read up front, never the data. `with_origin` adds LEVEL and COUNTRY
-    taken from each file's name, so a glob over several files stays one DataFrame.
+    A CSV file gets its types from the declared columns, matched to its own header by name: only
+    header lines are read up front, never the data. Files of a glob may have their columns in
+    any order, or some of them only; those with the same header share one scan. `with_origin` adds
+    LEVEL and COUNTRY taken from each file's name.
     """
     file = source_path(path, source, level, country, fmt)
     if fmt == "parquet":
-        df = spark.read.parquet(file)
+        frames = [spark.read.parquet(file)]
     else:
-        header = spark.read.option("header", True).csv(file).columns
-        df = spark.read.schema(source_schema(source, header)).option("header", True).csv(file)
+        frames = [spark.read.schema(source_schema(source, header)).option("header", True).csv(files)
+                  for header, files in _by_header(spark, file, fmt).items()]
     if with_origin:
         name = F.col("_metadata.file_path")
         pattern = rf"{source}_(NUTS\d)(?:_([A-Z0-9]{{2}}))?\.[a-z]+"
-        df = df.select(
+        frames = [df.select(
             "*",
             F.regexp_extract(name, pattern, 1).alias("LEVEL"),
             F.regexp_extract(name, pattern, 2).alias("COUNTRY"),
-        )
-    return df
+        ) for df in frames]
+    return _merged(frames)
+
+
+def _by_header(spark: SparkSession, file: str, fmt: str) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the CSV files (or folders of part files) behind a path that have it."""
+    found = spark.read.option("header", True).csv(file)
+    if not any(c in file.rsplit("/", 1)[-1] for c in "*?[{"):
+        return {tuple(found.columns): [file]}
+    folders = (name.rsplit("/", 1)[0] for name in found.inputFiles())
+    units = {f if f.endswith(f".{fmt}") else name for f, name in zip(folders, found.inputFiles())}
+    headers = {}
+    for unit in sorted(units):
+        header = spark.read.option("header", True).csv(unit).columns
+        headers.setdefault(tuple(header), []).append(unit)
+    return headers
+
+
+def _merged(frames: list[DataFrame]) -> DataFrame:
+    merged = frames[0]
+    for frame in frames[1:]:
+        merged = merged.unionByName(frame, allowMissingColumns=True)
+    return merged
 
 
 def read_levels(spark: SparkSession, path: str, source: str, levels: Iterable[str],
@@ -50,10 +72,7 @@ def read_levels(spark: SparkSession, path: str, source: str, levels: Iterable[st
         read_source(spark, path, source, level, country, fmt).withColumn("LEVEL", F.lit(level))
         for level in levels
     ]
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged
+    return _merged(frames)
 
 
 def load_all(spark: SparkSession, cfg: RunConfig,

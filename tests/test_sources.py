@@ -51,6 +51,26 @@ def test_several_countries_with_origin(spark, folder):
         ("FR10", "NUTS2", "FR"), ("NL11", "NUTS2", "NL")]
 
 
+def test_files_are_read_under_their_own_headers(spark, tmp_path):
+    put(tmp_path, "SOIL_NUTS2_AA.csv", "IDREGION,SM_WP,SM_FC\nAA11,0.1,0.3\n")
+    put(tmp_path, "SOIL_NUTS2_BB.csv", "IDREGION,SM_FC,SM_WP\nBB11,0.4,0.2\n")
+    put(tmp_path, "YIELD_NUTS2_AA.csv", "Crop,IDREGION,1994,1995\nPotatoes,AA11,40,41\n")
+    put(tmp_path, "YIELD_NUTS2_BB.csv", "Crop,IDREGION,1995,1996\nPotatoes,BB11,50,51\n")
+    soil = readers.read_source(spark, str(tmp_path), "SOIL", "NUTS2", "*")
+    assert rows(soil, "IDREGION", "SM_WP", "SM_FC") == [("AA11", 0.1, 0.3), ("BB11", 0.2, 0.4)]
+    wide = readers.read_source(spark, str(tmp_path), "YIELD", "NUTS2", "*", with_origin=True)
+    got = {r["IDREGION"]: (r["1994"], r["1995"], r["1996"], r["COUNTRY"]) for r in wide.collect()}
+    assert {k: tuple(v and str(float(v)) if i < 3 else v for i, v in enumerate(r))
+            for k, r in got.items()} == {
+        "AA11": ("40.0", "41.0", None, "AA"), "BB11": (None, "50.0", "51.0", "BB")}
+
+
+def test_sources_as_a_list():
+    cfg = RunConfig(data_sources=["SOIL", "REMOTE_SENSING"], use_remote_sensing=True,
+                    nuts_level="NUTS3")
+    assert cfg.sources["SOIL"] == "NUTS3" and cfg.sources["REMOTE_SENSING"] == "NUTS2"
+
+
 def test_levels(spark, folder):
     df = readers.read_levels(spark, str(folder), "AREA_FRACTIONS", ["NUTS2", "NUTS1"], "NL")
     assert rows(df, "IDREGION", "LEVEL") == [("NL1", "NUTS1"), ("NL11", "NUTS2")]
@@ -110,6 +130,7 @@ def test_config_options():
 
 def test_experiment_grid(spark):
     grid = experiment_grid(spark)
+    assert grid.filter("early_season_end_dekad IS NULL").isEmpty()
     assert grid.count() == 4 * 3 * 4
     assert grid.filter("crop_name = 'potatoes' AND country_code = 'FR' AND nuts_level = 'NUTS3' "
                        "AND experiment = 'trend-early' AND use_yield_trend = 'Y' "
