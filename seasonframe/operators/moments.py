@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FEATURES = 2000
+MATRIX_BYTES = 256 << 20  # of one group, in a task and on the driver
 
 
 def quoted(names: Iterable[str]) -> list[str]:
@@ -64,10 +66,10 @@ class Moments:
 
 
 def collect_moments(df: DataFrame, features: Sequence[str], label: str, group: str) -> Moments:
-    """Run the pass: tasks build one partial matrix per group, Spark sums them entry by entry."""
+    """Run the pass: tasks build one partial matrix per group, Spark sums them as vectors."""
     features = list(features)
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"{len(features)} features: the cross products no longer fit the driver")
+    if 8 * (len(features) + 2) ** 2 > MATRIX_BYTES:
+        raise ValueError(f"{len(features)} features: the cross products take over {MATRIX_BYTES} bytes")
     rows = df.select(group, *quoted(features), label).na.drop()
     stats = rows.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(quoted(features))],
@@ -86,16 +88,15 @@ def collect_moments(df: DataFrame, features: Sequence[str], label: str, group: s
                 block = np.column_stack([np.ones(len(z)), z, part[label].to_numpy(float)])
                 sums[key] = sums.get(key, 0.0) + block.T @ block
         for key, matrix in sums.items():
-            yield pd.DataFrame({
-                "grp": int(key), "pos": np.arange(len(upper[0])), "val": matrix[upper]})
+            yield pd.DataFrame({"grp": [int(key)], "val": [matrix[upper]]})
 
-    summed = rows.mapInPandas(partial_products, "grp int, pos int, val double") \
-        .groupBy("grp", "pos").agg(F.sum("val").alias("val")).collect()
+    summed = rows.mapInPandas(partial_products, "grp int, val array<double>").groupBy("grp").agg(
+        Summarizer.sum(array_to_vector("val")).alias("val")).collect()
     groups = {}
     for r in summed:
-        matrix = groups.setdefault(r["grp"], np.zeros((d + 2, d + 2)))
-        i, j = upper[0][r["pos"]], upper[1][r["pos"]]
-        matrix[i, j] = matrix[j, i] = r["val"]
+        matrix = groups[r["grp"]] = np.zeros((d + 2, d + 2))
+        matrix[upper] = r["val"].toArray()
+        matrix.T[upper] = matrix[upper]
     return Moments(tuple(features), center, scale, groups)
 
 
@@ -126,8 +127,10 @@ def ridge_weights(total: np.ndarray, alpha: float, unit: np.ndarray | None = Non
     return label_mean - w @ mean, w
 
 
-def lasso_weights(total: np.ndarray, alpha: float, sweeps: int = 2000, tol: float = 1e-10):
-    """Standardised coefficients of  |y - Xb|^2 / 2n + alpha |b|_1, by coordinate descent."""
+def lasso_weights(total: np.ndarray, alpha: float, sweeps: int = 100_000, tol: float = 1e-10):
+    """Standardised coefficients of  |y - Xb|^2 / 2n + alpha |b|_1, by coordinate descent.
+
+    Raises ArithmeticError where `sweeps` do not reach `tol`."""
     mean, spread, cov, with_label, _, n = _centered(total)
     gram, target = cov / np.outer(spread, spread) / n, with_label / spread / n
     b = np.zeros(len(target))
@@ -141,8 +144,8 @@ def lasso_weights(total: np.ndarray, alpha: float, sweeps: int = 2000, tol: floa
             moved = max(moved, abs(new - b[j]))
             b[j] = new
         if moved < tol:
-            break
-    return b
+            return b
+    raise ArithmeticError(f"lasso: coefficients still move by {moved} after {sweeps} sweeps")
 
 
 def squared_error(total: np.ndarray, intercept: float, weights: np.ndarray) -> float:

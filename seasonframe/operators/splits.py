@@ -73,7 +73,7 @@ def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR")) ->
     """Add FOLD 0..k-1: contiguous blocks of the rows sorted by region, then year; the first
     n mod k folds are one row longer.
 
-    A single global sort would funnel all rows through one task. Positions are summed up in
+    A null region is a region like any other. A single global sort would funnel all rows through one task. Positions are summed up in
     levels instead: rows within a region, regions within a two-character prefix, prefixes.
     """
     region, *rest = order
@@ -81,7 +81,7 @@ def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR")) ->
     regions = df.groupBy(region).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_pre", prefix)
     # one row per two-character prefix: a bounded table, hence the unpartitioned window
     prefixes = regions.groupBy("_pre").agg(F.sum("_rows").alias("_in_prefix")).select(
-        "_pre",
+        F.col("_pre").alias("_same"),
         F.coalesce(F.sum("_in_prefix").over(
             Window.orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)).alias("_before_prefix"),
@@ -90,8 +90,8 @@ def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR")) ->
         Window.unboundedPreceding, -1)
     offsets = regions.withColumn(
         "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).join(F.broadcast(prefixes), "_pre").select(
-        region, (F.col("_before") + F.col("_before_prefix")).alias("_offset"))
+    ).join(F.broadcast(prefixes), F.col("_pre").eqNullSafe(F.col("_same"))).select(
+        F.col(region).alias("_region"), (F.col("_before") + F.col("_before_prefix")).alias("_offset"))
 
     total = df.agg(F.count(F.lit(1))).scalar()
     place = F.col("_offset") + F.row_number().over(
@@ -100,5 +100,5 @@ def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR")) ->
     long_part = extra * (size + 1)
     fold = F.when(F.col("_place") < long_part, F.floor(F.col("_place") / (size + 1))) \
         .otherwise(extra + F.floor((F.col("_place") - long_part) / F.greatest(size, F.lit(1))))
-    return df.join(offsets, region).withColumn("_place", place) \
-        .withColumn("FOLD", fold.cast("int")).drop("_offset", "_place")
+    return df.join(offsets, F.col(region).eqNullSafe(F.col("_region"))).withColumn("_place", place) \
+        .withColumn("FOLD", fold.cast("int")).drop("_region", "_offset", "_place")

@@ -26,7 +26,6 @@ COLUMNS = {
     "lineitem": "l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
                 "l_discount double, l_shipdate timestamp_ntz",
 }
-YEARS = list(range(1995, 2002))
 
 
 def _cents(column: str) -> str:
@@ -170,9 +169,10 @@ class Domain:
 
     @cached_property
     def wide_yields(self) -> DataFrame:
-        """The same yields with one column per year."""
-        return self.raw_yields.groupBy("Crop", "IDREGION").pivot("FYEAR", YEARS).agg(
-            F.first("YIELD"))
+        """The same yields with one column per year that occurs."""
+        years = self.monthly.select(F.year("month").alias("y")).where("y IS NOT NULL").distinct()
+        return self.raw_yields.groupBy("Crop", "IDREGION").pivot(
+            "FYEAR", sorted(r["y"] for r in years.collect())).agg(F.first("YIELD"))
 
     @cached_property
     def yields(self) -> DataFrame:

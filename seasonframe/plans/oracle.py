@@ -151,12 +151,12 @@ ORACLE["crop_filter"] = "SELECT * EXCLUDE (FYEAR, DEKAD) FROM v_growth"
 _CLEAN = "SELECT IDREGION, FYEAR, YIELD FROM v_raw_yields WHERE Crop <> 'Soybean' AND YIELD > 0"
 ORACLE["clean_yield_long"] = _CLEAN
 ORACLE["clean_yield_wide"] = _CLEAN
-VIEWS["v_wide_yields"] = "SELECT Crop, IDREGION, " + ", ".join(
-    f"max(YIELD) FILTER (WHERE FYEAR = {y}) AS y{y}" for y in range(1995, 2002)
-) + " FROM v_raw_yields GROUP BY ALL"
-ORACLE["unpivoted_years"] = " UNION ALL ".join(
-    f"SELECT Crop, IDREGION, {y} AS FYEAR, y{y} AS YIELD FROM v_wide_yields"
-    for y in range(1995, 2002))
+ORACLE["unpivoted_years"] = """
+    SELECT k.Crop, k.IDREGION, CAST(y.FYEAR AS INTEGER) AS FYEAR, r.YIELD
+    FROM (SELECT DISTINCT Crop, IDREGION FROM v_raw_yields) k
+    CROSS JOIN (SELECT DISTINCT FYEAR FROM v_raw_yields) y
+    LEFT JOIN v_raw_yields r
+      ON r.Crop = k.Crop AND r.IDREGION = k.IDREGION AND r.FYEAR = y.FYEAR"""
 ORACLE["empty_columns_dropped"] = "SELECT * FROM v_soil"
 ORACLE["clean_forecast"] = "SELECT * FROM v_forecasts"
 ORACLE["clean_area"] = "SELECT * FROM v_areas4"

@@ -11,22 +11,22 @@ COLUMNS = ["CAMPAIGN_YEAR", "START_DVS", "START_DVS1", "START_DVS2", "CALENDAR_E
 
 def test_calendar(spark):
     cal = calendars.calendar_summary(stages(spark))
-    assert rows(cal, *COLUMNS) == [(1979, 23, 26, 33, 24, 34), (1980, 23, 29, 34, 25, 35)]
+    assert rows(cal, *COLUMNS) == [(2003, 21, 26, 32, 21, 33), (2004, 22, 27, 34, 23, 35)]
 
 
 def test_calendar_early(spark):
     cal = calendars.calendar_summary(stages(spark), early_offset=-6)
-    assert rows(cal, "CAMPAIGN_EARLY_SEASON", "CALENDAR_EARLY_SEASON") == [(28, 18), (29, 19)]
+    assert rows(cal, "CAMPAIGN_EARLY_SEASON", "CALENDAR_EARLY_SEASON") == [(27, 15), (29, 17)]
 
 
 def test_campaign_missing_a_stage_is_left_out(spark):
-    cal = calendars.calendar_summary(stages(spark).filter("FYEAR = 1979 OR DVS < 200"))
-    assert rows(cal, "CAMPAIGN_YEAR") == [(1979,)]
+    cal = calendars.calendar_summary(stages(spark).filter("FYEAR = 2003 OR DVS < 200"))
+    assert rows(cal, "CAMPAIGN_YEAR") == [(2003,)]
 
 
 def test_country_calendar_rounds_half_to_even(spark):
     cal = calendars.country_calendar(calendars.calendar_summary(stages(spark)))
-    assert rows(cal) == [("NL", 23.0, 28.0, 34.0, 34.0)]  # 27.5, 33.5 and 34.5 before
+    assert rows(cal) == [("AT", 22.0, 26.0, 33.0, 34.0)]  # 21.5 and 26.5 before
 
 
 def in_periods(spark, early):
@@ -52,35 +52,36 @@ def test_periods_end_with_an_early_season(spark):
 def test_report(spark):
     report = calendars.calendar_report(calendars.calendar_summary(stages(spark)))
     assert rows(report, "PERIOD", "START", "STOP") == [
-        ("p0", 12.0, 23.0), ("p1", 22.0, 24.0), ("p2", 23.0, 28.0), ("p3", 27.0, 29.0),
-        ("p4", 28.0, 34.0), ("p5", 33.0, 35.0)]
+        ("p0", 11.0, 22.0), ("p1", 21.0, 23.0), ("p2", 22.0, 26.0), ("p3", 25.0, 27.0),
+        ("p4", 26.0, 33.0), ("p5", 32.0, 34.0)]
     early = calendars.calendar_report(calendars.calendar_summary(stages(spark), -6), early=True)
-    # mean early season is 28.5, rounded to 28: flowering is cut, later periods vanish
+    # mean early season is 28: yield formation is cut, the harvest window vanishes
     assert rows(early, "PERIOD", "START", "STOP") == [
-        ("p0", 12.0, 23.0), ("p1", 22.0, 24.0), ("p2", 23.0, 28.0), ("p3", 27.0, 28.0)]
+        ("p0", 11.0, 22.0), ("p1", 21.0, 23.0), ("p2", 22.0, 26.0), ("p3", 25.0, 27.0),
+        ("p4", 26.0, 28.0)]
 
 
 def test_indicator_summary(spark):
-    values = [5.0, 10.0, 7.0, 4.0, 6.0, 5.0, 3.0, 15.0, 12.0, 10.0, 8.0, 4.0, 5.0, 12.0, 12.0]
-    df = spark.createDataFrame([("NL11", v, 2 * v) for v in values],
+    values = [4.0, 9.5, 2.0]
+    df = spark.createDataFrame([("AT21", v, 2 * v) for v in values],
                                "IDREGION string, RSM double, Y double")
     out = summary.indicator_summary(df, [], ["Y"], ["RSM"])
     assert out.columns == ["IDREGION", "max(Y)", "avg(RSM)"]
-    assert rows(out) == [("NL11", 30.0, 7.87)]
-    assert rows(summary.indicator_summary(df, [], [], [])) == [("NL11",)]
+    assert rows(out) == [("AT21", 19.0, 5.17)]
+    assert rows(summary.indicator_summary(df, [], [], [])) == [("AT21",)]
 
 
 def test_yield_summary(spark):
     df = spark.createDataFrame(
-        [("FR102", 29.75), ("FR102", 25.44), ("FR103", 30.2), ("FR103", 29.9)],
+        [("SI01", 36.25), ("SI01", 31.5), ("SI04", 22.6), ("SI04", 18.0)],
         "IDREGION string, YIELD double")
     (a, lo, hi, mean), second = rows(summary.yield_summary(df))
-    assert (a, lo, hi) == ("FR102", 25.44, 29.75) and mean == pytest.approx(27.595, abs=0.01)
-    assert second == ("FR103", 29.9, 30.2, 30.05)
+    assert (a, lo, hi) == ("SI01", 31.5, 36.25) and mean == pytest.approx(33.875, abs=0.01)
+    assert second == ("SI04", 18.0, 22.6, 20.3)
 
 
 def test_year_range_and_keys(spark):
-    assert summary.year_range(stages(spark)).first() == (1979, 1980)
+    assert summary.year_range(stages(spark)).first() == (2003, 2004)
     assert rows(summary.distinct_keys(stages(spark), "IDREGION", "FYEAR")) == [
-        ("NL11", 1979), ("NL11", 1980)]
+        ("AT21", 2003), ("AT21", 2004)]
     assert stages(spark).filter(F.col("DVS") < 0).count() == 0

@@ -5,8 +5,8 @@ from seasonframe.operators import clean
 
 
 def long_yields(spark):
-    values = {"potatoes": [29.75, 25.44, 30.2, 29.9], "sugarbeet": [66.0, 55.0, 69.3, 59.1]}
-    keys = [("FR102", "1989"), ("FR102", "1990"), ("FR103", "1989"), ("FR103", "1990")]
+    values = {"potatoes": [31.5, 36.25, 18.0, 22.6], "sugarbeet": [71.0, 48.5, 80.25, 62.0]}
+    keys = [("SI01", "2005"), ("SI01", "2007"), ("SI04", "2005"), ("SI04", "2006")]
     return spark.createDataFrame(
         [(crop, *k, v) for crop, vs in values.items() for k, v in zip(keys, vs)],
         "Crop string, IDREGION string, FYEAR string, YIELD double")
@@ -14,22 +14,20 @@ def long_yields(spark):
 
 def wide_yields(spark):
     return spark.createDataFrame(
-        [("Total potatoes", "NL11", 38.0, 40.5, 40.0), ("Total potatoes", "NL12", 49.0, 44.0, 46.8),
-         ("Spring barley", "NL13", 4.6, 5.5, 6.6), ("Spring barley", "NL12", 5.6, 6.1, 7.0)],
-        "Crop string, IDREGION string, `1994` double, `1995` double, `1996` double")
+        [("Total potatoes", "AT21", 27.5, None, 33.25), ("Total potatoes", "AT22", 0.0, 41.0, 12.5),
+         ("Spring barley", "AT21", 3.5, 3.75, 4.0)],
+        "Crop string, IDREGION string, `2005` double, `2006` double, `2008` double")
 
 
 def test_long_yields(spark):
     assert rows(clean.clean_yield(long_yields(spark), 7)) == [
-        ("FR102", 1989, 29.75), ("FR102", 1990, 25.44), ("FR103", 1989, 30.2),
-        ("FR103", 1990, 29.9)]
+        ("SI01", 2005, 31.5), ("SI01", 2007, 36.25), ("SI04", 2005, 18.0), ("SI04", 2006, 22.6)]
 
 
 def test_wide_yields_with_trailing_column(spark):
     df = wide_yields(spark).selectExpr("*", "CAST(NULL AS STRING) AS _c5")
     assert rows(clean.clean_yield(df, 7)) == [
-        ("NL11", 1994, 38.0), ("NL11", 1995, 40.5), ("NL11", 1996, 40.0),
-        ("NL12", 1994, 49.0), ("NL12", 1995, 44.0), ("NL12", 1996, 46.8)]
+        ("AT21", 2005, 27.5), ("AT21", 2008, 33.25), ("AT22", 2006, 41.0), ("AT22", 2008, 12.5)]
 
 
 def test_bad_yields_go_away(spark):

@@ -62,7 +62,7 @@ def test_unhinted_season_join_follows_measured_sizes(spark):
 
 def test_features_are_one_aggregate(spark):
     calendar = spark.createDataFrame(
-        [("NL11", 1979, 10, 20, 30, 36)],
+        [("AT21", 2003, 10, 20, 30, 36)],
         "IDREGION string, CAMPAIGN_YEAR int, START_DVS int, START_DVS1 int, START_DVS2 int, "
         "CAMPAIGN_EARLY_SEASON int")
     aligned = season.prepare_weather(daily_weather(spark), season.crop_season(

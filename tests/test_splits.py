@@ -1,6 +1,7 @@
 import pytest
 from conftest import rows
 from fixtures import yields
+from pyspark.sql import functions as F
 
 from seasonframe.operators import splits
 
@@ -43,3 +44,9 @@ def test_contiguous_folds(spark, k):
     n = len(got)
     sizes = [n // k + (j < n % k) for j in range(k)]
     assert got == [j for j, size in enumerate(sizes) for _ in range(size)]
+
+
+def test_contiguous_folds_keep_rows_without_a_region(spark):
+    df = yields(spark).withColumn("IDREGION", F.when(F.col("IDREGION") != "AA12", F.col("IDREGION")))
+    got = [r["FOLD"] for r in splits.contiguous_folds(df, 3).orderBy("IDREGION", "FYEAR").collect()]
+    assert len(got) == df.count() and got == sorted(got)
