@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 16384
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 BLOCK_BYTES = 64 << 20
 LEVELS = (1, 4, 16)
 
@@ -103,7 +103,9 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                       np.array(part["v"].tolist(), float).reshape(len(part), int(block["d"].iloc[0]))]
         return block_top(*sides, k)
 
-    partial = asked.unionByName(there).groupBy("d", "i", "j").applyInPandas(
+    # by number, as adaptive execution would put small blocks, which take long, into one task
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partial = asked.unionByName(there).repartition(tasks, "d", "i", "j").groupBy("d", "i", "j").applyInPandas(
         run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
