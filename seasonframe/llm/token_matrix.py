@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonframe.llm.tokens import LENGTH, TOKENIZER, pieces, tokens_of
+from seasonframe.llm.tokens import LENGTH, TOKENIZER, tokens_of
 
 WINDOW_TOKENS = 4_000_000
 ROWS_OUT = 256
@@ -74,6 +74,7 @@ def token_matrix(documents: DataFrame, length: int = LENGTH, tokenizer: str = TO
     pieces, nothing is cut off: the pieces of a doc_id, in order, are its ids. Null text is empty
     (the end token alone); a null doc_id stays null; rows that repeat a doc_id are packed each.
     """
+    count_up = np.arange(length, dtype="<u2").tobytes()
     names = ["sequence_id", "doc_ids", "pieces", "n_tokens", "cu_seqlens", "ids", "position_ids"]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(),
              pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -86,7 +87,7 @@ def token_matrix(documents: DataFrame, length: int = LENGTH, tokenizer: str = TO
         for k, chosen in enumerate(best_fit_decreasing([len(h[2]) // 2 for h in held], length)):
             segments = [held[i] for i in chosen]
             sizes = [len(s[2]) // 2 for s in segments]
-            positions = np.concatenate([np.arange(n, dtype="<u2") for n in sizes]).tobytes()
+            positions = b"".join(count_up[:2 * n] for n in sizes)
             rows.append((first + k, [s[0] for s in segments], [s[1] for s in segments], sum(sizes),
                          np.cumsum([0, *sizes]), b"".join(s[2] for s in segments).ljust(
                              2 * length, b"\0"), positions.ljust(2 * length, b"\0")))
@@ -108,10 +109,10 @@ def token_matrix(documents: DataFrame, length: int = LENGTH, tokenizer: str = TO
                 whole = np.frombuffer(whole, "<u4")
                 if whole.max() >= 1 << 16:
                     raise ValueError("ids of this vocabulary do not fit into 16 bits")
-                for k, _, part in pieces(whole.tobytes(), length):
-                    held.append((doc_id.as_py(), k, np.frombuffer(part, "<u4").astype("<u2")
-                                 .tobytes()))
-                    tokens += len(part) // 4
+                short = whole.astype("<u2").tobytes()
+                for k, at in enumerate(range(0, len(short), 2 * length)):
+                    held.append((doc_id.as_py(), k, short[at:at + 2 * length]))
+                    tokens += len(held[-1][2]) // 2
                     if tokens >= window:
                         yield from flush()
         yield from flush()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,6 +18,12 @@ END = b"\0\0\0\0"
 REMEMBERED = 600_000
 GROUP = 1 << 20
 LONG = 64  # characters from which a chunk is not remembered
+MANY = 5000
+
+#: Chunks of characters whose lower case and kind no Unicode version changes, and the
+#: runs that the tokenizer's own pattern splits them into.
+_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
 class WordIds:
@@ -24,9 +31,9 @@ class WordIds:
 
     The tokenizer splits at white space, lower-cases letter by letter and keeps runs of letters
     apart from punctuation, so chunks are independent of each other, plain upper case equals lower
-    case, and one final stop or comma after a plain letter is a token run of its own. New words of
-    lower-case letters only are tokenized many at a time: each ends with the one token that closes
-    a word. Everything else goes through the tokenizer as it is.
+    case, and one final stop or comma after a plain letter is a token run of its own. New plain
+    chunks are tokenized many at a time: every run ends with the one token that closes a word.
+    Everything else goes through the tokenizer as it is.
     """
 
     def __init__(self, model):
@@ -38,44 +45,38 @@ class WordIds:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_words(self, words: list[str]) -> None:
-        ids = self.encode(" ".join(words))
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(words):
+    def _learn_plain(self, chunks: list[str]) -> None:
+        for first in range(0, len(chunks), MANY):
+            part = chunks[first:first + MANY]
+            ids = self.encode(" ".join(part))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            runs = np.cumsum([len(_RUNS.findall(chunk.lower())) for chunk in part])
+            if len(ends) != runs[-1]:
+                self.ids.update((chunk, self.encode(chunk).tobytes()) for chunk in part)
+                continue
             data, at = ids.tobytes(), 0
-            for word, end in zip(words, (4 * ends).tolist()):
-                self.ids[word] = data[at:end]
+            for chunk, end in zip(part, (4 * ends[runs - 1]).tolist()):
+                self.ids[chunk] = data[at:end]
                 at = end
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-        known, words = self.ids, set()
-        for chunk in (new := chunks.difference(known)):
-            word = _base(chunk)
-            if word not in known and word.isalpha() and word == word.lower():
-                words.add(word)
-        words = list(words)
-        for at in range(0, len(words), 5000):
-            self._learn_words(words[at:at + 5000])
-        for chunk in new:
-            if chunk in known:
-                continue
-            word = _base(chunk)
-            if word in known:
-                closing = chunk[-1] if len(chunk) > len(word) else ""
-                if closing and closing not in known:
-                    known[closing] = self.encode(closing).tobytes()
-                known[chunk] = known[word] + (known[closing] if closing else b"")
+        known, bases = self.ids, {}
+        for chunk in chunks.difference(known):
+            if len(chunk) <= LONG and _PLAIN.fullmatch(chunk):
+                bases[chunk] = _base(chunk)
             else:
                 known[chunk] = self.encode(chunk).tobytes()
+        self._learn_plain(list({*bases.values(), ".", ","}.difference(known)))
+        for chunk, base in bases.items():
+            if chunk not in known:
+                known[chunk] = known[base] + (known[chunk[-1]] if len(chunk) > len(base) else b"")
 
 
 def _base(chunk: str) -> str:
-    """A chunk without one final stop or comma after a plain letter, plain capitals lowered."""
-    if chunk[-1:] in (".", ",") and chunk[-2:-1].isascii() and chunk[-2:-1].isalpha():
-        chunk = chunk[:-1]
-    return chunk.lower() if chunk.isascii() and "<" not in chunk else chunk
+    """A plain chunk in lower case, without one final stop or comma after a letter."""
+    return (chunk[:-1] if chunk[-1] in ".," and chunk[-2:-1].isalpha() else chunk).lower()
 
 
 @functools.lru_cache
@@ -92,12 +93,13 @@ def tokens_of(texts: Iterable[str | None], tokenizer: str = TOKENIZER) -> Iterat
     words, held, size = _word_ids(tokenizer), [], 0
 
     def flush():
-        words.learn(set().union(*held))
+        words.learn(every := set().union(*held))
         find = words.ids.__getitem__
         for chunks in held:
             yield b"".join(map(find, chunks)) + END
-        for chunk in [c for chunks in held for c in chunks if len(c) > LONG]:
-            words.ids.pop(chunk, None)
+        for chunk in every:
+            if len(chunk) > LONG:
+                del words.ids[chunk]
 
     for text in texts:
         held.append((text or "").replace("\n", " ").split(" "))
