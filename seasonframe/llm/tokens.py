@@ -17,23 +17,22 @@ TOKENIZER = "word_bpe_49k.json"
 END = b"\0\0\0\0"
 REMEMBERED = 600_000
 GROUP = 1 << 20
-LONG = 64  # characters from which a chunk is not remembered
+LONG = 64  # characters from which a run is not remembered
 MANY = 5000
 
-#: Chunks of characters whose lower case and kind no Unicode version changes, and the
-#: runs that the tokenizer's own pattern splits them into.
-_PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
+#: Characters whose lower case and kind no Unicode version changes (`<` may begin a
+#: special token), and the runs that the tokenizer's own pattern splits them into.
+_PLAIN = re.compile(r"[ \t-\r!-;=-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 
 
-class WordIds:
-    """Ids (little-endian 32-bit) of blank-separated chunks, remembered up to a bound.
+class RunIds:
+    """Ids (little-endian 32-bit) of runs of letters or punctuation, remembered up to a bound.
 
-    The tokenizer splits at white space, lower-cases letter by letter and keeps runs of letters
-    apart from punctuation, so chunks are independent of each other, plain upper case equals lower
-    case, and one final stop or comma after a plain letter is a token run of its own. New plain
-    chunks are tokenized many at a time: every run ends with the one token that closes a word.
-    Everything else goes through the tokenizer as it is.
+    The tokenizer splits at white space, lower-cases letter by letter, and splits what is left into
+    runs that it tokenizes each on its own; a run between blanks is that run again, and it ends with
+    the one token that closes a word. So new runs are tokenized many at a time. Blank-separated
+    chunks with other characters go through the tokenizer as they are.
     """
 
     def __init__(self, model):
@@ -45,64 +44,59 @@ class WordIds:
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn_plain(self, chunks: list[str]) -> None:
-        for first in range(0, len(chunks), MANY):
-            part = chunks[first:first + MANY]
-            ids = self.encode(" ".join(part))
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            runs = np.cumsum([len(_RUNS.findall(chunk.lower())) for chunk in part])
-            if len(ends) != runs[-1]:
-                self.ids.update((chunk, self.encode(chunk).tobytes()) for chunk in part)
-                continue
-            data, at = ids.tobytes(), 0
-            for chunk, end in zip(part, (4 * ends[runs - 1]).tolist()):
-                self.ids[chunk] = data[at:end]
-                at = end
-
-    def learn(self, chunks: set[str]) -> None:
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """The runs of a text; chunks that are not plain stay whole."""
+        if _PLAIN.fullmatch(text):
+            return _RUNS.findall(text.lower())
+        out = []
+        for chunk in text.replace("\n", " ").split(" "):
+            out += _RUNS.findall(chunk.lower()) if _PLAIN.fullmatch(chunk) else [chunk]
+        return out
+
+    def learn(self, runs: set[str]) -> None:
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-        known, bases = self.ids, {}
-        for chunk in chunks.difference(known):
-            if len(chunk) <= LONG and _PLAIN.fullmatch(chunk):
-                bases[chunk] = _base(chunk)
-            else:
-                known[chunk] = self.encode(chunk).tobytes()
-        self._learn_plain(list({*bases.values(), ".", ","}.difference(known)))
-        for chunk, base in bases.items():
-            if chunk not in known:
-                known[chunk] = known[base] + (known[chunk[-1]] if len(chunk) > len(base) else b"")
-
-
-def _base(chunk: str) -> str:
-    """A plain chunk in lower case, without one final stop or comma after a letter."""
-    return (chunk[:-1] if chunk[-1] in ".," and chunk[-2:-1].isalpha() else chunk).lower()
+        new, known = runs.difference(self.ids), self.ids
+        plain = [run for run in new if _PLAIN.fullmatch(run)]
+        for first in range(0, len(plain), MANY):
+            part = plain[first:first + MANY]
+            ids = self.encode(" ".join(part))
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for run, end in zip(part, ends.tolist()):
+                    known[run] = data[at:end]
+                    at = end
+        for run in new:
+            if run not in known:
+                known[run] = self.encode(run).tobytes()
 
 
 @functools.lru_cache
-def _word_ids(tokenizer: str) -> WordIds:
+def _run_ids(tokenizer: str) -> RunIds:
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_file(public_tokenizers.path(tokenizer)))
+    return RunIds(Tokenizer.from_file(public_tokenizers.path(tokenizer)))
 
 
 def tokens_of(texts: Iterable[str | None], tokenizer: str = TOKENIZER) -> Iterator[bytes]:
     """Per text, ids of the whole text and a final id 0, 4 bytes each, little-endian; null is
     empty. Texts are taken about GROUP characters at a time."""
-    words, held, size = _word_ids(tokenizer), [], 0
+    memory, held, size = _run_ids(tokenizer), [], 0
 
     def flush():
-        words.learn(every := set().union(*held))
-        find = words.ids.__getitem__
-        for chunks in held:
-            yield b"".join(map(find, chunks)) + END
-        for chunk in every:
-            if len(chunk) > LONG:
-                del words.ids[chunk]
+        memory.learn(every := set().union(*held))
+        find = memory.ids.__getitem__
+        for runs in held:
+            yield b"".join(map(find, runs)) + END
+        for run in every:
+            if len(run) > LONG:
+                del memory.ids[run]
 
     for text in texts:
-        held.append((text or "").replace("\n", " ").split(" "))
+        held.append(memory.split(text or ""))
         size += len(text or "")
         if size > GROUP:
             yield from flush()
