@@ -53,6 +53,18 @@ def test_median_of_hot_skewed_group(spark):
         F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.exp(F.col("id") % 40)).alias("x"))
     want = np.median(df.toPandas()["x"])
     assert metrics.exact_median(df, "x").first()["MEDIAN"] == want
+    assert metrics.exact_median(df, "x", buckets=16, open_rows=64).first()["MEDIAN"] == want
+
+
+def test_null_labels_and_unknown_predictions_are_told(spark):
+    df = spark.createDataFrame(
+        [(None, 10.0, 8.0), (None, 10.0, 14.0), (None, 20.0, None), ("A", 5.0, None)],
+        "ALG string, YIELD double, YIELD_PRED double")
+    got = {r["ALG"]: r for r in metrics.scores(
+        df, by=["ALG"], metrics=["NMAE", "NMdAE", "N_SCORED", "N_UNKNOWN"]).collect()}
+    assert tuple(got[None])[1:] == (30.0, 30.0, 2, 1)
+    assert tuple(got["A"])[1:] == (None, None, 0, 1)
+    assert metrics.scores(df, by=[], metrics=["NMdAE"]).first()["NMdAE"] == 30.0
 
 
 def test_fill_and_renormalise(spark):
