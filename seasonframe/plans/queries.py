@@ -713,18 +713,10 @@ def ridge_detrended(t):
     return models.detrend(rows, trend.lag_names(3)[1], k=1)
 
 
-SMALL_ESTIMATORS = (
-    models.DEFAULT_ESTIMATORS[0],
-    models.EstimatorSpec("KNN", "knn", ({"k": 5},), ({"k": 3}, {"k": 5})),
-    models.EstimatorSpec("GBDT", "gbdt", ({"max_depth": 2, "trees": 5},),
-                         ({"max_depth": 2, "trees": 5}, {"max_depth": 2, "trees": 10})),
-)
-
-
 @query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
 def model_scores(t):
     """Selection, tuning, training and scoring of all estimators on the season table."""
-    cfg = RunConfig(estimators=SMALL_ESTIMATORS, cv_folds=3, use_yield_trend=False)
+    cfg = RunConfig(use_yield_trend=False)
     table = features.drop_zero_features(cut(t.season_features(trended=False)))
     return pipeline.train_and_predict(table, cfg).scores
 

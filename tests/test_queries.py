@@ -1,11 +1,14 @@
 """The registry: every query has SQL unless it is a model, and a sample of both agree."""
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seasonframe.operators.models import DEFAULT_ESTIMATORS
+from seasonframe.plans import queries
 from seasonframe.plans.oracle import ORACLE
 from seasonframe.plans.queries import QUERIES
 from tools.check_oracle import compare
@@ -46,3 +49,15 @@ def test_all_sql_runs(con):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_model_scores_runs_the_default_grids_and_folds(spark, monkeypatch):
+    seen = []
+    rows = spark.range(1).selectExpr("1.0D AS x", "'train' AS SPLIT", "1.0D AS YIELD")
+    monkeypatch.setattr(queries.Tables, "season_features", lambda self, trended: rows)
+    monkeypatch.setattr(queries.features, "drop_zero_features", lambda table: table)
+    monkeypatch.setattr(queries.pipeline, "train_and_predict",
+                        lambda table, cfg: seen.append(cfg) or SimpleNamespace(scores=table))
+    QUERIES["model_scores"](spark, SF)
+    assert (seen[0].estimators or DEFAULT_ESTIMATORS) == DEFAULT_ESTIMATORS
+    assert seen[0].cv_folds == 5
