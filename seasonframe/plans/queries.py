@@ -707,10 +707,13 @@ def lasso_selected(t):
 
 @query("yields")
 def ridge_detrended(t):
+    """Trend by ridge over three previous yields, tuned on 5 folds, or all there are: n training
+    years have n - 1 time-ordered folds at most."""
     table = trend.lag_columns(t.yields, 3).join(
         t.yields, ["IDREGION", "FYEAR"])
     rows = cut(t.split(table, trended=True))
-    return models.detrend(rows, trend.lag_names(3)[1], k=1)
+    years = rows.filter(F.col("SPLIT") == "train").agg(F.count_distinct("FYEAR")).first()[0]
+    return models.detrend(rows, trend.lag_names(3)[1], k=min(5, max(1, years - 1)))
 
 
 @query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")

@@ -61,3 +61,16 @@ def test_model_scores_runs_the_default_grids_and_folds(spark, monkeypatch):
     QUERIES["model_scores"](spark, SF)
     assert (seen[0].estimators or DEFAULT_ESTIMATORS) == DEFAULT_ESTIMATORS
     assert seen[0].cv_folds == 5
+
+
+@pytest.mark.parametrize("last, k", [(2001, 1), (2015, 5)])
+def test_ridge_detrended_tunes_on_five_folds_where_years_allow(spark, monkeypatch, last, k):
+    data = [(f"R{r}", y, 10.0 * r + y % 7) for r in range(4) for y in range(1995, last + 1)]
+    yields = spark.createDataFrame(data, "IDREGION string, FYEAR int, YIELD double")
+    monkeypatch.setattr(queries.Tables, "yields", yields)
+    monkeypatch.setattr(queries.Tables, "prepare", lambda self, *names: None)
+    seen, tuned = [], queries.models.detrend
+    monkeypatch.setattr(queries.models, "detrend",
+                        lambda *a, **b: seen.append(b.get("k", 5)) or tuned(*a, **b))
+    assert QUERIES["ridge_detrended"](spark, SF).count() == 4 * (last - 1997)
+    assert seen == [k]
