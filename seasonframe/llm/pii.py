@@ -19,6 +19,8 @@ MARK, STAND_IN = "\ue000", "\ue001"
 CONTEXT = 48
 BLOCK = 256  # pieces put together at a time; even, so that a block starts outside a match
 SPAN = "struct<start:int,end:int,value:string,before:string>"
+#: Pieces that hold CONTEXT characters for sure: every second one is a match and so not empty.
+REACH = 2 * CONTEXT + 2
 
 
 @dataclass(frozen=True)
@@ -53,34 +55,57 @@ _WITH_CHECKSUM = ("card", "iban")
 
 
 def _matches(text: Column, kind: Kind) -> Column:
-    """Array of (start, end, value, text before) in code points, left to right."""
+    """Array of (start, end, value, text before, text after), left to right; places in code points.
+
+    Both texts run over neighbouring matches, so that one context word serves a whole list.
+    """
     def step(state: Column, piece: Column) -> Column:
         to = state["at"] + F.length(piece)
         span = F.struct(state["at"].alias("start"), to.alias("end"), piece.alias("value"),
                         state["before"].alias("before"))
         return F.struct(
             to.alias("at"), (~state["inside"]).alias("inside"),
-            F.when(state["inside"], state["before"]).otherwise(F.right(piece, F.lit(CONTEXT)))
+            F.right(F.concat(state["before"], F.right(piece, F.lit(CONTEXT))), F.lit(CONTEXT))
             .alias("before"),
             F.when(state["inside"], F.array_append(state["out"], span)).otherwise(state["out"])
             .alias("out"))
 
+    def step_back(state: Column, piece: Column) -> Column:
+        return F.struct(
+            (~state["inside"]).alias("inside"),
+            F.left(F.concat(F.left(piece, F.lit(CONTEXT)), state["after"]), F.lit(CONTEXT))
+            .alias("after"),
+            F.when(state["inside"], F.array_append(state["out"], state["after"]))
+            .otherwise(state["out"]).alias("out"))
+
     def block(pieces: Column, k: Column) -> Column:
         first = F.aggregate(F.slice(pieces, F.lit(1), k * BLOCK), F.lit(0),
                             lambda at, piece: at + F.length(piece))
-        start = F.struct(first.alias("at"), F.lit(False).alias("inside"), F.lit("").alias("before"),
+        ahead = F.slice(pieces, F.greatest(k * BLOCK - REACH, F.lit(0)) + 1,
+                        F.least(k * BLOCK, F.lit(REACH)))
+        behind = F.slice(pieces, (k + 1) * BLOCK + 1, F.lit(REACH))
+        ends = lambda part, cut: F.array_join(
+            F.transform(part, lambda piece: cut(piece, F.lit(CONTEXT))), "")
+        start = F.struct(first.alias("at"), F.lit(False).alias("inside"),
+                         F.right(ends(ahead, F.right), F.lit(CONTEXT)).alias("before"),
                          none.alias("out"))
-        return F.aggregate(F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK)), start, step,
-                           lambda state: state["out"])
+        mine = F.slice(pieces, k * BLOCK + 1, F.lit(BLOCK))
+        last = F.struct((F.size(mine) % 2 == 0).alias("inside"),
+                        F.left(ends(behind, F.left), F.lit(CONTEXT)).alias("after"),
+                        F.array().cast("array<string>").alias("out"))
+        spans = F.aggregate(mine, start, step, lambda state: state["out"])
+        after = F.aggregate(F.reverse(mine), last, step_back, lambda state: F.reverse(state["out"]))
+        return F.zip_with(spans, after, lambda s, x: s.withField("after", x))
 
     def all_blocks(pieces: Column) -> Column:
         last = F.floor((F.size(pieces) - 1) / BLOCK).cast("int")
         return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: block(pieces, k)))
 
     none = F.array().cast(f"array<{SPAN}>")
+    empty = F.array().cast(f"array<{SPAN[:-1]},after:string>>")
     pieces = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1)
     found = F.get(F.transform(F.array(pieces), all_blocks), F.lit(0))  # pieces evaluated once
-    return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(none) if kind.needs else found
+    return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(empty) if kind.needs else found
 
 
 def _mod97(value: Column) -> Column:
@@ -112,17 +137,18 @@ def find_pii(rows: DataFrame, text: str = "text", into: str = "pii") -> DataFram
     Per kind, matches are leftmost and do not overlap; those that fail their check (parts of an
     address, digits and Luhn of a card, digits of a phone, mod-97 of an account number) are
     dropped. The score is the kind's prior, more for a checksum that holds and for a context word
-    shortly before; a span needs ACCEPT. Base kinds reach that without context. Null or empty
+    within CONTEXT characters before or after, other matches included; a span needs ACCEPT. Base kinds reach that without context. Null or empty
     text: an empty array.
     """
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, STAND_IN)
 
     def scored(kind: Kind) -> Column:
+        near = rf"\b(?:{kind.context})"
         fixed = kind.prior + (CHECKSUM if kind.name in _WITH_CHECKSUM else 0)
         spans = F.filter(_matches(clean, kind), lambda s: _valid(kind, s["value"]))
         spans = F.transform(spans, lambda s: F.struct(
             F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.when(F.lower(s["before"]).rlike(rf"\b(?:{kind.context})"),
+            F.when(F.lower(s["before"]).rlike(near) | F.lower(s["after"]).rlike(near),
                    F.lit(round(min(1.0, fixed + NEARBY), 3))).otherwise(F.lit(round(fixed, 3)))
             .alias("score")))
         return F.filter(spans, lambda s: s["score"] >= ACCEPT)

@@ -122,6 +122,37 @@ def test_pii_edges(spark):
     assert pii_report(data.limit(0)).collect() == []
 
 
+def test_pii_context_reaches_over_lists_and_behind(spark):
+    many = "SSNs: " + "ab@cd.ef 12-34-56 " * 2 + "123-45-6789"  # other kinds and numbers between
+    spread = "Tel: " + ", ".join(["212-555-1234"] * 3)
+    texts = {
+        "SSNs: 123-45-6789, 234-56-7890": [("ssn", 6), ("ssn", 19)],
+        "Tel: 212-555-1234 or 212-555-9999": [("tel", 5), ("tel", 21)],
+        "123-45-6789 is my SSN": [("ssn", 0)],
+        "123-45-6789, 234-56-7890 are SSNs": [("ssn", 0), ("ssn", 13)],
+        spread: [("tel", 5 + 14 * i) for i in range(3)],
+        many: [("ssn", 42)],
+        "ssn " + "x" * 60 + " 123-45-6789": [],
+        "123-45-6789 " + "x" * 60 + " ssn": [],
+    }
+    rows = find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.text: [(s.kind, s.start) for s in r.pii if s.kind in ("ssn", "tel")]
+            for r in rows} == texts
+
+
+def test_pii_context_crosses_blocks(spark):
+    number = "123-45-6789"
+    for before in (127, 128, 129, 255, 256, 257):  # pieces are put together 256 at a time
+        text = f"{number} " * (before - 1) + f"{'.' * 60} SSN {number} {number}{'.' * 60}"
+        text += f" {number}" + f" {number}" * 2 + " ssn"
+        found = find_pii(spark.createDataFrame([(text,)], "text string")).first().pii
+        at = [m.start() for m in re.finditer(number, text)]
+        near = [i for i in at if re.search(
+            r"\bssn", text[max(0, i - 48):i].lower()) or re.search(
+            r"\bssn", text[i + 11:i + 59].lower())]
+        assert [s.start for s in found if s.kind == "ssn"] == near and len(near) > 3
+
+
 def test_pii_runs_no_python(spark):
     plan = pii_report(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
