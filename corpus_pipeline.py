@@ -32,10 +32,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 80 % shared) stays."""
+    """One row of each group of near duplicates (five-word shingles, 80 % shared) stays.
+
+    Rows are judged by a key of their own, so those that repeat a doc_id or have none are rows
+    like any other. The row with the smallest doc_id stays, before those without one.
+    """
     importable(spark)
-    found = near_duplicates(docs)
-    return _without(docs, found.where("NOT kept").select("doc_id").distinct())
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so keys are fixed
+    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
+    placed = found.select(F.col("doc_id").alias(row), "component_id").join(
+        keyed.select(row, "doc_id"), row)
+    first = placed.groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first"))
+    return keyed.join(first.select(f"first.{row}"), row, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

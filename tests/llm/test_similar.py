@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 import seasonframe.llm.near_dedup as near
 from seasonframe.llm.components import connected_components
 from seasonframe.llm.decontaminate import benchmark_hits, least_hits
@@ -114,6 +115,19 @@ def test_near_duplicate_edges(spark):
     assert near_duplicates(data.limit(0)).collect() == []
 
 
+def test_near_dedup_stage_decides_row_by_row(spark):
+    rng = random.Random(4)
+    copied, alone, small, lone = (" ".join(rng.choices("abcdefghijklmnop", k=40)) for _ in range(4))
+    data = [(7, copied), (7, copied), (None, copied), (None, lone), (None, lone),
+            (3, small), (9, small), (9, alone), (5, None), (5, ""), (None, " ")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").selectExpr(
+        "doc_id", "text", "1 AS _row")
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and {r["_row"] for r in kept.collect()} == {1}
+    assert sorted(map(repr, (r[:2] for r in kept.collect()))) == sorted(map(repr, [
+        (7, copied), (None, lone), (3, small), (9, alone), (5, None), (5, ""), (None, " ")]))
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     floors = least_matches(0.8, 1e-9)
     rng = np.random.default_rng(1)
