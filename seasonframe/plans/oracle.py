@@ -200,6 +200,7 @@ ORACLE["season_ends"] = "SELECT * FROM v_ends"
 ORACLE["season_ends_crossing"] = "SELECT * FROM v_ends_crossing"
 ORACLE["season_bounds"] = "SELECT * FROM v_season"
 ORACLE["season_bounds_global"] = _global_bounds("v_short_ends")
+ORACLE["season_bounds_global_whole"] = "SELECT * FROM v_season_whole"
 
 
 def _aligned(source: str, season: str, columns: str, crosses: bool = False,
@@ -726,6 +727,25 @@ VIEWS["v_national_both"] = """
     SELECT IDREGION, FYEAR, ALG, YIELD_PRED, YIELD FROM v_national UNION ALL
     SELECT DISTINCT IDREGION, FYEAR, 'MCYFS_Predictions', YIELD_PRED_MCYFS, YIELD FROM v_national"""
 ORACLE["national_scores"] = _scores("v_national_both", "IDREGION, ALG", prefix="test_")
+# the same over predictions without gaps made for the test
+VIEWS["v_filled4_whole"] = _filled("v_areas4", "v_predictions")
+VIEWS["v_level3_whole"] = _rolled("v_filled4_whole")
+VIEWS["v_filled3_whole"] = _filled("v_areas3", "v_level3_whole")
+VIEWS["v_level2_whole"] = _rolled("v_filled3_whole")
+ORACLE["national_rollup_whole"] = """
+    SELECT IDREGION, FYEAR, ALG, round(YIELD_PRED, 6) AS YIELD_PRED FROM v_level2_whole"""
+VIEWS["v_national_whole"] = """
+    SELECT IDREGION, FYEAR, ALG, p.YIELD_PRED, YIELD_PRED_MCYFS, YIELD
+    FROM v_level2_whole p JOIN v_asof USING (IDREGION, FYEAR)
+    JOIN v_national_yields USING (IDREGION, FYEAR) WHERE YIELD_PRED_MCYFS > 0 AND YIELD > 0"""
+ORACLE["national_comparison_whole"] = """
+    SELECT * REPLACE (round(YIELD_PRED, 6) AS YIELD_PRED) FROM v_national_whole"""
+VIEWS["v_national_both_whole"] = """
+    SELECT IDREGION, FYEAR, ALG, YIELD_PRED, YIELD FROM v_national_whole UNION ALL
+    SELECT DISTINCT IDREGION, FYEAR, 'MCYFS_Predictions', YIELD_PRED_MCYFS, YIELD
+    FROM v_national_whole"""
+ORACLE["national_scores_whole"] = _scores(
+    "v_national_both_whole", "IDREGION, ALG", prefix="test_")
 
 # --- models ---------------------------------------------------------------------------------
 

@@ -129,11 +129,24 @@ class Tables(domain.Domain):
         return means.select("IDREGION", "FYEAR", F.col("END_SEASON").alias("TARGET_DEKAD"))
 
     @cached_property
-    def national(self):
+    def rolled_up_whole(self):
+        return rollup.weighted_rollup(
+            self.predictions.select("IDREGION", "FYEAR", "ALG", "YIELD_PRED"),
+            [self.areas(4), self.areas(3)])
+
+    def national_of(self, rolled_up):
         self.prepare("monthly", "crop_growth")
-        return self.keep("national", rollup.national_table(
-            self.rolled_up, self.targets, clean.clean_forecast(self.forecasts, CROP),
-            self.national_yields, ["IDREGION", "FYEAR"]))
+        return rollup.national_table(
+            rolled_up, self.targets, clean.clean_forecast(self.forecasts, CROP),
+            self.national_yields, ["IDREGION", "FYEAR"])
+
+    @cached_property
+    def national(self):
+        return self.keep("national", self.national_of(self.rolled_up))
+
+    @cached_property
+    def national_whole(self):
+        return self.keep("national_whole", self.national_of(self.rolled_up_whole))
 
     @cached_property
     def model_table(self):
@@ -286,6 +299,11 @@ def season_bounds_global(t):
     return season.season_bounds(ends, global_bounds=True)
 
 
+@query("crop_growth")
+def season_bounds_global_whole(t):
+    return t.on_season(whole=True)
+
+
 @query("crop_growth")
 def growth_aligned(t):
     return season.align_to_season(with_year_dekad(t.crop_growth), t.season)
@@ -639,6 +657,11 @@ def national_rollup(t):
     return t.rolled_up.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
 
 
+@query("monthly", "yields")
+def national_rollup_whole(t):
+    return t.rolled_up_whole.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
+
+
 @query("crop_growth")
 def season_mean(t):
     calendar = calendars.calendar_summary(t.growth_ready, early_offset=-6)
@@ -661,6 +684,16 @@ def national_scores(t):
     return rollup.compare_national(t.national, ["IDREGION"])
 
 
+@query("monthly", "yields", "crop_growth")
+def national_comparison_whole(t):
+    return t.national_whole.withColumn("YIELD_PRED", F.round("YIELD_PRED", 6))
+
+
+@query("monthly", "yields", "crop_growth", "national_whole")
+def national_scores_whole(t):
+    return rollup.compare_national(t.national_whole, ["IDREGION"])
+
+
 # --- models ---------------------------------------------------------------------------------
 
 @query("daily", "season", "yields", "model_table")

@@ -42,6 +42,13 @@ def test_spark_and_sql_agree(spark, con, name):
     assert ok, text
 
 
+@pytest.mark.parametrize("name", ["season_bounds_global_whole", "national_rollup_whole",
+                                  "national_comparison_whole", "national_scores_whole"])
+def test_whole_tables_agree_with_sql(spark, con, name):
+    text, ok = compare(spark, con, name, SF)
+    assert ok, text
+
+
 def test_all_sql_runs(con):
     for name, sql in entry.oracle_sql().items():
         assert con.sql(sql).columns, name
