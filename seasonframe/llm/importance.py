@@ -18,7 +18,6 @@ from seasonframe.storage import cut
 
 BUCKETS = 10_000
 CHUNK = 128
-TARGET_SAMPLE = 20_000
 FRACTION = 0.5
 _STEP = 16
 
@@ -106,17 +105,16 @@ def quality_sample(documents: DataFrame, labels: DataFrame, fraction: float = FR
                    seed: int = 0) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, selected) per row of documents.
 
-    Targets are documents labelled of quality 1 and not toxic: at most TARGET_SAMPLE of them (a
-    documented bound; those with the lowest seeded hash of their id). Raw counts and weights cover
-    all texts. The `fraction` with the largest keys is selected; rows with the very key of the
+    Targets are all documents labelled of quality 1 and not toxic. Raw counts and weights cover all
+    texts. The `fraction` with the largest keys is selected; rows with the very key of the
     last one are too. Null and blank texts have no weight and are not selected. Noise depends on
     doc_id and length, so rows that repeat are selected together.
     """
-    target = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(
-        F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(TARGET_SAMPLE)
+    target = cut(labels.where(
+        "quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id")).distinct())  # its size decides on the join
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = texts.join(F.broadcast(target.withColumn("is_target", F.lit(True))), "doc_id", "left")
+    marked = texts.join(target.withColumn("is_target", F.lit(True)), "doc_id", "left")
     ratios = log_ratios(count_models(marked.na.fill(False, ["is_target"])))
     weighed = cut(weigh(texts, ratios, seed))
     known = weighed.where("place IS NOT NULL")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+import seasonframe.llm.importance as importance
 import seasonframe.llm.near_dedup as near
 from seasonframe.llm.components import connected_components
 from seasonframe.llm.decontaminate import benchmark_hits, least_hits
@@ -255,3 +256,13 @@ def test_quality_sample(spark):
     last = sorted(known, reverse=True)[round(len(known) / 2) - 1]
     assert all(r["selected"] == (r["gumbel_key"] is not None and r["gumbel_key"] >= last) for r in got)
     assert quality_sample(data.limit(0), marks).collect() == []
+
+
+def test_quality_sample_counts_all_targets(spark, monkeypatch):
+    seen, count = [], importance.count_models
+    monkeypatch.setattr(importance, "count_models", lambda rows: seen.append(
+        rows.where("is_target").count()) or count(rows))
+    data = spark.range(20_500).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    marks = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality_sample(data, marks).count() == 20_500
+    assert seen == [20_500]
