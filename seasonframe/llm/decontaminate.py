@@ -66,7 +66,9 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
     distinct n-word shingles of an item.
 
     Words are lower-cased runs of letters and digits, so case, punctuation and line breaks do not
-    hide an item; a text of fewer than n words is one shingle. Null and wordless texts, null
+    hide an item; a text of fewer than n words is one shingle, so an item of fewer is only found in
+    a document that is as short and equal, never inside a longer one (a clause in a script without
+    blanks is one word). Null and wordless texts, null
     doc_id and null item_id match nothing. Rows that repeat a doc_id count as one document, rows
     that repeat an item_id as one item. A holder is missed with probability `miss` at most, and
     only where an item has more than SKETCH shingles.
