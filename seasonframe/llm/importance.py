@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasonframe.llm.decontaminate import BROADCAST_ROWS
 from seasonframe.llm.hashing import mix, words
 from seasonframe.storage import cut
 
@@ -112,9 +113,11 @@ def quality_sample(documents: DataFrame, labels: DataFrame, fraction: float = FR
     """
     target = cut(labels.where(
         "quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id")).distinct())  # its size decides on the join
+        F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True)))
+    if target.count() <= BROADCAST_ROWS:  # then texts need no shuffle
+        target = F.broadcast(target)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = texts.join(target.withColumn("is_target", F.lit(True)), "doc_id", "left")
+    marked = texts.join(target, "doc_id", "left")
     ratios = log_ratios(count_models(marked.na.fill(False, ["is_target"])))
     weighed = cut(weigh(texts, ratios, seed))
     known = weighed.where("place IS NOT NULL")
