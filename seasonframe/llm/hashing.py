@@ -33,6 +33,25 @@ def _grow(size: int) -> None:
         _powers, _inverse = powers(_BASE), powers(pow(_BASE, -1, 2**64))
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which span_hashes has the hash of any span of the values."""
+    _grow(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers[:len(values)], out=sums[1:])
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash per span of the values, the same wherever the span stands."""
+    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every `width` bytes in a row."""
+    sums = prefix_sums(_BYTE[data])
+    return mix((sums[width:] - sums[:-width]) * _inverse[:len(data) - width + 1])
+
+
 def _piece_words(data: np.ndarray) -> np.ndarray:
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False

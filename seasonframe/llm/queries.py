@@ -10,6 +10,7 @@ from seasonframe.llm.language_id import language_report
 from seasonframe.llm.near_dedup import near_duplicates
 from seasonframe.llm.packing import packed_documents
 from seasonframe.llm.pii import pii_report
+from seasonframe.llm.repeats import repeats_report
 from seasonframe.llm.secrets import secret_report
 from seasonframe.llm.sharding import shard_report
 from seasonframe.llm.token_matrix import token_matrix
@@ -39,4 +40,5 @@ QUERIES = {
     "op9_near_duplicates": _documents(lambda docs: near_duplicates(docs, n=2)),
     "op10_benchmark_hits": lambda spark, sf_dir: benchmark_hits(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
+    "op11_repeats": _documents(repeats_report),
 }
