@@ -52,8 +52,30 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_
 FROM roots LEFT JOIN n USING (doc_id)
 """
 
+_NEGATIVES = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+           list_inner_product(a.v, c.v)::BIGINT AS score
+    FROM v a JOIN v c ON len(a.v) = len(c.v) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id
+           ORDER BY n.score DESC, n.vec_id))::INTEGER AS "rank",
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY "rank" <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op4_top_k": _TOP_K,
     "op9_near_duplicates": _NEAR,
     "op10_benchmark_hits": _HITS,
+    "op12_hard_negatives": _NEGATIVES,
 }

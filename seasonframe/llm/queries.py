@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seasonframe.llm.decontaminate import benchmark_hits
+from seasonframe.llm.hard_negatives import negatives_report
 from seasonframe.llm.importance import quality_sample
 from seasonframe.llm.language_id import language_report
 from seasonframe.llm.near_dedup import near_duplicates
@@ -41,4 +42,6 @@ QUERIES = {
     "op10_benchmark_hits": lambda spark, sf_dir: benchmark_hits(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
     "op11_repeats": _documents(repeats_report),
+    "op12_hard_negatives": lambda spark, sf_dir: negatives_report(
+        _table(spark, sf_dir, "embeddings")),
 }
