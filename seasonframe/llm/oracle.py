@@ -73,9 +73,49 @@ FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
 QUALIFY "rank" <= 5
 """
 
+#: CRC-32 of a decimal number, bit by bit, with the reflected polynomial.
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+        string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda s, c: list_reduce(list_prepend(xor(s, c), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END))"""
+
+_TRIE = f"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS source,
+             (xor({_CRC}, 4294967295::UBIGINT) % 6)::BIGINT AS h FROM t),
+taken AS (SELECT c.conv_id, place, role, text FROM c JOIN t ON t.conv_id = source WHERE place <= h),
+n AS (SELECT conv_id, count(*) AS n FROM taken GROUP BY conv_id),
+seq AS (SELECT * FROM taken UNION ALL
+        SELECT t.conv_id, place - h + coalesce(n, 0), role, text
+        FROM t JOIN c USING (conv_id) LEFT JOIN n USING (conv_id) WHERE place > h),
+p AS (SELECT conv_id, place AS depth, length(text) AS chars, sha256(string_agg(
+          sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY place)) AS id
+      FROM seq
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+up AS (SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+              lead(id) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS ends FROM p),
+nodes AS (SELECT id, any_value(parent) AS parent, min(conv_id) AS conv_id,
+                 any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+                     FILTER (WHERE ends), '')) AS ends_sha256
+          FROM up GROUP BY id),
+kids AS (SELECT parent AS id, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+full_nodes AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (id)),
+totals AS (SELECT p.id, sum((f.n_children = 0)::BIGINT) AS n_leaves,
+                  sum((f.n_convs - 1) * f.chars) AS saved
+           FROM full_nodes f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.id)
+SELECT f.conv_id, f.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN totals USING (id) LEFT JOIN nodes a ON a.id = f.parent
+"""
+
 ORACLE: dict[str, str] = {
     "op4_top_k": _TOP_K,
     "op9_near_duplicates": _NEAR,
     "op10_benchmark_hits": _HITS,
     "op12_hard_negatives": _NEGATIVES,
+    "op13_prefix_trie": _TRIE,
 }

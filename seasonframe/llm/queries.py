@@ -11,6 +11,7 @@ from seasonframe.llm.language_id import language_report
 from seasonframe.llm.near_dedup import near_duplicates
 from seasonframe.llm.packing import packed_documents
 from seasonframe.llm.pii import pii_report
+from seasonframe.llm.prefix_trie import trie_report
 from seasonframe.llm.repeats import repeats_report
 from seasonframe.llm.secrets import secret_report
 from seasonframe.llm.sharding import shard_report
@@ -44,4 +45,5 @@ QUERIES = {
     "op11_repeats": _documents(repeats_report),
     "op12_hard_negatives": lambda spark, sf_dir: negatives_report(
         _table(spark, sf_dir, "embeddings")),
+    "op13_prefix_trie": lambda spark, sf_dir: trie_report(_table(spark, sf_dir, "conversations")),
 }
