@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonframe.storage import cut
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+MOST_BUCKETS = 1 << 20
 ROW_BYTES = 64
 
 
@@ -35,29 +37,44 @@ def shuffle_into_shards(records: DataFrame, shards: int = 8, seed: int = 0,
     `size` names a column with a record's bytes; from it comes the number of buckets. The bucket
     also depends on a row's place in the input, so rows that repeat, however often, scatter too.
     The shuffled buckets are written once and read from there, so retried tasks cannot disagree.
+    Records move once, in the scatter: where each bucket begins is one number per bucket, of which
+    there are MOST_BUCKETS at most (buckets grow beyond), and tasks add it to the written places.
+    Columns named shard or slot are replaced; all others stay, whatever their names.
     """
-    cost = F.lit(ROW_BYTES) + (F.coalesce(F.col(size), F.lit(0)) if size else F.lit(0))
-    total = records.select(F.sum(cost)).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
-    names = records.columns
-    place = F.xxhash64(F.lit(seed), *(F.col(c) for c in names), F.monotonically_increasing_id())
+    names = [c for c in records.columns if c not in ("shard", "slot")]
+    inner = [f"c{i}" for i in range(len(names))]  # so that no name of theirs gets in the way
+    cost = F.lit(ROW_BYTES) + (F.coalesce(F.col(f"`{size}`"), F.lit(0)) if size else F.lit(0))
+    total = int(records.select(F.sum(cost)).first()[0] or 0)
+    buckets = max(1, -(-total // max(bucket_bytes, -(-total // MOST_BUCKETS))))
+    columns = [F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)]
+    key = F.xxhash64(F.lit(seed), *columns, F.monotonically_increasing_id())
     scattered = records.select(
-        F.pmod(place, F.lit(buckets)).alias("_bucket"), place.alias("_place"), *names)
-
-    def shuffle(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("_place", kind="stable")
-        number = int(bucket["_bucket"].iloc[0])
-        order = fisher_yates(len(bucket), np.random.Generator(np.random.PCG64([seed, number])))
-        bucket["_place"] = order
-        return bucket.sort_values("_place")
-
-    shuffled = cut(scattered.groupBy("_bucket").applyInPandas(shuffle, scattered.schema))
-    before = shuffled.groupBy("_bucket").count().select(
-        "_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))
-    order = F.col("_before") + F.col("_place")
-    return shuffled.join(before, "_bucket").select(
-        *names, (order % shards).cast("int").alias("shard"),
-        F.floor(order / shards).cast("long").alias("slot"))
+        F.pmod(key, F.lit(buckets)).alias("bucket"), key.alias("place"), *columns)
+
+    def shuffle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place", kind="stable")
+        number = int(rows["bucket"].iloc[0])
+        rows["place"] = fisher_yates(
+            len(rows), np.random.Generator(np.random.PCG64([seed, number])))
+        return rows.sort_values("place")
+
+    shuffled = cut(scattered.groupBy("bucket").applyInPandas(shuffle, scattered.schema))
+    counts = np.zeros(buckets, np.int64)
+    for part in shuffled.groupBy("bucket").count().toArrow().to_batches():
+        counts[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    begins = records.sparkSession.sparkContext.broadcast(np.cumsum(counts) - counts)
+
+    def number(batches):
+        for batch in batches:
+            order = begins.value[batch.column("bucket").to_numpy()] + batch.column("place").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in inner), pa.array((order % shards).astype(np.int32)),
+                 pa.array(order // shards)], [*inner, "shard", "slot"])
+
+    kinds = "".join(f"{i} {records.schema[c].dataType.simpleString()}, "
+                    for c, i in zip(names, inner))
+    return shuffled.mapInArrow(number, f"{kinds}shard int, slot long").select(
+        *(F.col(i).alias(c) for c, i in zip(names, inner)), "shard", "slot")
 
 
 def write_shards(records: DataFrame, path: str, shards: int = 8, **options) -> None:

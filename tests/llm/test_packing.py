@@ -169,3 +169,21 @@ def test_repeated_rows_scatter_over_buckets(spark):
     got = shuffle_into_shards(same, 8, bucket_bytes=16_000).toPandas()
     assert got.groupby("shard").size().nunique() == 1 and len(got) == 4000
     assert not got.duplicated(["shard", "slot"]).any()
+
+
+def test_shards_keep_columns_with_clashing_names(spark):
+    rows = [(i, f"t{i}", i % 3, "b", "c", 9, 9) for i in range(50)]
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, _bucket int, _place string, `a.b` string, shard int, slot int")
+    got = shuffle_into_shards(df, 4, bucket_bytes=500).toPandas()
+    assert sorted(got["doc_id"]) == list(range(50))
+    assert (got["_bucket"] == got["doc_id"] % 3).all() and (got["_place"] == "b").all()
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_records_move_once(spark):
+    """One exchange writes the buckets; numbering them reads the written table in place."""
+    df = spark.range(1000).selectExpr("id AS doc_id", "repeat('x', 20) AS text")
+    plan = shuffle_into_shards(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
