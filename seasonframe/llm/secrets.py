@@ -44,11 +44,16 @@ def _signed_token(found: re.Match) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern tried where one of its keywords (lower case) starts."""
+    """A pattern tried where one of its keywords (lower case) starts.
+
+    Where it fails, it also fails at every later start inside `run` from there, so those are not
+    tried: else keywords that fill a run would each read it to its end.
+    """
     kind: str
     keywords: tuple[str, ...]
     pattern: str
     accept: Callable[[re.Match], bool]
+    run: str | None = None
 
 
 #: Kinds in the order of the result; `hex` has no keyword and stands between these.
@@ -60,7 +65,7 @@ RULES = (
     Rule("crc_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"),
          r"(?:gh[pousr]|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])", _crc32_token),
     Rule("signed_token", ("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}",
-         _signed_token),
+         _signed_token, r"[A-Za-z0-9_-]*"),
     Rule("private_key", ("-----begin ",),
          r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END ", lambda m: True),
 )
@@ -76,7 +81,7 @@ def _search():
         for word in rule.keywords:
             automaton.add_word(word, (k, len(word)))
     automaton.make_automaton()
-    return automaton, [re.compile(r.pattern, re.ASCII) for r in RULES]
+    return automaton, [(re.compile(r.pattern, re.ASCII), r.run and re.compile(r.run)) for r in RULES]
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -91,11 +96,16 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     hits = {(k, end + 1 - size) for end, (k, size) in automaton.iter(text.translate(_LOWER))}
     spans, ends = [], [0] * len(RULES)
     for k, at in sorted(hits):
-        found = patterns[k].match(text, at) if at >= ends[k] else None
+        if at < ends[k]:
+            continue
+        pattern, run = patterns[k]
+        found = pattern.match(text, at)
         if found:
             ends[k] = found.end()
             if RULES[k].accept(found):
                 spans.append((RULES[k].kind, at, found.end()))
+        elif run:
+            ends[k] = run.match(text, at).end()
     spans += (("hex", m.start(), m.end()) for m in HEX.finditer(text))
     return sorted(spans, key=lambda s: (s[1], ORDER[s[0]]))
 
