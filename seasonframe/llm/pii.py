@@ -78,9 +78,20 @@ def _matches(text: Column, kind: Kind) -> Column:
             F.when(state["inside"], F.array_append(state["out"], state["after"]))
             .otherwise(state["out"]).alias("out"))
 
-    def block(pieces: Column, k: Column) -> Column:
-        first = F.aggregate(F.slice(pieces, F.lit(1), k * BLOCK), F.lit(0),
-                            lambda at, piece: at + F.length(piece))
+    def total(values: Column, begin: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(values, begin, count), F.lit(0), lambda at, n: at + n)
+
+    def sums(values: Column) -> Column:
+        """Of every BLOCK values in a row."""
+        return F.transform(numbers(values), lambda k: total(values, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def numbers(values: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
+
+    def block(pieces: Column, k: Column, blocks: Column, many: Column) -> Column:
+        # where it begins: all groups of BLOCK blocks before its own, then blocks of its own
+        group = F.floor(k / BLOCK).cast("int")
+        first = total(many, F.lit(1), group) + total(blocks, group * BLOCK + 1, k % BLOCK)
         ahead = F.slice(pieces, F.greatest(k * BLOCK - REACH, F.lit(0)) + 1,
                         F.least(k * BLOCK, F.lit(REACH)))
         behind = F.slice(pieces, (k + 1) * BLOCK + 1, F.lit(REACH))
@@ -97,14 +108,20 @@ def _matches(text: Column, kind: Kind) -> Column:
         after = F.aggregate(F.reverse(mine), last, step_back, lambda state: F.reverse(state["out"]))
         return F.zip_with(spans, after, lambda s, x: s.withField("after", x))
 
+    def once(value: Column, use) -> Column:
+        """use(value), with the value evaluated once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
     def all_blocks(pieces: Column) -> Column:
-        last = F.floor((F.size(pieces) - 1) / BLOCK).cast("int")
-        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: block(pieces, k)))
+        lengths = F.transform(pieces, lambda piece: F.length(piece))
+        return once(lengths, lambda each: once(sums(each), lambda blocks: once(
+            sums(blocks), lambda many: F.flatten(F.transform(
+                numbers(pieces), lambda k: block(pieces, k, blocks, many))))))
 
     none = F.array().cast(f"array<{SPAN}>")
     empty = F.array().cast(f"array<{SPAN[:-1]},after:string>>")
     pieces = F.split(F.regexp_replace(text, kind.pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    found = F.get(F.transform(F.array(pieces), all_blocks), F.lit(0))  # pieces evaluated once
+    found = once(pieces, all_blocks)
     return F.when(F.contains(text, F.lit(kind.needs)), found).otherwise(empty) if kind.needs else found
 
 

@@ -210,3 +210,43 @@ def test_redaction(spark):
     assert report == {(1, 1, 1, "assign:2:41,hex:9:41"), (2, 0, 0, ""), (3, 0, 0, "")}
     assert secret_report(data.limit(0)).collect() == []
     assert secret_report(data.withColumn("spans", F.lit(1))).columns[-1] == "spans"
+
+
+# long texts
+
+def test_keywords_that_fill_a_run_are_tried_once_per_run(monkeypatch):
+    from seasonframe.llm import secrets
+    tried = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def match(self, text, at):
+            tried.append(at)
+            return self.pattern.match(text, at)
+    automaton, patterns = secrets._search()
+    monkeypatch.setattr(secrets, "_search", lambda: (
+        automaton, [(Counted(p), run) for p, run in patterns]))
+    assert secrets.scan("eyJ" * 350_000) == [] and len(tried) == 1
+    tried.clear()
+    assert secrets.scan("eyJeyJeyJeyJ.eyJa.x " * 1000) == [] and len(tried) == 2000
+
+
+def test_signed_token_behind_a_run_that_fails():
+    import base64
+    head = base64.urlsafe_b64encode(b'{"alg": "HS256"}').decode().rstrip("=")
+    token = f"{head}.{'a' * 12}.{'b' * 12}"
+    text = f"eyJeyJeyJeyJ {token} eyJ{token}"
+    found = [s for s in scan(text) if s[0] == "signed_token"]
+    assert found == [("signed_token", 13, 13 + len(token))]
+
+
+def test_pii_in_a_long_table_of_numbers(spark):
+    """Three levels of blocks; places stay right to the end."""
+    unit = "12 x "
+    text = unit * 60_000 + "mail a@b.cd"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii_report(df).first()
+    at = len(unit) * 60_000 + 5
+    assert r["spans"] == f"email:{at}:{at + 6}"
