@@ -16,9 +16,20 @@ from seasonframe.llm.workers import importable
 from seasonframe.storage import cut
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in gone; rows without a doc_id stay."""
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or the next like it that is no column yet."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key per row, written so that the keys are fixed; and the key's name.
+
+    Rows that repeat a doc_id or have none are rows like any other, so decisions go by this key.
+    """
+    row = _free("_row", docs)
+    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +38,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_model(docs)
     if model is None:  # nothing to learn from, so nothing to reject by but the lack of letters
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = predict_language(docs, model, into=("_found", "_found_score"))
-    return found.where(F.col("_found") != UNKNOWN).select(docs.columns)
+    found = _free("_found", docs)
+    score = _free("_found_score", docs)
+    return predict_language(docs, model, into=(found, score)).where(
+        F.col(found) != UNKNOWN).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, 80 % shared) stays.
 
-    Rows are judged by a key of their own, so those that repeat a doc_id or have none are rows
-    like any other. The row with the smallest doc_id stays, before those without one.
+    The row with the smallest doc_id stays, before those without one.
     """
     importable(spark)
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
-    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so keys are fixed
+    keyed, row = _keyed(docs)
     found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
     placed = found.select(F.col("doc_id").alias(row), "component_id").join(
         keyed.select(row, "doc_id"), row)
@@ -51,20 +60,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.select("doc_id").distinct())
+    """Rows whose text holds a benchmark item go, those without a doc_id too; others that share
+    their doc_id stay."""
+    keyed, row = _keyed(docs)
+    hits = benchmark_hits(keyed.select(F.col(row).alias("doc_id"), "text"),
+                          spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = hits.select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(gone, row, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in it are replaced, and n_chars follows where it is there."""
     importable(spark)
-    changed = {"text": F.col("_redacted")}
+    into = _free("_redacted", docs)
+    changed = {"text": F.col(into)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("text").eqNullSafe(F.col("_redacted")), F.col("n_chars")
-                                    ).otherwise(F.length("_redacted")).cast(
+        changed["n_chars"] = F.when(F.col("text").eqNullSafe(F.col(into)), F.col("n_chars")
+                                    ).otherwise(F.length(into)).cast(
             docs.schema["n_chars"].dataType)
-    return redact_secrets(docs, into="_redacted").select(
+    return redact_secrets(docs, into=into).select(
         *(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
