@@ -1,7 +1,8 @@
 """Estimators, feature selection and prediction over a table of regional yearly features.
 
 Ridge and the lasso selector come out of one pass of cross products, nearest neighbours out of a
-block join, forests and boosted trees from `pyspark.ml`. The driver only keeps scores and names.
+block join, boosted trees out of one job for all folds and depths, forests from `pyspark.ml`. The
+driver only keeps scores, names and fitted trees.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from statistics import median
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import steady_round
 from ..storage import cut
+from .boosting import Boosted, Boosting, Task, fit_many
 from .metrics import exact_median
 from .moments import (
     Moments, collect_moments, lasso_elimination, quoted, ridge_cv_error, ridge_fit,
@@ -72,14 +74,6 @@ def scaling_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
         F.avg(f"`{f}`").alias(f"mean_{f}"), F.stddev_pop(f"`{f}`").alias(f"std_{f}"))])
 
 
-def gbdt(max_depth: int = 5, trees: int = 100, **params) -> GBTRegressor:
-    """Boosted trees with the usual settings. Spark has no Huber loss; squared is the default."""
-    return GBTRegressor(**{
-        "featuresCol": "_x", "predictionCol": "YIELD_PRED", "labelCol": "YIELD",
-        "maxDepth": max_depth, "maxIter": trees, "stepSize": 0.01, "subsamplingRate": 0.8,
-        "minInstancesPerNode": 5, "lossType": "squared", "seed": SEED, **params})
-
-
 def forest(**params) -> RandomForestRegressor:
     return RandomForestRegressor(**{
         "featuresCol": "_x", "labelCol": "YIELD", "numTrees": 100, "maxDepth": 5,
@@ -142,9 +136,10 @@ def cv_errors(ts: TrainingSet, spec: EstimatorSpec, grid: Sequence[dict],
     """Mean validation error per parameter set; `subsets` holds each fold's features."""
     if spec.kind == "ridge":
         return [ridge_cv_error(ts.moments, p["alpha"], ts.folds, subsets) for p in grid]
-    per_fold = {"knn": _knn_fold, "gbdt": _gbdt_fold}[spec.kind]
+    if spec.kind == "gbdt":
+        return boosted_cv_errors(ts, grid, subsets)
     by_fold = ts.in_parallel([
-        lambda fold=fold, names=names: per_fold(ts, grid, *fold, list(names))
+        lambda fold=fold, names=names: _knn_fold(ts, grid, *fold, list(names))
         for fold, names in zip(ts.folds, subsets)])
     return [sum(errors) / len(errors) for errors in zip(*by_fold)]
 
@@ -162,16 +157,29 @@ def _knn_fold(ts, grid, train, valid, names) -> list[float]:
     return list(errors)
 
 
-def _gbdt_fold(ts, grid, train, valid, names) -> list[float]:
-    """One fit per depth with the most trees; fewer trees are its prefixes."""
-    rows = _assembled(ts.rows(train), names)
-    held_out = _assembled(ts.rows(valid), names)
-    curves = {}
-    for depth in {p["max_depth"] for p in grid}:
-        most = max(p["trees"] for p in grid if p["max_depth"] == depth)
-        model = gbdt(depth, most, labelCol=ts.label).fit(rows)
-        curves[depth] = model.evaluateEachIteration(held_out, "squared")
-    return [curves[p["max_depth"]][p["trees"] - 1] for p in grid]
+def boosted_cv_errors(ts: TrainingSet, grid: Sequence[dict], subsets: Sequence[Sequence[str]],
+                      settings: Boosting = Boosting()) -> list[float]:
+    """All folds and parameters from one job: a model per fold and depth, with the most trees;
+    fewer trees are its beginning."""
+    sizes: dict[int, set[int]] = {}
+    for p in grid:
+        sizes.setdefault(p["max_depth"], set()).add(p["trees"])
+    tasks = [Task(tuple(ts.moments.positions(names)), depth, tuple(sorted(trees)), train, valid)
+             for depth, trees in sizes.items() for (train, valid), names in zip(ts.folds, subsets)]
+    fits = fit_many(ts.df, ts.features, ts.label, ts.group, tasks, ts.ids, settings,
+                    with_trees=False)
+    errors = {}
+    for task, fit in zip(tasks, fits):
+        for trees, (squared, _, _) in zip(task.stages, fit.errors):
+            errors.setdefault((task.depth, trees), []).append(squared)
+    return [sum(e) / len(e) for e in (errors[p["max_depth"], p["trees"]] for p in grid)]
+
+
+def boosted_fit(ts: TrainingSet, params: dict, names: Sequence[str],
+                settings: Boosting = Boosting()) -> Boosted:
+    """Boosted trees on all training rows."""
+    task = Task(tuple(ts.moments.positions(names)), params["max_depth"], (params["trees"],))
+    return fit_many(ts.df, ts.features, ts.label, ts.group, [task], ts.ids, settings)[0]
 
 
 def selection_sizes(n_features: int, trend: bool = False) -> list[int]:
@@ -253,13 +261,6 @@ def grid_fit(ts: TrainingSet, spec: EstimatorSpec, features: Sequence[str],
     return Fitted(spec, params, names, _predictor(ts, spec, params, names))
 
 
-def _known(features: Sequence[str]) -> Column:
-    known = F.lit(True)
-    for c in quoted(features):
-        known = known & F.col(c).isNotNull()
-    return known
-
-
 def _predictor(ts: TrainingSet, spec: EstimatorSpec, params: dict, names: list[str]):
     if spec.kind == "ridge":
         line = ridge_fit(ts.moments, params["alpha"], names)
@@ -269,10 +270,8 @@ def _predictor(ts: TrainingSet, spec: EstimatorSpec, params: dict, names: list[s
         at = ts.moments.positions(names)
         return lambda df, output: with_knn(
             df, ts.df, names, ts.label, ts.ids, params["k"], center[at], scale[at], output)
-    model = gbdt(params["max_depth"], params["trees"], labelCol=ts.label,
-                 predictionCol="_pred").fit(_assembled(ts.df, names))
-    return lambda df, output: model.transform(_assembled(df, names)).withColumn(
-        output, F.when(_known(names), F.col("_pred"))).drop("_x", "_pred")
+    model = boosted_fit(ts, params, names)
+    return lambda df, output: df.withColumn(output, model.column())
 
 
 def detrend(df: DataFrame, lag_features: Sequence[str], k: int = 5,

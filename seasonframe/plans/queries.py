@@ -749,6 +749,19 @@ def ridge_detrended(t):
     return models.detrend(rows, trend.lag_names(3)[1], k=min(5, max(1, years - 1)))
 
 
+@query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
+def boosted_predictions(t):
+    """Boosted trees on all features of the season table: depth and number of trees from the
+    default grid by 5 folds, refitted on all training rows."""
+    table = cut(features.drop_zero_features(cut(t.season_features(trended=False))))
+    spec = next(s for s in models.DEFAULT_ESTIMATORS if s.kind == "gbdt")
+    ts = models.training_set(table.filter(F.col("SPLIT") == "train"), _numeric(table))
+    model = models.grid_fit(ts, spec, ts.features)
+    return model.predict(table, "YIELD_PRED").select(
+        "IDREGION", "FYEAR", "SPLIT", F.lit(model.params["max_depth"]).alias("MAX_DEPTH"),
+        F.lit(model.params["trees"]).alias("TREES"), "YIELD", F.round("YIELD_PRED", 6).alias("YIELD_PRED"))
+
+
 @query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
 def model_scores(t):
     """Selection, tuning, training and scoring of all estimators on the season table."""

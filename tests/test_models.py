@@ -157,17 +157,18 @@ def test_missing_query_features_give_no_prediction(spark):
 
 
 def test_fewer_trees_are_a_prefix(problem):
-    """One long fit stands for all shorter ones in cross-validation."""
+    """One long fit stands for all shorter ones in cross-validation; folds share a job."""
     ts, _, _ = problem
-    train, valid = ts.folds[0]
-    grid = [{"max_depth": 2, "trees": 3}, {"max_depth": 2, "trees": 8}]
-    got = models._gbdt_fold(ts, grid, train, valid, FEATURES)
+    grid = [{"max_depth": 2, "trees": 3}, {"max_depth": 2, "trees": 8}, {"max_depth": 1, "trees": 3}]
+    got = models.boosted_cv_errors(ts, grid, [FEATURES] * len(ts.folds))
     for p, error in zip(grid, got):
-        fit = models.gbdt(p["max_depth"], p["trees"]).fit(
-            models._assembled(ts.rows(train), FEATURES))
-        mse = fit.transform(models._assembled(ts.rows(valid), FEATURES)).agg(
-            F.avg(F.pow(F.col("YIELD") - F.col("YIELD_PRED"), F.lit(2.0)))).first()[0]
-        assert error == pytest.approx(mse)
+        own = models.boosted_cv_errors(ts, [p], [FEATURES] * len(ts.folds))
+        assert error == pytest.approx(own[0], rel=1e-12)
+    fit = models.boosted_fit(ts, grid[1], FEATURES)
+    rows = ts.df.withColumn("P", fit.column()).toPandas()
+    x = rows[list(FEATURES)].to_numpy(float)
+    assert len(fit.roots) == 8 and rows["P"].to_numpy() == pytest.approx(fit.predict(x))
+    assert fit.predict(x, 3) == pytest.approx(models.boosted_fit(ts, grid[0], FEATURES).predict(x))
 
 
 def test_forest_picks():

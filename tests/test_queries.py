@@ -14,7 +14,7 @@ from seasonframe.plans.queries import QUERIES
 from tools.check_oracle import compare
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"lasso_selected", "model_scores", "ridge_detrended"}
+ROWS_ONLY = {"boosted_predictions", "lasso_selected", "model_scores", "ridge_detrended"}
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables not present")
 
