@@ -70,7 +70,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
     a document that is as short and equal, never inside a longer one (a clause in a script without
     blanks is one word). Null and wordless texts, null
     doc_id and null item_id match nothing. Rows that repeat a doc_id count as one document, rows
-    that repeat an item_id as one item. A holder is missed with probability `miss` at most, and
+    that repeat an item_id as one item; either may be of any type that can be joined on. A holder is missed with probability `miss` at most, and
     only where an item has more than SKETCH shingles.
     """
     items = cut(benchmark.where("item_id IS NOT NULL").select(
@@ -86,7 +86,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
         F.greatest(certain, F.when(F.size("sketch") < SKETCH, F.lit(1)).otherwise(
             least_hits(SKETCH, percent / 100, miss))).alias("hits")))
     shingled = documents.where("doc_id IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).select(
+        "doc_id", words(F.col("text")).alias("w")).select(
         "doc_id", F.size("w").alias("n_words"), F.explode(shingle_hashes(F.col("w"), n)).alias("h"))
     candidates = _bounded(
         shingled.join(probes, "h").groupBy("doc_id", "item_id").agg(
@@ -99,7 +99,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, n: int = 5, perce
         "item_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle")).distinct()
     asked = candidates.join(whole, "item_id")
     counts = whole.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+    found = documents.select("doc_id", "text").join(
         candidates.select("doc_id").distinct(), "doc_id", "left_semi").select(
         "doc_id", words(F.col("text")).alias("w")).select(
         "doc_id", F.explode(shingle_texts(F.col("w"), n)).alias("shingle"))
