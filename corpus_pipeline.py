@@ -23,15 +23,6 @@ def _free(name: str, docs: DataFrame) -> str:
     return name
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key per row, written so that the keys are fixed; and the key's name.
-
-    Rows that repeat a doc_id or have none are rows like any other, so decisions go by this key.
-    """
-    row = _free("_row", docs)
-    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language (null, or no letter at all) go."""
     importable(spark)
@@ -47,10 +38,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, 80 % shared) stays.
 
-    The row with the smallest doc_id stays, before those without one.
+    Rows are judged by a key of their own, so those that repeat a doc_id or have none are rows
+    like any other. The row with the smallest doc_id stays, before those without one.
     """
     importable(spark)
-    keyed, row = _keyed(docs)
+    row = _free("_row", docs)
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so keys are fixed
     found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
     placed = found.select(F.col("doc_id").alias(row), "component_id").join(
         keyed.select(row, "doc_id"), row)
@@ -61,12 +54,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds a benchmark item go, those without a doc_id too; others that share
-    their doc_id stay."""
-    keyed, row = _keyed(docs)
-    hits = benchmark_hits(keyed.select(F.col(row).alias("doc_id"), "text"),
+    their doc_id stay. The text alone decides, so 128 bits of it are the key."""
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text", F.lit(2)).alias("b"))
+    hits = benchmark_hits(docs.select(key.alias("doc_id"), "text"),
                           spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = hits.select(F.col("doc_id").alias(row)).distinct()
-    return keyed.join(gone, row, "left_anti").select(docs.columns)
+    name = _free("_key", docs)
+    gone = hits.select(F.col("doc_id").alias(name)).distinct()
+    return docs.withColumn(name, key).join(gone, name, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
