@@ -4,10 +4,13 @@ they are handled as one sorted array in a scalar subquery: no driver round trip,
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def _sorted_years(df: DataFrame, year: str) -> DataFrame:
     return df.agg(F.sort_array(F.collect_set(F.col(year).cast("int"))).alias("years"))
@@ -69,36 +72,54 @@ def sliding_folds(df: DataFrame, k: int = 5, year: str = "FYEAR") -> DataFrame:
         .filter(F.col("ROLE").isNotNull()).select("FOLD", "ROLE", "FYEAR")
 
 
-def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR")) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (),
+             into: str = "_place") -> DataFrame:
+    """df with `into`: each row's place from 0 within its keys, in the order (nulls first); rows
+    that tie are numbered in any order. A null key is a key like any other.
+
+    Rows are ordered over all tasks by range and written; each task numbers its own part, and the
+    rows of earlier tasks are added. What is gathered is one count per key and task, so a key that
+    holds most rows is spread over many tasks.
+    """
+    keys, order = list(keys), list(order)
+    tie, part, before = f"{into}_tie", f"{into}_part", f"{into}_before"
+    rows = df.withColumn(tie, F.xxhash64(F.monotonically_increasing_id()))
+    rows = cut(rows.repartitionByRange(*keys, *order, tie).withColumn(
+        part, F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order, tie))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(
+        F.col(part).alias("_same"), *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(before))
+    same = F.col(part) == F.col("_same")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return rows.withColumn(into, local.cast("long")).join(counts, same).withColumn(
+        into, F.col(into) + F.col(before) - 1).select(*df.columns, into)
+
+
+def contiguous_folds(df: DataFrame, k: int = 5, order=("IDREGION", "FYEAR"),
+                     keys: Sequence[str] = ()) -> DataFrame:
     """Add FOLD 0..k-1: contiguous blocks of the rows sorted by region, then year; the first
-    n mod k folds are one row longer.
+    n mod k folds are one row longer. With `keys`, of each key's rows on their own.
 
-    A null region is a region like any other. A single global sort would funnel all rows through one task. Positions are summed up in
-    levels instead: rows within a region, regions within a two-character prefix, prefixes.
+    A null region or key is one like any other. No region, country or key is numbered by a single
+    task (see `numbered`).
     """
-    region, *rest = order
-    prefix = F.left(F.col(region), F.lit(2))
-    regions = df.groupBy(region).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_pre", prefix)
-    # one row per two-character prefix: a bounded table, hence the unpartitioned window
-    prefixes = regions.groupBy("_pre").agg(F.sum("_rows").alias("_in_prefix")).select(
-        F.col("_pre").alias("_same"),
-        F.coalesce(F.sum("_in_prefix").over(
-            Window.orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias("_before_prefix"),
-    )
-    earlier = Window.partitionBy("_pre").orderBy(region).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = regions.withColumn(
-        "_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).join(F.broadcast(prefixes), F.col("_pre").eqNullSafe(F.col("_same"))).select(
-        F.col(region).alias("_region"), (F.col("_before") + F.col("_before_prefix")).alias("_offset"))
-
-    total = df.agg(F.count(F.lit(1))).scalar()
-    place = F.col("_offset") + F.row_number().over(
-        Window.partitionBy(region).orderBy(*rest)) - 1
+    keys = list(keys)
+    placed = numbered(df, order, keys)
+    if keys:
+        totals = df.groupBy(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(keys))).agg(
+            F.count(F.lit(1)).alias("_total"))
+        same = F.lit(True)
+        for i, c in enumerate(keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"_of{i}"))
+        placed, total = placed.join(totals, same), F.col("_total")
+    else:
+        total = df.agg(F.count(F.lit(1))).scalar()
     size, extra = F.floor(total / k), total % k
     long_part = extra * (size + 1)
     fold = F.when(F.col("_place") < long_part, F.floor(F.col("_place") / (size + 1))) \
         .otherwise(extra + F.floor((F.col("_place") - long_part) / F.greatest(size, F.lit(1))))
-    return df.join(offsets, F.col(region).eqNullSafe(F.col("_region"))).withColumn("_place", place) \
-        .withColumn("FOLD", fold.cast("int")).drop("_region", "_offset", "_place")
+    return placed.withColumn("FOLD", fold.cast("int")).select(*df.columns, "FOLD")

@@ -611,6 +611,44 @@ ORACLE["sliding_folds"] = """
 ORACLE["contiguous_folds"] = """
     SELECT *, CAST(ntile(5) OVER (ORDER BY IDREGION, FYEAR) - 1 AS INTEGER) AS FOLD FROM v_yields"""
 
+VIEWS["v_lagged_crops"] = """
+    SELECT Crop AS CROP, left(IDREGION, 2) AS COUNTRY, IDREGION, FYEAR, YIELD,
+           lag(YIELD) OVER w AS x1, lag(YIELD, 2) OVER w AS x2
+    FROM v_raw_yields WINDOW w AS (PARTITION BY IDREGION ORDER BY FYEAR)"""
+VIEWS["v_crop_folds"] = """
+    SELECT *, ntile(5) OVER (PARTITION BY CROP, COUNTRY ORDER BY IDREGION, FYEAR) - 1 AS fold
+    FROM v_lagged_crops WHERE x1 IS NOT NULL AND x2 IS NOT NULL"""
+VIEWS["v_crop_sums"] = """
+    SELECT k.CROP, k.COUNTRY, j, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(YIELD) AS my,
+           CASE WHEN stddev_pop(x1) < 1e-12 THEN 1 ELSE stddev_pop(x1) END AS s1,
+           CASE WHEN stddev_pop(x2) < 1e-12 THEN 1 ELSE stddev_pop(x2) END AS s2,
+           var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+           covar_pop(x1, YIELD) AS c1, covar_pop(x2, YIELD) AS c2
+    FROM (SELECT DISTINCT CROP, COUNTRY, fold AS j FROM v_crop_folds
+          UNION SELECT DISTINCT CROP, COUNTRY, -1 FROM v_crop_folds) k
+    JOIN v_crop_folds f ON f.CROP = k.CROP AND f.COUNTRY = k.COUNTRY AND fold <> j
+    GROUP BY k.CROP, k.COUNTRY, j"""
+VIEWS["v_crop_lines"] = """
+    SELECT *, my - w1 * m1 - w2 * m2 AS w0
+    FROM (SELECT *, (a22 * n * c1 / s1 - a12 * n * c2 / s2) / (a11 * a22 - a12 * a12) / s1 AS w1,
+                 (a11 * n * c2 / s2 - a12 * n * c1 / s1) / (a11 * a22 - a12 * a12) / s2 AS w2
+          FROM (SELECT *, n * v1 / s1 / s1 + alpha AS a11, n * v2 / s2 / s2 + alpha AS a22,
+                       n * c12 / s1 / s2 AS a12
+                FROM v_crop_sums, (VALUES (0.001::DOUBLE), (0.01), (0.1), (1), (10)) t(alpha)))"""
+VIEWS["v_crop_best"] = """
+    SELECT CROP, COUNTRY, arg_min(alpha, (error, alpha)) AS alpha
+    FROM (SELECT CROP, COUNTRY, alpha, avg(error) AS error
+          FROM (SELECT l.CROP, l.COUNTRY, j, alpha, avg((YIELD - w0 - w1 * x1 - w2 * x2) ** 2) AS error
+                FROM v_crop_lines l JOIN v_crop_folds f
+                  ON f.CROP = l.CROP AND f.COUNTRY = l.COUNTRY AND fold = j GROUP BY ALL)
+          GROUP BY ALL)
+    GROUP BY CROP, COUNTRY"""
+ORACLE["experiment_ridge"] = """
+    SELECT f.CROP, f.COUNTRY, IDREGION, FYEAR, l.alpha AS ALPHA, YIELD,
+           round(w0 + w1 * x1 + w2 * x2, 6) AS YIELD_PRED
+    FROM v_crop_folds f JOIN v_crop_best b ON b.CROP = f.CROP AND b.COUNTRY = f.COUNTRY
+    JOIN v_crop_lines l ON l.CROP = f.CROP AND l.COUNTRY = f.COUNTRY AND l.alpha = b.alpha AND j = -1"""
+
 # --- predictions, scores, roll-up -----------------------------------------------------------
 
 VIEWS["v_predictions"] = f"""

@@ -14,7 +14,7 @@ from ..functions import (
     year_of,
 )
 from ..operators import (
-    calendars, clean, features, metrics, models, rollup, season, splits, summary, trend,
+    calendars, clean, features, grouped, metrics, models, rollup, season, splits, summary, trend,
 )
 from ..operators.moments import collect_moments, lasso_elimination, ridge_fit
 from ..operators.neighbours import knn_predictions
@@ -723,6 +723,21 @@ def knn_test_predictions(t):
         "id.IDREGION", "id.FYEAR", F.round("K3", 6).alias("K3"), F.round("K5", 6).alias("K5"))
 
 
+@query("monthly", "yields")
+def experiment_ridge(t):
+    """Every crop and country as an experiment of its own, all in one job: yields from the two
+    previous ones, penalty by 5 folds."""
+    names, keys = ["YIELD-1", "YIELD-2"], ["CROP", "COUNTRY"]
+    rows = trend.lag_columns(t.yields, 2).select("IDREGION", "FYEAR", *(f"`{n}`" for n in names)).join(
+        t.raw_yields, ["IDREGION", "FYEAR"]).select(
+        F.col("Crop").alias("CROP"), country_of("IDREGION").alias("COUNTRY"), "IDREGION", "FYEAR",
+        *(f"`{n}`" for n in names), "YIELD")
+    rows = cut(rows)
+    lines = grouped.grouped_ridge(rows, keys, names, "YIELD", models.TREND_ALPHAS)
+    return grouped.with_lines(rows, lines, keys, names).select(
+        *keys, "IDREGION", "FYEAR", "ALPHA", "YIELD", F.round("YIELD_PRED", 6).alias("YIELD_PRED"))
+
+
 def _numeric(table):
     return [c for c in table.columns if c not in ("IDREGION", "FYEAR", "SPLIT", "YIELD")]
 
