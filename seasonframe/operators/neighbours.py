@@ -1,25 +1,31 @@
-"""Exact distance-weighted k-nearest-neighbour regression as a pruned block join.
+"""Exact distance-weighted k-nearest-neighbour regression over a two-level pivot index.
 
-Training rows are split into cells around pivot rows and cells into chunks of bounded size. The
-triangle inequality rules out cells that cannot hold one of a row's k nearest; the row visits all
-chunks of the others. Each (chunk, query group) pair is one bounded group that returns its k best
-per row, and a ranked window merges them, so no task ever holds a cell or the training set.
+Training rows are split into cells around about sqrt(n) pivots, and pivots into groups around
+about sqrt(pivots) of them. A query first asks the nearest cells that hold k rows; the k-th
+distance found there is its reach, and the triangle inequality then names the other groups and
+cells that can hold anything nearer. Cells are searched in chunks of bounded size, copied once per
+block of queries that ask for them, and not at all where nobody does. A ranked window merges the
+blocks, so no task ever holds a cell or the training set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .moments import quoted
 
 CHUNK_ROWS = 1024
 QUERY_ROWS = 16384
-PIVOTS = 64
+PIVOTS = 65536  # at most; bounds what the driver and each task keep of the index
+
+_FOUND = "qid string, dist double, tie long, y double"
 
 
 def _distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -36,27 +42,111 @@ def _vector(features, center, scale) -> Column:
         for c, m, s in zip(quoted(features), center, scale)])
 
 
-def _cell_of(pivots: np.ndarray):
+class PivotIndex:
+    """Pivots in groups; once the cells are filled, their sizes and radii too."""
+
+    def __init__(self, pivots: np.ndarray):
+        tops = pivots[:ceil(sqrt(len(pivots)))]
+        group = np.concatenate([
+            _distances(pivots[i:i + CHUNK_ROWS], tops).argmin(axis=1)
+            for i in range(0, len(pivots), CHUNK_ROWS)])
+        used = np.unique(group)  # equal pivots all belong to the first of them
+        self.pivots, self.tops = pivots, tops[used]
+        self.members = [np.flatnonzero(group == g) for g in used]
+
+    def _by_top(self, v: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        nearest = _distances(v, self.tops).argmin(axis=1)
+        for top in np.unique(nearest):
+            yield int(top), np.flatnonzero(nearest == top)
+
+    def cells(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot of the nearest group, and its distance."""
+        cell, dist = np.zeros(len(v), dtype="int64"), np.zeros(len(v))
+        for top, rows in self._by_top(v):
+            d = _distances(v[rows], self.pivots[self.members[top]])
+            best = d.argmin(axis=1)
+            cell[rows], dist[rows] = self.members[top][best], d[np.arange(len(rows)), best]
+        return cell, dist
+
+    def filled(self, sizes: np.ndarray, radii: np.ndarray, k: int) -> PivotIndex:
+        """With the cells' sizes and radii; `near` lists the pivots that a group's queries try
+        first: its own and, while those hold fewer than k rows, the next groups'."""
+        self.sizes, self.radii, self.need = sizes, radii, min(k, int(sizes.sum()))
+        between = _distances(self.tops, self.tops)
+        self.near, self.spread = [], np.zeros(len(self.tops))
+        for top, members in enumerate(self.members):
+            away = _distances(self.tops[top:top + 1], self.pivots[members])[0]
+            self.spread[top] = (away + radii[members]).max()
+            near, held = [], 0
+            for other in between[top].argsort(kind="stable"):
+                near.append(self.members[other])
+                held += sizes[self.members[other]].sum()
+                if held >= self.need:
+                    break
+            self.near.append(np.concatenate(near))
+        return self
+
+    def homes(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs: each row's nearest cells that together hold enough rows."""
+        pairs = []
+        for top, rows in self._by_top(v):
+            near = self.near[top]
+            order = _distances(v[rows], self.pivots[near]).argsort(axis=1, kind="stable")
+            held = self.sizes[near][order].cumsum(axis=1)
+            before = held - self.sizes[near][order]
+            at, place = np.nonzero((before < self.need) & (held > before))
+            pairs.append((rows[at], near[order[at, place]]))
+        return _joined(pairs)
+
+    def beyond(self, v: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs of the other cells that may hold a row within reach."""
+        limit = reach * (1 + 1e-9) + 1e-12
+        pairs = []
+        may = _distances(v, self.tops) - self.spread <= limit[:, None]
+        for top, members in enumerate(self.members):
+            rows = np.flatnonzero(may[:, top])
+            if len(rows):
+                low = _distances(v[rows], self.pivots[members]) - self.radii[members]
+                at, place = np.nonzero((low <= limit[rows, None]) & (self.sizes[members] > 0))
+                pairs.append((rows[at], members[place]))
+        rows, cells = _joined(pairs)
+        home_rows, home_cells = self.homes(v)
+        width = len(self.pivots)
+        new = np.setdiff1d(rows * width + cells, home_rows * width + home_cells)
+        return new // width, new % width
+
+
+def _joined(pairs) -> tuple[np.ndarray, np.ndarray]:
+    nothing = (np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64"))
+    return tuple(np.concatenate(part) for part in zip(nothing, *pairs))
+
+
+def _lists(rows: np.ndarray, cells: np.ndarray, n: int) -> pd.Series:
+    ends = np.bincount(rows, minlength=n).cumsum()
+    ordered = cells[rows.argsort(kind="stable")].astype("int32")
+    return pd.Series(np.split(ordered, ends[:-1]), dtype=object)
+
+
+def _cell_of(index: PivotIndex):
     @F.pandas_udf("cell int, dist double")
     def cell_of(vectors: pd.Series) -> pd.DataFrame:
-        d = _distances(np.stack(vectors.to_numpy()), pivots)
-        nearest = d.argmin(axis=1)
-        return pd.DataFrame({"cell": nearest, "dist": d[np.arange(len(d)), nearest]})
+        cell, dist = index.cells(np.stack(vectors.to_numpy()))
+        return pd.DataFrame({"cell": cell, "dist": dist})
     return cell_of
 
 
-def _cells_to_visit(pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int):
+def _homes(index: PivotIndex):
     @F.pandas_udf("array<int>")
-    def cells_to_visit(vectors: pd.Series) -> pd.Series:
-        d = _distances(np.stack(vectors.to_numpy()), pivots)
-        farthest = np.where(sizes > 0, d + radii, np.inf)
-        order = farthest.argsort(axis=1)
-        enough = (sizes[order].cumsum(axis=1) >= min(k, sizes.sum())).argmax(axis=1)
-        row = np.arange(len(d))
-        reach = farthest[row, order[row, enough]] * (1 + 1e-9) + 1e-12
-        visit = (np.maximum(d - radii, 0) <= reach[:, None]) & (sizes > 0)
-        return pd.Series([np.flatnonzero(v).astype("int32") for v in visit])
-    return cells_to_visit
+    def homes(vectors: pd.Series) -> pd.Series:
+        return _lists(*index.homes(np.stack(vectors.to_numpy())), len(vectors))
+    return homes
+
+
+def _beyond(index: PivotIndex):
+    @F.pandas_udf("array<int>")
+    def beyond(vectors: pd.Series, reach: pd.Series) -> pd.Series:
+        return _lists(*index.beyond(np.stack(vectors.to_numpy()), reach.to_numpy()), len(vectors))
+    return beyond
 
 
 def _best_in_chunk(k: int):
@@ -78,11 +168,32 @@ def _best_in_chunk(k: int):
     return best
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    nearest_first = Window.partitionBy("qid").orderBy("dist", "tie")
+    return found.withColumn("RANK", F.row_number().over(nearest_first)).filter(F.col("RANK") <= k)
+
+
+def _searched(visits: DataFrame, cells: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best of every (query, chunk): queries visit all chunks of the cells they name, and a
+    cell's chunks are copied once per QUERY_ROWS of its visitors."""
+    blocks = F.broadcast(visits.groupBy("cell").agg(  # a row per cell, PIVOTS at most
+        F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("groups")).join(F.broadcast(chunks), "cell"))
+    left = visits.join(blocks, "cell").select(
+        "cell", "qid", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        .alias("chunk"), F.pmod(F.xxhash64("qid"), "groups").alias("grp"))
+    right = cells.join(blocks, "cell").select(
+        "cell", "tie", "v", "y", F.pmod(F.xxhash64("tie"), "chunks").alias("chunk"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"))
+    key = ["cell", "chunk", "grp"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_in_chunk(k), _FOUND)
+
+
 def nearest_neighbours(queries: DataFrame, train: DataFrame, features: Sequence[str], label: str,
                        ids: Sequence[str], k: int, center=None, scale=None) -> DataFrame:
     """(qid, dist, tie, y, RANK) with the k nearest training rows of every query row.
 
-    `qid` packs the id columns as JSON. Rows with a missing feature have no neighbours.
+    `qid` packs the id columns as JSON. Rows with a missing feature have no neighbours, and
+    nobody has any without training rows. Equal distances go by a hash of the ids.
     """
     center = np.zeros(len(features)) if center is None else center
     scale = np.ones(len(features)) if scale is None else scale
@@ -93,41 +204,33 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, features: Sequence[
 
     points = prepared(train, F.xxhash64(*ids).alias("tie"), F.col(label).cast("double").alias("y"))
     asked = prepared(queries, F.to_json(F.struct(*ids)).alias("qid"))
-    n_train, n_asked = points.count(), asked.count()
-
-    if n_train <= CHUNK_ROWS:
-        cells = points.withColumn("cell", F.lit(0))
-        asked = asked.withColumn("cell", F.lit(0))
-        chunks = {0: 1}
-    else:
-        pivots = np.array([
-            r["v"] for r in points.orderBy("tie").limit(PIVOTS).select("v").collect()])
-        cells = points.withColumn("_c", _cell_of(pivots)("v")).select(
-            "v", "tie", "y", "_c.cell", "_c.dist")
-        stats = cells.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()
-        sizes, radii = np.zeros(len(pivots)), np.zeros(len(pivots))
-        for r in stats:
-            sizes[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
-        chunks = {int(r["cell"]): -(-r["n"] // CHUNK_ROWS) for r in stats}
-        visit = _cells_to_visit(pivots, sizes, radii, k)("v")
-        asked = asked.withColumn("cell", F.explode(visit))
-        cells = cells.drop("dist")
-
-    count = F.create_map(*[F.lit(x) for c, n in chunks.items() for x in (c, int(n))])
-    n_chunks = F.element_at(count, F.col("cell"))
-    # query groups keep both sides of a pair bounded; training chunks are copied to each group
-    n_groups = max(1, -(-n_asked // QUERY_ROWS))
-    left = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))) \
-        .withColumn("grp", F.pmod(F.xxhash64("qid"), F.lit(n_groups)))
-    right = cells.withColumn("chunk", F.pmod(F.xxhash64("tie"), n_chunks).cast("int")) \
-        .withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                F.lit(n_groups - 1).cast("long"))))
-    key = ["cell", "chunk", "grp"]
-    best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
-        _best_in_chunk(k), "qid string, dist double, tie long, y double")
-    nearest_first = Window.partitionBy("qid").orderBy("dist", "tie")
-    return best.withColumn("RANK", F.row_number().over(nearest_first)).filter(F.col("RANK") <= k)
+    spark = queries.sparkSession
+
+    n_pivots = min(PIVOTS, ceil(sqrt(points.count())))
+    pivots = [r["v"] for r in points.orderBy("tie").limit(n_pivots).select("v").collect()]
+    if not pivots:
+        return spark.createDataFrame([], f"{_FOUND}, RANK int")
+    index = PivotIndex(np.array(pivots))
+
+    # of equal rows only the first k can be among the nearest, however many there are
+    same = Window.partitionBy("v").orderBy("tie")
+    few = points.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k)
+    cells = cut(few.withColumn("_c", _cell_of(index)("v")).select(
+        "v", "tie", "y", "_c.cell", "_c.dist"))
+    sizes, radii = np.zeros(len(pivots), dtype="int64"), np.zeros(len(pivots))
+    for r in cells.groupBy("cell").agg(
+            F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect():
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+    index.filled(sizes, radii, k)
+    chunks = spark.createDataFrame(
+        [(int(c), -(-int(sizes[c]) // CHUNK_ROWS)) for c in np.flatnonzero(sizes)],
+        "cell int, chunks long")
+
+    visits = asked.withColumn("cell", F.explode(_homes(index)("v")))
+    home = cut(_ranked(_searched(visits, cells, chunks, k), k))
+    reach = home.groupBy("qid").agg(F.max("dist").alias("reach"))
+    visits = asked.join(reach, "qid").withColumn("cell", F.explode(_beyond(index)("v", "reach")))
+    return _ranked(home.drop("RANK").unionByName(_searched(visits, cells, chunks, k)), k)
 
 
 def knn_predictions(queries: DataFrame, train: DataFrame, features: Sequence[str], label: str,

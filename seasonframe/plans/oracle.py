@@ -828,10 +828,38 @@ ORACLE["knn_test_predictions"] = f"""
                 FROM v_model q, v_model t WHERE q.SPLIT = 'test' AND t.SPLIT = 'train'))
     GROUP BY IDREGION, FYEAR"""
 
+VIEWS["v_weather_table"] = """
+    SELECT IDREGION, f.CAMPAIGN_YEAR AS FYEAR, SPLIT, YIELD,
+           CAST(COLUMNS(f.* EXCLUDE (IDREGION, CAMPAIGN_YEAR)) AS DOUBLE)
+    FROM v_weather_features f JOIN v_split_yields y USING (IDREGION)
+    WHERE f.CAMPAIGN_YEAR = y.FYEAR"""
+VIEWS["v_weather_scaled"] = """
+    SELECT IDREGION, FYEAR, SPLIT, YIELD, FEATURE,
+           (x - avg(x) FILTER (WHERE SPLIT = 'train') OVER f)
+           / coalesce(nullif(stddev_pop(x) FILTER (WHERE SPLIT = 'train') OVER f, 0), 1) AS z
+    FROM v_weather_table UNPIVOT INCLUDE NULLS (
+        x FOR FEATURE IN (COLUMNS(* EXCLUDE (IDREGION, FYEAR, SPLIT, YIELD))))
+    WINDOW f AS (PARTITION BY FEATURE)"""
+ORACLE["scaled_features_whole"] = """
+    SELECT IDREGION, FYEAR, FEATURE, round(z, 6) AS VALUE FROM v_weather_scaled"""
+ORACLE["knn_predictions_whole"] = f"""
+    SELECT IDREGION, FYEAR, {", ".join(f"round({_knn(k)}, 6) AS K{k}" for k in (3, 5, 7, 9))}
+    FROM (SELECT *, row_number() OVER (PARTITION BY IDREGION, FYEAR ORDER BY d) AS r
+          FROM (SELECT q.IDREGION, q.FYEAR, t.IDREGION, t.FYEAR, any_value(t.YIELD) AS y,
+                       sqrt(sum((coalesce(q.z, 0) - coalesce(t.z, 0)) ** 2)) AS d
+                FROM v_weather_scaled q JOIN v_weather_scaled t USING (FEATURE)
+                WHERE q.SPLIT = 'test' AND t.SPLIT = 'train' GROUP BY ALL)
+                AS pairs(IDREGION, FYEAR, other_region, other_year, y, d))
+    GROUP BY IDREGION, FYEAR"""
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 ORACLE["source_csv"] = """
     SELECT * EXCLUDE (d), 1 AS IDCOVER, 'NUTS2' AS LEVEL, 'RX' AS COUNTRY FROM v_weather"""
+ORACLE["source_csv_reordered"] = """
+    SELECT * EXCLUDE (d), 1 AS IDCOVER, 'NUTS2' AS LEVEL, left(IDREGION, 2) AS COUNTRY FROM v_weather"""
+ORACLE["source_wide_years"] = """
+    SELECT Crop, IDREGION, FYEAR, YIELD FROM v_raw_yields WHERE YIELD IS NOT NULL"""
 ORACLE["source_levels"] = """
     SELECT *, 7 AS CROP_ID, 'NUTS2' AS LEVEL FROM v_areas4 UNION ALL
     SELECT *, 7 AS CROP_ID, 'NUTS1' AS LEVEL FROM v_areas3"""

@@ -157,6 +157,12 @@ class Tables(domain.Domain):
         return self.keep("model_table", self.split(
             table.select("IDREGION", "FYEAR", *MODEL_FEATURES, "YIELD")))
 
+    @cached_property
+    def weather_table(self):
+        """All weather features and the label, with SPLIT; no row is left out."""
+        return self.keep("weather_table", features.campaign_to_year(self.weather_features).join(
+            self.split_yields, ["IDREGION", "FYEAR"]))
+
     def season_features(self, trended=True) -> DataFrame:
         """Growth, weather, remote sensing, soil, centroids, trend and yield in one table."""
         self.prepare("daily", "yields")
@@ -723,6 +729,37 @@ def knn_test_predictions(t):
         "id.IDREGION", "id.FYEAR", F.round("K3", 6).alias("K3"), F.round("K5", 6).alias("K5"))
 
 
+def _numeric(table):
+    return [c for c in table.columns if c not in ("IDREGION", "FYEAR", "SPLIT", "YIELD")]
+
+
+def _scaled(rows):
+    names = _numeric(rows)
+    stats = models.scaling_stats(rows.filter(F.col("SPLIT") == "train"), names)
+    return models.population_scaled(rows, names, stats), names
+
+
+@query("daily", "season", "weather_ready", "calendar", "yields", "weather_table")
+def scaled_features_whole(t):
+    """Every weather feature of every row, scaled by the training rows, one row per value."""
+    scaled, names = _scaled(t.weather_table)
+    return scaled.unpivot(["IDREGION", "FYEAR"], names, "FEATURE", "VALUE").withColumn(
+        "VALUE", F.round("VALUE", 6))
+
+
+@query("daily", "season", "weather_ready", "calendar", "yields", "weather_table")
+def knn_predictions_whole(t):
+    """Test years from all weather features and the whole grid of k; a missing value counts as
+    the training mean."""
+    scaled, names = _scaled(t.weather_table)
+    rows = scaled.na.fill(0.0, subset=names)
+    train, test = (rows.filter(F.col("SPLIT") == s) for s in ("train", "test"))
+    found = knn_predictions(test, train, names, "YIELD", models.IDS, [3, 5, 7, 9])
+    ids = F.from_json("qid", "IDREGION string, FYEAR int")
+    return found.withColumn("id", ids).select(
+        "id.IDREGION", "id.FYEAR", *(F.round(f"K{k}", 6).alias(f"K{k}") for k in (3, 5, 7, 9)))
+
+
 @query("monthly", "yields")
 def experiment_ridge(t):
     """Every crop and country as an experiment of its own, all in one job: yields from the two
@@ -738,10 +775,6 @@ def experiment_ridge(t):
         *keys, "IDREGION", "FYEAR", "ALPHA", "YIELD", F.round("YIELD_PRED", 6).alias("YIELD_PRED"))
 
 
-def _numeric(table):
-    return [c for c in table.columns if c not in ("IDREGION", "FYEAR", "SPLIT", "YIELD")]
-
-
 @query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
 def lasso_selected(t):
     """Features left by recursive elimination down to 10."""
@@ -806,6 +839,29 @@ def source_csv(t):
     return readers.read_source(t.spark, folder, "METEO", "NUTS2", "RX", with_origin=True)
 
 
+@query("daily")
+def source_csv_reordered(t):
+    """Weather in a file per country, each with its columns in another order, read as one table."""
+    rows = cut(t.weather.withColumn("_country", country_of("IDREGION")))
+    names = t.weather.columns
+    for i, r in enumerate(rows.select("_country").distinct().orderBy("_country").collect()):
+        own = rows.filter(F.col("_country") == r["_country"])
+        folder = _written_source(t, "METEO_DAILY", own.select(names[i:] + names[:i]), "NUTS2",
+                                 r["_country"])
+    return readers.read_source(t.spark, folder, "METEO_DAILY", "NUTS2", "*", with_origin=True)
+
+
+@query("monthly")
+def source_wide_years(t):
+    """Wide yields in two files with different years, read as one table and made long."""
+    wide = cut(t.wide_yields)
+    years = clean.year_columns(wide)
+    for country, own in (("AA", years[:len(years) // 2]), ("BB", years[len(years) // 2:])):
+        folder = _written_source(t, "YIELD", wide.select("Crop", "IDREGION", *own), "NUTS2", country)
+    read = readers.read_source(t.spark, folder, "YIELD", "NUTS2", "*")
+    return clean.unpivot_years(read).filter("YIELD IS NOT NULL")
+
+
 @query("monthly", "yields")
 def source_levels(t):
     """Area fractions of two levels as one table."""

@@ -67,6 +67,10 @@ def source_schema(source: str, header: list[str]) -> T.StructType:
     ])
 
 
+def source_columns(source: str) -> tuple[str, ...]:
+    return tuple(name for name, _ in _column_types(source))
+
+
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
 
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import csv
+from collections import Counter
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RunConfig
-from ..schemas import source_schema
+from ..schemas import source_columns, source_schema
+
+# a file of up to 1 TiB is one split and one task; a task sees few lines before it stops
+_PROBE = {
+    "spark.sql.files.maxPartitionBytes": 1 << 40,
+    "spark.sql.files.openCostInBytes": 1 << 40,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 16,
+}
 
 
 def source_path(path: str, source: str, level: str, country: str | None = None,
@@ -23,8 +33,8 @@ def read_source(spark: SparkSession, path: str, source: str, level: str,
     """Read one source at one level.
 
     A CSV file gets its types from the declared columns, matched to its own header by name: only
-    header lines are read up front, never the data. Files of a glob may have their columns in
-    any order, or some of them only; those with the same header share one scan. `with_origin` adds
+    header lines are read up front, all of them in one job, never the data. Files may have their
+    columns in any order, or some of them only; those with the same header share one scan. `with_origin` adds
     LEVEL and COUNTRY taken from each file's name.
     """
     file = source_path(path, source, level, country, fmt)
@@ -32,7 +42,7 @@ def read_source(spark: SparkSession, path: str, source: str, level: str,
         frames = [spark.read.parquet(file)]
     else:
         frames = [spark.read.schema(source_schema(source, header)).option("header", True).csv(files)
-                  for header, files in _by_header(spark, file, fmt).items()]
+                  for header, files in _by_header(spark, source, file, fmt).items()]
     if with_origin:
         name = F.col("_metadata.file_path")
         pattern = rf"{source}_(NUTS\d)(?:_([A-Z0-9]{{2}}))?\.[a-z]+"
@@ -44,18 +54,52 @@ def read_source(spark: SparkSession, path: str, source: str, level: str,
     return _merged(frames)
 
 
-def _by_header(spark: SparkSession, file: str, fmt: str) -> dict[tuple[str, ...], list[str]]:
-    """Header -> the CSV files (or folders of part files) behind a path that have it."""
-    found = spark.read.option("header", True).csv(file)
-    if not any(c in file.rsplit("/", 1)[-1] for c in "*?[{"):
-        return {tuple(found.columns): [file]}
-    folders = (name.rsplit("/", 1)[0] for name in found.inputFiles())
-    units = {f if f.endswith(f".{fmt}") else name for f, name in zip(folders, found.inputFiles())}
-    headers = {}
-    for unit in sorted(units):
-        header = spark.read.option("header", True).csv(unit).columns
-        headers.setdefault(tuple(header), []).append(unit)
-    return headers
+def _header_lines(spark: SparkSession, file: str) -> list[tuple[str, str]]:
+    """(file, first line) of every file that has one, from one job.
+
+    A file is one task, which stops at its first line instead of reading on. The settings for that
+    belong to a session of its own, so the caller's stay as they are.
+    """
+    def first_line(batches):
+        for lines in batches:
+            named = lines[lines["value"].str.strip() != ""]
+            if len(named):
+                yield named.iloc[:1]
+                return
+
+    probe = spark.newSession()
+    for name, value in _PROBE.items():
+        probe.conf.set(name, value)
+    lines = probe.read.text(file).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), "value")
+    first = lines.mapInPandas(first_line, "file string, value string").collect()
+    return [(unquote(r["file"]), r["value"]) for r in first]
+
+
+def _columns(line: str) -> tuple[str, ...]:
+    """Column names of a header line; nameless and repeated ones are named as Spark does."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]))
+    times = Counter(name.lower() for name in names)
+    return tuple(f"_c{i}" if not name else f"{name}{i}" if times[name.lower()] > 1 else name
+                 for i, name in enumerate(names))
+
+
+def _by_header(spark: SparkSession, source: str, file: str, fmt: str
+               ) -> dict[tuple[str, ...], list[str]]:
+    """Header -> the CSV files behind a path that have it, or their folder of part files.
+
+    Files without a line hold nothing. Where all are like that, the table is empty and has the
+    declared columns."""
+    folders: dict[str, dict[tuple[str, ...], list[str]]] = {}
+    for name, line in _header_lines(spark, file):
+        folder = name.rsplit("/", 1)[0]
+        folders.setdefault(folder, {}).setdefault(_columns(line), []).append(name)
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for folder, found in sorted(folders.items()):
+        for header, names in found.items():
+            one = len(found) == 1 and folder.endswith(f".{fmt}")
+            headers.setdefault(header, []).extend([folder] if one else sorted(names))
+    return headers or {source_columns(source): [file]}
 
 
 def _merged(frames: list[DataFrame]) -> DataFrame:

@@ -65,6 +65,54 @@ def test_files_are_read_under_their_own_headers(spark, tmp_path):
         "AA11": ("40.0", "41.0", None, "AA"), "BB11": (None, "50.0", "51.0", "BB")}
 
 
+def jobs_of(spark, group, action):
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        return action(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_headers_of_many_files_take_one_job(spark, tmp_path):
+    """Blank lines first, a mark of the byte order, a trailing separator, repeated names, an empty
+    file, and a file of many lines, in a folder with a blank and a percent sign in its name."""
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for i in range(12):
+        put(folder, f"SOIL_NUTS2_A{i:X}.csv", "\nIDREGION,SM_WP,SM_FC,\n" if i % 2 else
+            "\ufeffSM_FC,IDREGION,SM_WP\n" + f"0.3,A{i},0.1\n" * (40_000 if i == 4 else 1))
+    put(folder, "SOIL_NUTS2_BB.csv", "")
+    put(folder, "SOIL_NUTS2_CC.csv", "IDREGION,note,Note,SM_FC\nCC,x,y,0.4\n")
+    found, jobs = jobs_of(spark, "headers", lambda: readers._by_header(
+        spark, "SOIL", f"{folder}/SOIL_NUTS2_*.csv", "csv"))
+    assert {h: len(files) for h, files in found.items()} == {
+        ("IDREGION", "SM_WP", "SM_FC", "_c3"): 6, ("SM_FC", "IDREGION", "SM_WP"): 6,
+        ("IDREGION", "note1", "Note2", "SM_FC"): 1}
+    assert jobs == 1
+    df = readers.read_source(spark, str(folder), "SOIL", "NUTS2", "*", with_origin=True)
+    assert df.filter("COUNTRY = 'A4'").count() == 40_000
+    assert rows(df.filter("COUNTRY <> 'A4'"), "COUNTRY", "SM_FC") == [
+        *((f"A{c}", 0.3) for c in "0268A"), ("CC", 0.4)]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 40)
+
+
+def test_files_without_a_line_are_an_empty_table(spark, tmp_path):
+    put(tmp_path, "SOIL_NUTS2_AA.csv", "")
+    df = readers.read_source(spark, str(tmp_path), "SOIL", "NUTS2", "*")
+    assert df.columns == ["IDREGION", "SM_FC", "SM_WP"] and df.count() == 0
+
+
+def test_part_files_of_a_folder_may_differ(spark, tmp_path):
+    folder = tmp_path / "SOIL_NUTS2_AA.csv"
+    folder.mkdir()
+    put(folder, "part-0.csv", "IDREGION,SM_WP,SM_FC\nA1,0.1,0.3\n")
+    put(folder, "part-1.csv", "SM_FC,IDREGION\n0.4,A2\n")
+    df = readers.read_source(spark, str(tmp_path), "SOIL", "NUTS2", "AA")
+    assert rows(df.filter("SM_WP IS NULL"), "IDREGION", "SM_FC") == [("A2", 0.4)]
+    assert df.count() == 2
+
+
 def test_sources_as_a_list():
     cfg = RunConfig(data_sources=["SOIL", "REMOTE_SENSING"], use_remote_sensing=True,
                     nuts_level="NUTS3")
