@@ -26,7 +26,7 @@ from .metrics import exact_median
 from .moments import (
     Moments, collect_moments, lasso_elimination, quoted, ridge_cv_error, ridge_fit,
 )
-from .neighbours import knn_predictions, with_knn
+from .neighbours import Search, search_all, weighted, with_knn
 from .splits import contiguous_folds, sliding_folds
 
 IDS = ("IDREGION", "FYEAR")
@@ -134,45 +134,66 @@ def training_set(train: DataFrame, features: Sequence[str], label: str = "YIELD"
 def cv_errors(ts: TrainingSet, spec: EstimatorSpec, grid: Sequence[dict],
               subsets: Sequence[Sequence[str]]) -> list[float]:
     """Mean validation error per parameter set; `subsets` holds each fold's features."""
+    return cv_errors_each(ts, spec, grid, [subsets])[0]
+
+
+def cv_errors_each(ts: TrainingSet, spec: EstimatorSpec, grid: Sequence[dict],
+                   choices: Sequence[Sequence[Sequence[str]]]) -> list[list[float]]:
+    """The same for several choices of every fold's features."""
     if spec.kind == "ridge":
-        return [ridge_cv_error(ts.moments, p["alpha"], ts.folds, subsets) for p in grid]
+        return [[ridge_cv_error(ts.moments, p["alpha"], ts.folds, subsets) for p in grid]
+                for subsets in choices]
     if spec.kind == "gbdt":
-        return boosted_cv_errors(ts, grid, subsets)
-    by_fold = ts.in_parallel([
-        lambda fold=fold, names=names: _knn_fold(ts, grid, *fold, list(names))
-        for fold, names in zip(ts.folds, subsets)])
-    return [sum(errors) / len(errors) for errors in zip(*by_fold)]
-
-
-def _knn_fold(ts, grid, train, valid, names) -> list[float]:
-    """All k of the grid from one search for the largest."""
-    center, scale = ts.moments.standardisation(train)
-    at = ts.moments.positions(names)
-    queries = ts.rows(valid)
-    found = knn_predictions(queries, ts.rows(train), names, ts.label, ts.ids,
-                            [p["k"] for p in grid], center[at], scale[at])
-    truth = queries.select(F.to_json(F.struct(*ts.ids)).alias("qid"), ts.label)
-    errors = found.join(truth, "qid").agg(*[
-        F.avg(F.pow(F.col(f"K{p['k']}") - F.col(ts.label), F.lit(2.0))) for p in grid]).first()
-    return list(errors)
+        return boosted_cv_errors_each(ts, grid, choices)
+    return knn_cv_errors(ts, grid, choices)
+
+
+def knn_cv_errors(ts: TrainingSet, grid: Sequence[dict],
+                  choices: Sequence[Sequence[Sequence[str]]]) -> list[list[float]]:
+    """All folds, choices of features and k in one run of searches for the largest k."""
+    searches = []
+    for subsets in choices:
+        for (train, valid), names in zip(ts.folds, subsets):
+            center, scale = ts.moments.standardisation(train)
+            at = ts.moments.positions(names)
+            searches.append(Search(tuple(names), center[at], scale[at], *(
+                F.col(ts.group).isin(list(groups)) for groups in (train, valid))))
+    ks = sorted({p["k"] for p in grid})
+    found = search_all(ts.df, ts.df, searches, ts.label, ts.ids, ks[-1]).groupBy("no", "qid").agg(
+        *map(weighted, ks))
+    truth = ts.df.select(F.to_json(F.struct(*ts.ids)).alias("qid"), ts.label)
+    errors = {r["no"]: r for r in found.join(truth, "qid").groupBy("no").agg(*[
+        F.avg(F.pow(F.col(f"K{k}") - F.col(ts.label), F.lit(2.0))).alias(f"K{k}")
+        for k in ks]).collect()}
+    n = len(ts.folds)
+    return [[sum(errors[i * n + j][f"K{p['k']}"] for j in range(n)) / n for p in grid]
+            for i in range(len(choices))]
 
 
 def boosted_cv_errors(ts: TrainingSet, grid: Sequence[dict], subsets: Sequence[Sequence[str]],
                       settings: Boosting = Boosting()) -> list[float]:
-    """All folds and parameters from one job: a model per fold and depth, with the most trees;
-    fewer trees are its beginning."""
+    return boosted_cv_errors_each(ts, grid, [subsets], settings)[0]
+
+
+def boosted_cv_errors_each(ts: TrainingSet, grid: Sequence[dict],
+                           choices: Sequence[Sequence[Sequence[str]]],
+                           settings: Boosting = Boosting()) -> list[list[float]]:
+    """All folds, choices of features and parameters from one job: a model per choice, fold and
+    depth, with the most trees; fewer trees are its beginning."""
     sizes: dict[int, set[int]] = {}
     for p in grid:
         sizes.setdefault(p["max_depth"], set()).add(p["trees"])
-    tasks = [Task(tuple(ts.moments.positions(names)), depth, tuple(sorted(trees)), train, valid)
-             for depth, trees in sizes.items() for (train, valid), names in zip(ts.folds, subsets)]
-    fits = fit_many(ts.df, ts.features, ts.label, ts.group, tasks, ts.ids, settings,
-                    with_trees=False)
+    wanted = [(i, Task(tuple(ts.moments.positions(names)), depth, tuple(sorted(trees)), train, valid))
+              for i, subsets in enumerate(choices) for depth, trees in sizes.items()
+              for (train, valid), names in zip(ts.folds, subsets)]
+    fits = fit_many(ts.df, ts.features, ts.label, ts.group, [task for _, task in wanted], ts.ids,
+                    settings, with_trees=False)
     errors = {}
-    for task, fit in zip(tasks, fits):
+    for (i, task), fit in zip(wanted, fits):
         for trees, (squared, _, _) in zip(task.stages, fit.errors):
-            errors.setdefault((task.depth, trees), []).append(squared)
-    return [sum(e) / len(e) for e in (errors[p["max_depth"], p["trees"]] for p in grid)]
+            errors.setdefault((i, task.depth, trees), []).append(squared)
+    return [[sum(e) / len(e) for e in (errors[i, p["max_depth"], p["trees"]] for p in grid)]
+            for i in range(len(choices))]
 
 
 def boosted_fit(ts: TrainingSet, params: dict, names: Sequence[str],
@@ -228,12 +249,13 @@ def select_features(ts: TrainingSet, spec: EstimatorSpec,
     unless the best single selector scores higher."""
     sizes = selection_sizes(len(ts.features), trend)
     chosen, scores = {}, {}
-    for selector in selectors:
-        *by_fold, overall = selector_picks(ts, selector, sizes)
-        best = min(
-            (min(cv_errors(ts, spec, spec.selection_grid, [p[s] for p in by_fold])), i, s)
-            for i, s in enumerate(sizes))
-        scores[selector], chosen[selector] = -best[0], overall[best[2]]
+    picks = [selector_picks(ts, selector, sizes) for selector in selectors]
+    errors = cv_errors_each(ts, spec, spec.selection_grid, [
+        [p[s] for p in by_fold] for *by_fold, _ in picks for s in sizes])
+    for n, (selector, (*_, overall)) in enumerate(zip(selectors, picks)):
+        own = errors[n * len(sizes):(n + 1) * len(sizes)]
+        best, _, size = min((min(e), i, s) for i, (e, s) in enumerate(zip(own, sizes)))
+        scores[selector], chosen[selector] = -best, overall[size]
     union = [f for f in ts.features if any(f in names for names in chosen.values())]
     scores["combined"] = -min(
         cv_errors(ts, spec, spec.selection_grid, [union] * len(ts.folds)))

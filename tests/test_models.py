@@ -136,6 +136,25 @@ def test_knn_matches_brute_force(spark, monkeypatch, chunk, queries):
         assert [got[key][j] for key in keys] == pytest.approx(want, rel=1e-9)
 
 
+def test_knn_cross_validation_matches_brute_force(problem):
+    """Two choices of features, other ones per fold, and two k in one run."""
+    ts, x, y = problem
+    folds = {r["IDREGION"] + str(r["FYEAR"]): r["FOLD"] for r in ts.df.collect()}
+    fold = np.array([folds[f"R{i // 14:02d}{2000 + i % 14}"] for i in range(len(y))])
+    choices = [[FEATURES] * 5, [FEATURES[j:j + 3] for j in range(5)]]
+    got = models.knn_cv_errors(ts, [{"k": 7}, {"k": 3}], choices)
+    for subsets, errors in zip(choices, got):
+        for k, error in zip((7, 3), errors):
+            want = []
+            for j, names in enumerate(subsets):
+                at = [FEATURES.index(n) for n in names]
+                train, valid = fold != j, fold == j
+                z = (x[:, at] - x[train][:, at].mean(0)) / x[train][:, at].std(0)
+                want.append(np.mean((np.array(
+                    knn_by_hand(z[valid], z[train], y[train], k)) - y[valid]) ** 2))
+            assert error == pytest.approx(np.mean(want), rel=1e-9)
+
+
 def test_knn_with_hot_duplicate_rows(spark, monkeypatch):
     """A third of the training rows are equal: their cell is split into chunks."""
     monkeypatch.setattr(neighbours, "CHUNK_ROWS", 8)
