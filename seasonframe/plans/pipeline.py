@@ -149,6 +149,8 @@ def train_and_predict(table: DataFrame, cfg: RunConfig) -> MLResult:
 
 def run(spark: SparkSession, cfg: RunConfig) -> MLResult:
     """Everything from the sources on, honouring the save, reuse and compare options."""
+    if cfg.use_saved_predictions:
+        return run_from_predictions(spark, cfg)
     if cfg.use_saved_features:
         return run_from_features(spark, cfg)
     parts = split_sources(preprocess(readers.load_all(spark, cfg), cfg), cfg)
@@ -164,9 +166,31 @@ def run_from_features(spark: SparkSession, cfg: RunConfig) -> MLResult:
     return _finish(spark, train_and_predict(table, cfg), cfg)
 
 
+def run_from_predictions(spark: SparkSession, cfg: RunConfig) -> MLResult:
+    """Saved predictions of the test years with their scores, compared if asked for. Nothing is
+    trained, so there are no selections."""
+    saved = writers.load_predictions(spark, cfg.output_path, cfg, fmt=cfg.file_format)
+    saved = saved.withColumn("SPLIT", F.lit("test"))
+    stacked = rollup.predictions_to_rows(
+        saved, _algorithms(saved), ["IDREGION", "FYEAR", "SPLIT", "YIELD"])
+    none = spark.createDataFrame([], "ALG string, FEATURE string")
+    result = MLResult(saved, score_table(scores(stacked, metrics=cfg.metrics), cfg.metrics),
+                      selected_frequency(none), {}, {})
+    return _compared(spark, result, cfg)
+
+
+def _algorithms(predictions: DataFrame) -> list[str]:
+    return [c.removeprefix("YIELD_PRED_") for c in predictions.columns
+            if c.startswith("YIELD_PRED_")]
+
+
 def _finish(spark: SparkSession, result: MLResult, cfg: RunConfig) -> MLResult:
     if cfg.save_predictions:
         writers.save_predictions(result.test, cfg.output_path, cfg, fmt=cfg.file_format)
+    return _compared(spark, result, cfg)
+
+
+def _compared(spark: SparkSession, result: MLResult, cfg: RunConfig) -> MLResult:
     if cfg.compare_with_forecast:
         result = replace(result, national=run_comparison(spark, cfg, result.test))
     return result
@@ -180,8 +204,7 @@ def run_comparison(spark: SparkSession, cfg: RunConfig,
     """
     if predictions is None:
         predictions = writers.load_predictions(spark, cfg.output_path, cfg, fmt=cfg.file_format)
-    names = [c.removeprefix("YIELD_PRED_") for c in predictions.columns
-             if c.startswith("YIELD_PRED_")]
+    names = _algorithms(predictions)
     levels = [f"NUTS{i}" for i in range(int(cfg.nuts_level[-1]), 0, -1)]
     data = readers.load_all(spark, cfg, {
         "WOFOST": cfg.nuts_level, "YIELD": "NUTS0", "YIELD_PRED_MCYFS": "NUTS0"})

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import RunConfig
 
 
+_SCHEMA = "_schema"  # next to the part files of a CSV table, which readers of the data skip
+
+
 def output_name(kind: str, cfg: RunConfig, level: str | None = None) -> str:
     """`<kind>_<crop>_<country>[_<level>]_{trend,notrend}[_early<d>]`."""
     parts = [
@@ -24,13 +31,16 @@ def _write(df: DataFrame, target: str, fmt: str, partition: str | None = None) -
         writer = writer.partitionBy(partition)
     if fmt == "csv":
         writer.option("header", True).csv(target)
+        kinds = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+        kinds.coalesce(1).write.mode("overwrite").text(f"{target}/{_SCHEMA}")
     else:
         writer.parquet(target)
     return target
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    """CSV comes back as text: region, split and crop stay strings, years become int."""
+    """CSV without a schema next to it: region and split stay strings, years become int, all else
+    double."""
     kinds = {"IDREGION": "string", "SPLIT": "string", "FYEAR": "int"}
     return df.select(*[F.col(f"`{c}`").cast(kinds.get(c, "double")).alias(c) for c in df.columns])
 
@@ -38,7 +48,11 @@ def _typed(df: DataFrame) -> DataFrame:
 def _read(spark: SparkSession, target: str, fmt: str) -> DataFrame:
     if fmt == "parquet":
         return spark.read.parquet(target)
-    return _typed(spark.read.option("header", True).csv(target))
+    try:
+        kinds = spark.read.text(f"{target}/{_SCHEMA}").first()["value"]
+    except AnalysisException:
+        return _typed(spark.read.option("header", True).csv(target))
+    return spark.read.schema(StructType.fromJson(json.loads(kinds))).option("header", True).csv(target)
 
 
 def save_features(df: DataFrame, path: str, cfg: RunConfig, fmt: str = "parquet") -> str:

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 
 from seasonframe import RunConfig
+from seasonframe.plans import pipeline
 from seasonframe.plans.experiments import experiment_grid
 from seasonframe.sources import readers, writers
 
@@ -152,6 +153,32 @@ def test_features_and_predictions_round_trip(spark, tmp_path, fmt):
     assert "_NUTS0_" in writers.save_national_predictions(df, str(tmp_path), cfg, fmt)
 
 
+def test_csv_keeps_the_types_of_every_column(spark, tmp_path):
+    cfg = RunConfig(use_yield_trend=False)
+    df = spark.createDataFrame([("NL11", 1999, 3, "x", 1.5, "train"), ("NL11", 2000, None, "y", None, "test")],
+                               "IDREGION string, FYEAR int, n bigint, note string, v double, SPLIT string")
+    writers.save_features(df, str(tmp_path), cfg, "csv")
+    back = writers.load_features(spark, str(tmp_path), cfg, "csv")
+    assert dict(back.dtypes) == dict(df.dtypes)
+    assert sorted(map(repr, back.select(df.columns).collect())) == sorted(map(repr, df.collect()))
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_run_from_saved_predictions(spark, tmp_path, fmt):
+    """No source is read and nothing is trained or written."""
+    cfg = RunConfig(use_saved_predictions=True, data_path="/nowhere", output_path=str(tmp_path),
+                    file_format=fmt, metrics=("MAPE",))
+    df = spark.createDataFrame([("NL11", 1999, 9.0, 20.0, 10.0), ("NL12", 1999, 22.0, 20.0, 20.0)],
+                               "IDREGION string, FYEAR int, YIELD_PRED_a double, "
+                               "YIELD_PRED_b double, YIELD double")
+    writers.save_predictions(df, str(tmp_path), cfg, fmt=fmt)
+    result = pipeline.run(spark, cfg)
+    assert rows(result.test) == rows(df)
+    assert {r["ALG"]: round(r["test_MAPE"], 6) for r in result.scores.collect()} == {
+        "a": 10.0, "b": 50.0}
+    assert result.frequency.isEmpty() and result.national is None
+
+
 def test_config_checks():
     for bad in ({"crop_name": "rice"}, {"nuts_level": "NUTS9"}, {"trend_windows": (2,)},
                 {"country_code": "XYZ"}, {"early_season_end_dekad": 40},
