@@ -253,7 +253,7 @@ def _indexes(points: DataFrame, n_searches: int) -> list[PivotIndex | None]:
     pivots = {}
     for r in points.filter(draw < share).select("no", "v").distinct().collect():
         pivots.setdefault(r["no"], []).append(r["v"])
-    for no in counts.keys() - pivots.keys():  # rows that are all alike: one cell
+    for no in counts.keys() - pivots.keys():  # none drawn, as where all rows are alike: one cell
         pivots[no] = [points.filter(F.col("no") == no).select("v").first()["v"]]
     return [PivotIndex(np.array(sorted(pivots[no])[:PIVOTS])) if no in pivots else None
             for no in range(n_searches)]
