@@ -1,6 +1,8 @@
 """Near duplicates, decontamination, vector search, quality sampling: brute force on small tables."""
 
+import collections
 import itertools
+import math
 import random
 import re
 
@@ -259,10 +261,62 @@ def test_quality_sample(spark):
 
 
 def test_quality_sample_counts_all_targets(spark, monkeypatch):
-    seen, count = [], importance.count_models
-    monkeypatch.setattr(importance, "count_models", lambda rows: seen.append(
-        rows.where("is_target").count()) or count(rows))
+    seen, count = [], importance.count_model
+    monkeypatch.setattr(importance, "count_model", lambda rows: seen.append(
+        rows.count()) or count(rows))
     data = spark.range(20_500).selectExpr("id AS doc_id", "concat('word ', id) AS text")
     marks = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     assert quality_sample(data, marks).count() == 20_500
-    assert seen == [20_500]
+    assert seen == [20_500, 20_500]
+
+
+@pytest.mark.parametrize("bits", [importance.FILTER_BITS, 64])
+def test_target_texts_are_exact_at_any_filter_size(spark, monkeypatch, bits):
+    monkeypatch.setattr(importance, "FILTER_BITS", bits)
+    data = spark.createDataFrame(
+        [(i, f"t{i}") for i in [-7, -7, *range(300)]] + [(None, "n"), (4, None)],
+        "doc_id long, text string")
+    ids = spark.createDataFrame([(-7,), (4,), (9,), (1000,)], "doc_id long")
+    got = importance.target_texts(data, ids).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == [
+        (-7, "t-7"), (-7, "t-7"), (4, ""), (4, "t4"), (9, "t9")]
+
+
+def test_quality_sample_against_plain_counts_and_weights(spark):
+    rng = random.Random(12)
+    vocabulary = ["alpha", "beta", "gamma", "\u4f60\u597d", "x"]
+    docs = [(f"d{i}" if i % 9 else None,
+             " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30)))) for i in range(80)]
+    docs += [("-5", None), ("d1", "alpha alpha"), ("d1", docs[1][1]), ("long", "beta gamma " * 5000)]
+    good = {"d1", "d2", "d4", "long"}
+    data = spark.createDataFrame([(*d, 1) for d in docs], "doc_id string, text string, place int")
+    marks = spark.createDataFrame([(g, 1, 0) for g in good] + [("d5", 1, 1), ("d7", 0, 0)],
+                                  "doc_id string, quality int, toxic int")
+
+    def grams(text):
+        return [int(b) for b in importance.ngram_buckets(text)]
+
+    def plain(chosen):
+        counts = collections.Counter(b for t in chosen for b in grams(t))
+        total = sum(counts.values()) + importance.BUCKETS
+        return lambda b: math.log((counts[b] + 1) / total)
+    p, q = plain([t for i, t in docs if i in good]), plain([t for _, t in docs])
+    want = sorted((i or "", round(sum(p(b) - q(b) for b in grams(t)), 6) if grams(t) else None)
+                  for i, t in docs if grams(t))
+    rows = quality_sample(data, marks, fraction=0.25).collect()
+    assert len(rows) == len(docs)
+    known = [r for r in rows if r["log_weight"] is not None]
+    assert sorted((r["doc_id"] or "", round(r["log_weight"], 6)) for r in known) == want
+    top = sorted((r["gumbel_key"] for r in known), reverse=True)[:round(len(known) / 4)]
+    assert all(r["selected"] == (r["log_weight"] is not None and r["gumbel_key"] >= top[-1])
+               for r in rows)
+    words = "alpha beta gamma".split()
+    assert len(grams(" ".join(words))) == 5  # three words, two pairs
+
+
+def test_quality_noise_is_standard_gumbel(spark):
+    data = spark.range(4000).selectExpr("id - 2000 AS doc_id", "'same words here' AS text")
+    keys = [r["gumbel_key"] - r["log_weight"] for r in importance.weigh(
+        data, np.zeros(importance.BUCKETS)).collect()]
+    assert len(set(keys)) == 4000
+    assert abs(np.mean(keys) - 0.5772) < 0.1 and abs(np.var(keys) - math.pi**2 / 6) < 0.2
