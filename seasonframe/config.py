@@ -51,6 +51,10 @@ class RunConfig:
     estimators: tuple = field(default_factory=tuple)  # () = the default set of operators.models
     selectors: tuple[str, ...] = ("random_forest", "rfe_lasso")
     metrics: tuple[str, ...] = ("NMAE", "MAPE", "NRMSE", "R2")
+    # what cross-validation minimises: MSE, RMSE, MAE or R2 (as 1 - R²)
+    selection_objective: str = "MSE"
+    training_objective: str = "MSE"
+    scaler: str = "standard"  # or minmax
 
     def __post_init__(self):
         object.__setattr__(self, "crop_name", self.crop_name.lower())
@@ -66,6 +70,9 @@ class RunConfig:
             (abs(self.early_season_end_dekad) <= 36, "early season offset outside -36..36"),
             (self.file_format in ("csv", "parquet"), "file format must be csv or parquet"),
             (0 < self.test_fraction < 1, "test fraction outside (0, 1)"),
+            ({self.selection_objective, self.training_objective} <= {"MSE", "RMSE", "MAE", "R2"},
+             "objectives must be MSE, RMSE, MAE or R2"),
+            (self.scaler in ("standard", "minmax"), "scaler must be standard or minmax"),
         ]
         for ok, message in checks:
             if not ok:

@@ -24,12 +24,24 @@ from ..storage import cut
 from .boosting import Boosted, Boosting, Task, fit_many
 from .metrics import exact_median
 from .moments import (
-    Moments, collect_moments, lasso_elimination, quoted, ridge_cv_error, ridge_fit,
+    Moments, absolute_errors, collect_moments, lasso_elimination, quoted, ridge_cv_error,
+    ridge_cv_lines, ridge_fit,
 )
 from .neighbours import Search, search_all, weighted, with_knn
 from .splits import contiguous_folds, sliding_folds
+from .univariate import best_features
 
 IDS = ("IDREGION", "FYEAR")
+SCALERS = ("standard", "minmax")
+
+#: What cross-validation minimises, from a fold's mean squared and absolute error and the variance
+#: of its labels. "R2" is 1 - R²; without variance it is 0 where all is met and 1 otherwise.
+OBJECTIVES = {
+    "MSE": lambda squared, absolute, variance: squared,
+    "RMSE": lambda squared, absolute, variance: squared ** 0.5,
+    "MAE": lambda squared, absolute, variance: absolute,
+    "R2": lambda squared, absolute, variance: squared / variance if variance > 0 else float(squared > 0),
+}
 
 
 @dataclass(frozen=True)
@@ -98,6 +110,13 @@ class TrainingSet:
     parallelism: int = 4
     ids: tuple[str, ...] = IDS
     picks: dict = field(default_factory=dict)
+    scaler: str = "standard"
+
+    def fold_means(self, objective: str, errors: Sequence[tuple[float, float]]) -> float:
+        """Mean over folds of the objective, from each fold's (squared, absolute) error."""
+        measure = OBJECTIVES[objective]
+        return sum(measure(*e, self.moments.label_variance(valid))
+                   for e, (_, valid) in zip(errors, self.folds)) / len(self.folds)
 
     def rows(self, groups) -> DataFrame:
         return self.df if groups is None else self.df.filter(F.col(self.group).isin(list(groups)))
@@ -111,9 +130,12 @@ class TrainingSet:
 
 
 def training_set(train: DataFrame, features: Sequence[str], label: str = "YIELD", k: int = 5,
-                 time_ordered: bool = False, parallelism: int = 4) -> TrainingSet:
+                 time_ordered: bool = False, parallelism: int = 4,
+                 scaler: str = "standard") -> TrainingSet:
     """Assign validation folds (sliding years when time-ordered, else contiguous blocks),
     materialise the rows once and collect their cross products."""
+    if scaler not in SCALERS:
+        raise ValueError(f"unknown scaler {scaler!r}")
     if time_ordered:
         group = "FYEAR"
         rows = cut(train)
@@ -127,34 +149,59 @@ def training_set(train: DataFrame, features: Sequence[str], label: str = "YIELD"
         folds = tuple((tuple(g for g in range(k) if g != j), (j,)) for j in range(k))
     if not folds:
         raise ValueError(f"too few years for {k} time-ordered folds")
-    moments = collect_moments(rows, features, label, group)
-    return TrainingSet(rows, tuple(features), label, group, folds, moments, parallelism)
+    moments = collect_moments(rows, features, label, group, extremes=scaler == "minmax")
+    return TrainingSet(rows, tuple(features), label, group, folds, moments, parallelism,
+                       scaler=scaler)
 
 
 def cv_errors(ts: TrainingSet, spec: EstimatorSpec, grid: Sequence[dict],
-              subsets: Sequence[Sequence[str]]) -> list[float]:
+              subsets: Sequence[Sequence[str]], objective: str = "MSE") -> list[float]:
     """Mean validation error per parameter set; `subsets` holds each fold's features."""
-    return cv_errors_each(ts, spec, grid, [subsets])[0]
+    return cv_errors_each(ts, spec, grid, [subsets], objective)[0]
 
 
 def cv_errors_each(ts: TrainingSet, spec: EstimatorSpec, grid: Sequence[dict],
-                   choices: Sequence[Sequence[Sequence[str]]]) -> list[list[float]]:
-    """The same for several choices of every fold's features."""
+                   choices: Sequence[Sequence[Sequence[str]]], objective: str = "MSE"
+                   ) -> list[list[float]]:
+    """The same for several choices of every fold's features. OBJECTIVES has the errors known."""
+    if objective not in OBJECTIVES:
+        raise ValueError(f"unknown objective {objective!r}")
     if spec.kind == "ridge":
-        return [[ridge_cv_error(ts.moments, p["alpha"], ts.folds, subsets) for p in grid]
-                for subsets in choices]
+        return ridge_cv_errors(ts, grid, choices, objective)
     if spec.kind == "gbdt":
-        return boosted_cv_errors_each(ts, grid, choices)
-    return knn_cv_errors(ts, grid, choices)
+        return boosted_cv_errors_each(ts, grid, choices, objective=objective)
+    return knn_cv_errors(ts, grid, choices, objective)
+
+
+def ridge_cv_errors(ts: TrainingSet, grid: Sequence[dict],
+                    choices: Sequence[Sequence[Sequence[str]]], objective: str = "MSE"
+                    ) -> list[list[float]]:
+    """Squared errors follow from the cross products; absolute ones of all choices, folds and
+    penalties take one pass over the rows."""
+    alphas = [p["alpha"] for p in grid]
+    if objective == "MSE":
+        return [[ridge_cv_error(ts.moments, a, ts.folds, subsets, scaler=ts.scaler)
+                 for a in alphas] for subsets in choices]
+    lines = [ridge_cv_lines(ts.moments, alphas, ts.folds, subsets, scaler=ts.scaler)
+             for subsets in choices]
+    absolute = iter(absolute_errors(
+        ts.df, ts.moments, [x for own in lines for x in own], ts.label, ts.group)
+        if objective == "MAE" else [float("nan")] * sum(map(len, lines)))
+    out = []
+    for own in lines:
+        errors = [(ts.moments.squared_error(*line), next(absolute)) for line in own]
+        out.append([ts.fold_means(objective, errors[i::len(grid)]) for i in range(len(grid))])
+    return out
 
 
 def knn_cv_errors(ts: TrainingSet, grid: Sequence[dict],
-                  choices: Sequence[Sequence[Sequence[str]]]) -> list[list[float]]:
+                  choices: Sequence[Sequence[Sequence[str]]], objective: str = "MSE"
+                  ) -> list[list[float]]:
     """All folds, choices of features and k in one run of searches for the largest k."""
     searches = []
     for subsets in choices:
         for (train, valid), names in zip(ts.folds, subsets):
-            center, scale = ts.moments.standardisation(train)
+            center, scale = ts.moments.scaling(train, ts.scaler)
             at = ts.moments.positions(names)
             searches.append(Search(tuple(names), center[at], scale[at], *(
                 F.col(ts.group).isin(list(groups)) for groups in (train, valid))))
@@ -162,12 +209,14 @@ def knn_cv_errors(ts: TrainingSet, grid: Sequence[dict],
     found = search_all(ts.df, ts.df, searches, ts.label, ts.ids, ks[-1]).groupBy("no", "qid").agg(
         *map(weighted, ks))
     truth = ts.df.select(F.to_json(F.struct(*ts.ids)).alias("qid"), ts.label)
-    errors = {r["no"]: r for r in found.join(truth, "qid").groupBy("no").agg(*[
-        F.avg(F.pow(F.col(f"K{k}") - F.col(ts.label), F.lit(2.0))).alias(f"K{k}")
-        for k in ks]).collect()}
+    wrong = {k: F.col(f"K{k}") - F.col(ts.label) for k in ks}
+    errors = {r["no"]: r for r in found.join(truth, "qid").groupBy("no").agg(
+        *[F.avg(F.pow(wrong[k], F.lit(2.0))).alias(f"S{k}") for k in ks],
+        *[F.avg(F.abs(wrong[k])).alias(f"A{k}") for k in ks]).collect()}
     n = len(ts.folds)
-    return [[sum(errors[i * n + j][f"K{p['k']}"] for j in range(n)) / n for p in grid]
-            for i in range(len(choices))]
+    return [[ts.fold_means(objective, [
+        (errors[i * n + j][f"S{p['k']}"], errors[i * n + j][f"A{p['k']}"]) for j in range(n)])
+        for p in grid] for i in range(len(choices))]
 
 
 def boosted_cv_errors(ts: TrainingSet, grid: Sequence[dict], subsets: Sequence[Sequence[str]],
@@ -177,7 +226,8 @@ def boosted_cv_errors(ts: TrainingSet, grid: Sequence[dict], subsets: Sequence[S
 
 def boosted_cv_errors_each(ts: TrainingSet, grid: Sequence[dict],
                            choices: Sequence[Sequence[Sequence[str]]],
-                           settings: Boosting = Boosting()) -> list[list[float]]:
+                           settings: Boosting = Boosting(), objective: str = "MSE"
+                           ) -> list[list[float]]:
     """All folds, choices of features and parameters from one job: a model per choice, fold and
     depth, with the most trees; fewer trees are its beginning."""
     sizes: dict[int, set[int]] = {}
@@ -190,9 +240,9 @@ def boosted_cv_errors_each(ts: TrainingSet, grid: Sequence[dict],
                     settings, with_trees=False)
     errors = {}
     for (i, task), fit in zip(wanted, fits):
-        for trees, (squared, _, _) in zip(task.stages, fit.errors):
-            errors.setdefault((i, task.depth, trees), []).append(squared)
-    return [[sum(e) / len(e) for e in (errors[i, p["max_depth"], p["trees"]] for p in grid)]
+        for trees, (squared, absolute, _) in zip(task.stages, fit.errors):
+            errors.setdefault((i, task.depth, trees), []).append((squared, absolute))
+    return [[ts.fold_means(objective, errors[i, p["max_depth"], p["trees"]]) for p in grid]
             for i in range(len(choices))]
 
 
@@ -219,7 +269,9 @@ def forest_picks(importances: Sequence[float], features: Sequence[str],
 
 def _picks(ts: TrainingSet, selector: str, sizes: Sequence[int], groups) -> dict[int, list[str]]:
     if selector == "rfe_lasso":
-        return lasso_elimination(ts.moments, sizes, LASSO_ALPHA, groups)
+        return lasso_elimination(ts.moments, sizes, LASSO_ALPHA, groups, ts.scaler)
+    if selector == "mutual_info":
+        return best_features(ts.rows(groups), ts.features, ts.label, sizes)
     model = forest(labelCol=ts.label).fit(_assembled(ts.rows(groups), ts.features))
     return forest_picks(list(model.featureImportances.toArray()), ts.features, sizes)
 
@@ -228,7 +280,7 @@ def selector_picks(ts: TrainingSet, selector: str, sizes: Sequence[int]) -> list
     """Picks per fold and, last, on all training rows. Kept: estimators share them."""
     key = (selector, tuple(sizes))
     if key not in ts.picks:
-        if selector not in ("random_forest", "rfe_lasso"):
+        if selector not in ("random_forest", "rfe_lasso", "mutual_info"):
             raise ValueError(f"unknown selector {selector!r}")
         samples = [train for train, _ in ts.folds] + [None]
         ts.picks[key] = ts.in_parallel([
@@ -239,26 +291,26 @@ def selector_picks(ts: TrainingSet, selector: str, sizes: Sequence[int]) -> list
 @dataclass(frozen=True)
 class Selection:
     features: list[str]
-    scores: dict[str, float]  # selector or 'combined' -> negative mean squared error
+    scores: dict[str, float]  # selector or 'combined' -> negative error
 
 
 def select_features(ts: TrainingSet, spec: EstimatorSpec,
                     selectors: Sequence[str] = ("random_forest", "rfe_lasso"),
-                    trend: bool = False) -> Selection:
+                    trend: bool = False, objective: str = "MSE") -> Selection:
     """Best size per selector by cross-validation, then the union of all selectors' features
     unless the best single selector scores higher."""
     sizes = selection_sizes(len(ts.features), trend)
     chosen, scores = {}, {}
     picks = [selector_picks(ts, selector, sizes) for selector in selectors]
     errors = cv_errors_each(ts, spec, spec.selection_grid, [
-        [p[s] for p in by_fold] for *by_fold, _ in picks for s in sizes])
+        [p[s] for p in by_fold] for *by_fold, _ in picks for s in sizes], objective)
     for n, (selector, (*_, overall)) in enumerate(zip(selectors, picks)):
         own = errors[n * len(sizes):(n + 1) * len(sizes)]
         best, _, size = min((min(e), i, s) for i, (e, s) in enumerate(zip(own, sizes)))
         scores[selector], chosen[selector] = -best, overall[size]
     union = [f for f in ts.features if any(f in names for names in chosen.values())]
     scores["combined"] = -min(
-        cv_errors(ts, spec, spec.selection_grid, [union] * len(ts.folds)))
+        cv_errors(ts, spec, spec.selection_grid, [union] * len(ts.folds), objective))
     winner = max(selectors, key=lambda s: scores[s])
     names = chosen[winner] if scores["combined"] < scores[winner] else union
     return Selection(names, scores)
@@ -275,20 +327,20 @@ class Fitted:
 
 
 def grid_fit(ts: TrainingSet, spec: EstimatorSpec, features: Sequence[str],
-             grid: Sequence[dict] | None = None) -> Fitted:
+             grid: Sequence[dict] | None = None, objective: str = "MSE") -> Fitted:
     """Choose parameters by cross-validation and refit on all training rows."""
     grid, names = list(grid or spec.grid), list(features)
-    errors = cv_errors(ts, spec, grid, [names] * len(ts.folds))
+    errors = cv_errors(ts, spec, grid, [names] * len(ts.folds), objective)
     params = grid[errors.index(min(errors))]
     return Fitted(spec, params, names, _predictor(ts, spec, params, names))
 
 
 def _predictor(ts: TrainingSet, spec: EstimatorSpec, params: dict, names: list[str]):
     if spec.kind == "ridge":
-        line = ridge_fit(ts.moments, params["alpha"], names)
+        line = ridge_fit(ts.moments, params["alpha"], names, scaler=ts.scaler)
         return lambda df, output: df.withColumn(output, line.column())
     if spec.kind == "knn":
-        center, scale = ts.moments.standardisation()
+        center, scale = ts.moments.scaling(None, ts.scaler)
         at = ts.moments.positions(names)
         return lambda df, output: with_knn(
             df, ts.df, names, ts.label, ts.ids, params["k"], center[at], scale[at], output)

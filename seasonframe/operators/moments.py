@@ -49,6 +49,7 @@ class Moments:
     center: np.ndarray
     scale: np.ndarray
     groups: dict
+    extremes: dict | None = None  # group -> (least, largest) of the raw features
 
     def total(self, groups: Iterable | None = None) -> np.ndarray:
         size = len(self.features) + 2
@@ -61,12 +62,42 @@ class Moments:
         mean, spread, *_ = _centered(self.total(groups))
         return self.center + mean * self.scale, spread * self.scale
 
+    def scaling(self, groups: Iterable | None = None, scaler: str = "standard"):
+        """Center and scale of the raw features over some groups: mean and deviation, or the
+        least value and the range ("minmax")."""
+        if scaler == "standard":
+            return self.standardisation(groups)
+        if self.extremes is None:
+            raise ValueError("collect_moments(extremes=True) is needed to scale by the range")
+        picked = [self.extremes[g] for g in (self.extremes if groups is None else groups)
+                  if g in self.extremes]
+        if not picked:
+            return self.center, np.ones(len(self.features))
+        low, high = np.min([e[0] for e in picked], axis=0), np.max([e[1] for e in picked], axis=0)
+        return low, np.where(high > low, high - low, 1.0)
+
+    def unit(self, at: Sequence[int], groups: Iterable | None = None, scaler: str = "standard"):
+        """What some features are divided by, in z units; None: their own deviation."""
+        return None if scaler == "standard" else self.scaling(groups, scaler)[1][at] / self.scale[at]
+
+    def squared_error(self, groups: Iterable, at: Sequence[int], intercept: float,
+                      weights: np.ndarray) -> float:
+        """Mean squared error of a line in z units over some groups."""
+        return squared_error(_subset(self.total(groups), at), intercept, weights)
+
+    def label_variance(self, groups: Iterable) -> float:
+        total = self.total(groups)
+        n = max(total[0, 0], 1.0)
+        return max(float(total[-1, -1] / n - (total[0, -1] / n) ** 2), 0.0)
+
     def positions(self, names: Sequence[str]) -> list[int]:
         return [self.features.index(n) for n in names]
 
 
-def collect_moments(df: DataFrame, features: Sequence[str], label: str, group: str) -> Moments:
-    """Run the pass: tasks build one partial matrix per group, Spark sums them as vectors."""
+def collect_moments(df: DataFrame, features: Sequence[str], label: str, group: str,
+                    extremes: bool = False) -> Moments:
+    """Run the pass: tasks build one partial matrix per group, Spark sums them as vectors.
+    `extremes`: also the least and largest value of each feature per group."""
     features = list(features)
     if 8 * (len(features) + 2) ** 2 > MATRIX_BYTES:
         raise ValueError(f"{len(features)} features: the cross products take over {MATRIX_BYTES} bytes")
@@ -97,7 +128,12 @@ def collect_moments(df: DataFrame, features: Sequence[str], label: str, group: s
         matrix = groups[r["grp"]] = np.zeros((d + 2, d + 2))
         matrix[upper] = r["val"].toArray()
         matrix.T[upper] = matrix[upper]
-    return Moments(tuple(features), center, scale, groups)
+    ends = None
+    if extremes:
+        ends = {r[0]: (np.array(r[1:d + 1], float), np.array(r[d + 1:], float)) for r in rows.groupBy(
+            F.col(group).cast("int")).agg(*map(F.min, quoted(features)), *map(F.max, quoted(features))
+                                          ).collect()}
+    return Moments(tuple(features), center, scale, groups, ends)
 
 
 def _centered(total: np.ndarray):
@@ -127,25 +163,52 @@ def ridge_weights(total: np.ndarray, alpha: float, unit: np.ndarray | None = Non
     return label_mean - w @ mean, w
 
 
-def lasso_weights(total: np.ndarray, alpha: float, sweeps: int = 100_000, tol: float = 1e-10):
-    """Standardised coefficients of  |y - Xb|^2 / 2n + alpha |b|_1, by coordinate descent.
+def lasso_weights(total: np.ndarray, alpha: float, unit: np.ndarray | None = None):
+    """Coefficients of  |y - Xb|^2 / 2n + alpha |b|_1,  X scaled as in ridge_weights.
 
-    Raises ArithmeticError where `sweeps` do not reach `tol`."""
+    An active set: the feature whose gradient exceeds the penalty most enters, the coefficients of
+    all that are in are solved for with their signs held, and one that would change its sign
+    leaves where it is zero. A feature that others in the set make up takes the place of one of
+    them. Every step lowers the objective, so it ends at the exact solution after finitely many.
+    """
     mean, spread, cov, with_label, _, n = _centered(total)
-    gram, target = cov / np.outer(spread, spread) / n, with_label / spread / n
-    b = np.zeros(len(target))
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in range(len(b)):
-            if gram[j, j] <= 0:
-                continue
-            rho = target[j] - gram[j] @ b + gram[j, j] * b[j]
-            new = np.sign(rho) * max(abs(rho) - alpha, 0.0) / gram[j, j]
-            moved = max(moved, abs(new - b[j]))
-            b[j] = new
-        if moved < tol:
+    unit = spread if unit is None else unit
+    gram, target = cov / np.outer(unit, unit) / n, with_label / unit / n
+    d = len(target)
+    b, sign, active = np.zeros(d), np.zeros(d), []
+    usable = np.diag(gram) > 1e-14 * max(np.diag(gram).max(initial=0.0), 1e-300)
+    least = alpha + 1e-12 * np.abs(target).max(initial=0.0)
+
+    def leave(step, move):
+        """Go along `move` until a coefficient is zero, at most `step`; whether one was."""
+        falls = [(b[i] / -m, i) for i, m in zip(active, move) if m * sign[i] < 0]
+        stop, out = min(falls, default=(np.inf, None))
+        if stop > step:
+            return False
+        b[active] += stop * np.asarray(move)
+        b[out] = sign[out] = 0.0
+        active.remove(out)
+        return True
+
+    for _ in range(100 * (d + 1)):
+        slope = target - gram @ b
+        outside = [j for j in range(d) if usable[j] and j not in active]
+        enter = max(outside, key=lambda j: abs(slope[j]), default=None)
+        if enter is None or abs(slope[enter]) <= least:
             return b
-    raise ArithmeticError(f"lasso: coefficients still move by {moved} after {sweeps} sweeps")
+        sign[enter] = np.sign(slope[enter])
+        made_up = np.linalg.solve(gram[np.ix_(active, active)], gram[active, enter])
+        rest = gram[enter, enter] - gram[enter, active] @ made_up
+        active.append(enter)
+        if rest <= 1e-10 * gram[enter, enter]:  # the fit stays, the sum of coefficients falls
+            if not leave(np.inf, sign[enter] * np.append(-made_up, 1.0)):
+                break
+        while active:
+            goal = np.linalg.solve(gram[np.ix_(active, active)], target[active] - alpha * sign[active])
+            if not leave(1.0, goal - b[active]):
+                b[active] = goal
+                break
+    raise ArithmeticError("lasso: no solution, features too close to multiples of each other")
 
 
 def squared_error(total: np.ndarray, intercept: float, weights: np.ndarray) -> float:
@@ -155,38 +218,86 @@ def squared_error(total: np.ndarray, intercept: float, weights: np.ndarray) -> f
 
 
 def ridge_fit(moments: Moments, alpha: float, features: Sequence[str] | None = None,
-              groups: Iterable | None = None, standardise: bool = True) -> LinearFit:
+              groups: Iterable | None = None, standardise: bool = True,
+              scaler: str = "standard") -> LinearFit:
     names = list(features or moments.features)
     at = moments.positions(names)
     total = _subset(moments.total(groups), at)
-    unit = None if standardise else 1 / moments.scale[at]
+    unit = moments.unit(at, groups, scaler) if standardise else 1 / moments.scale[at]
     intercept, w = ridge_weights(total, alpha, unit)
     raw = w / moments.scale[at]
     return LinearFit(tuple(names), tuple(map(float, raw)),
                      float(intercept - raw @ moments.center[at]))
 
 
-def ridge_cv_error(moments: Moments, alpha: float, folds, subsets,
-                   standardise: bool = True) -> float:
-    """Mean validation error over folds; `subsets` gives each fold's features."""
-    errors = []
+def ridge_cv_lines(moments: Moments, alphas: Sequence[float], folds, subsets,
+                   standardise: bool = True, scaler: str = "standard") -> list:
+    """(valid groups, positions, intercept, weights in z units) per fold and penalty."""
+    lines = []
     for (train, valid), names in zip(folds, subsets):
-        at = moments.positions(names)
-        unit = None if standardise else 1 / moments.scale[at]
-        line = ridge_weights(_subset(moments.total(train), at), alpha, unit)
-        errors.append(squared_error(_subset(moments.total(valid), at), *line))
-    return float(np.mean(errors))
+        at, total = moments.positions(names), moments.total(train)
+        unit = moments.unit(at, train, scaler) if standardise else 1 / moments.scale[at]
+        lines += [(valid, at, *ridge_weights(_subset(total, at), a, unit)) for a in alphas]
+    return lines
+
+
+def ridge_cv_error(moments: Moments, alpha: float, folds, subsets,
+                   standardise: bool = True, scaler: str = "standard") -> float:
+    """Mean squared validation error over folds; `subsets` gives each fold's features."""
+    return float(np.mean([
+        moments.squared_error(*line) for line in
+        ridge_cv_lines(moments, [alpha], folds, subsets, standardise, scaler)]))
+
+
+def absolute_errors(df: DataFrame, moments: Moments, lines: Sequence, label: str,
+                    group: str) -> list[float]:
+    """Mean absolute error of every line on its validation groups, all in one pass over the rows.
+
+    Unlike squares, absolute errors do not follow from sums of products. A task multiplies the rows
+    of a group by all lines that are validated there and returns one sum a line.
+    """
+    features, d = list(moments.features), len(moments.features)
+    table = np.zeros((len(lines), d + 1))
+    for row, (_, at, intercept, weights) in zip(table, lines):
+        row[0], row[[p + 1 for p in at]] = intercept, weights
+    of_group = {}
+    for i, (valid, *_) in enumerate(lines):
+        for g in valid:
+            of_group.setdefault(int(g), []).append(i)
+    center, scale = moments.center, moments.scale
+
+    def score(batches):
+        sums, rows = np.zeros(len(table)), np.zeros(len(table), np.int64)
+        for pdf in batches:
+            for key, part in pdf.groupby(group):
+                mine = of_group.get(int(key), [])
+                z = (part[features].to_numpy(float) - center) / scale
+                guess = np.column_stack([np.ones(len(z)), z]) @ table[mine].T
+                sums[mine] += np.abs(part[label].to_numpy(float)[:, None] - guess).sum(axis=0)
+                rows[mine] += len(part)
+        yield pd.DataFrame({"line": np.arange(len(table)), "total": sums, "n": rows})
+
+    found = df.select(group, *quoted(features), label).na.drop().mapInPandas(
+        score, "line int, total double, n long").groupBy("line").agg(
+        F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
+    means = {r["line"]: r["total"] / r["n"] if r["n"] else np.nan for r in found}
+    return [means.get(i, np.nan) for i in range(len(lines))]
 
 
 def lasso_elimination(moments: Moments, sizes: Sequence[int], alpha: float = 0.1,
-                      groups: Iterable | None = None) -> dict[int, list[str]]:
+                      groups: Iterable | None = None, scaler: str = "standard"
+                      ) -> dict[int, list[str]]:
     """Recursive elimination: refit lasso and drop the smallest coefficient until each size.
 
     Features with a zero coefficient go first, in order; dropping one cannot change the fit.
     """
     total = moments.total(groups)
     left, kept = list(range(len(moments.features))), {}
-    b = lasso_weights(_subset(total, left), alpha)
+    unit = moments.unit(left, groups, scaler)
+
+    def fit():
+        return lasso_weights(_subset(total, left), alpha, None if unit is None else unit[left])
+    b = fit()
     while True:
         if len(left) in sizes:
             kept[len(left)] = [moments.features[i] for i in left]
@@ -195,4 +306,4 @@ def lasso_elimination(moments: Moments, sizes: Sequence[int], alpha: float = 0.1
         drop = int(np.argmin(np.abs(b)))
         refit = b[drop] != 0
         left.pop(drop)
-        b = lasso_weights(_subset(total, left), alpha) if refit else np.delete(b, drop)
+        b = fit() if refit else np.delete(b, drop)

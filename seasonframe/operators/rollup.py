@@ -81,19 +81,35 @@ def asof_forecast(targets: DataFrame, forecasts: DataFrame,
                   keys: Sequence[str] = ("FYEAR",)) -> DataFrame:
     """Forecast issued at or next after each target's TARGET_DEKAD, else the latest one.
 
-    One equi-join and one `min_by`: later issues sort first by dekad, earlier ones after them
-    by descending dekad. Within a dekad the earliest date wins. Targets without forecasts drop.
+    Within a dekad the earliest date wins, then the smaller value; forecasts without a dekad count
+    as none. Targets without forecasts drop, those with a null key too; a null TARGET_DEKAD takes
+    the first forecast. Repeated targets count once.
+
+    Forecasts shrink to one per key and dekad before they are shuffled, targets to distinct ones.
+    Both are put in one order, in which each target sees the next forecast after it and the last
+    one before: no pairs of targets and forecasts are formed, however many a key has.
     """
-    dekad, target = F.col("PRED_DEKAD"), F.col("TARGET_DEKAD")
-    late = dekad < target
-    rank = F.struct(late.alias("late"), F.when(late, -dekad).otherwise(dekad).alias("dekad"),
-                    parse_date("PRED_DATE").alias("date"), F.col("YIELD_PRED").alias("value"))
-    joined = targets.select(*keys, "TARGET_DEKAD").join(
-        forecasts.select(*keys, "PRED_DEKAD", "PRED_DATE", "YIELD_PRED"), list(keys))
-    return joined.groupBy(*keys, "TARGET_DEKAD").agg(
-        F.min_by("YIELD_PRED", rank).alias("YIELD_PRED_MCYFS"),
-        F.min_by("PRED_DEKAD", rank).alias("PRED_DEKAD"),
-    )
+    keys = list(keys)
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    issued = forecasts.filter(known & F.col("PRED_DEKAD").isNotNull()).groupBy(
+        *keys, "PRED_DEKAD").agg(F.min(F.struct(
+            parse_date("PRED_DATE").alias("date"), F.col("YIELD_PRED").alias("value"))).alias("first"))
+    found = F.struct("PRED_DEKAD", F.col("first.value").alias("value"))
+    issued = issued.select(*keys, F.col("PRED_DEKAD").alias("_at"), F.lit(1).alias("_kind"),
+                           found.alias("_found"))
+    asked = targets.filter(known).select(*keys, F.col("TARGET_DEKAD").alias("_at")).distinct().select(
+        *keys, "_at", F.lit(0).alias("_kind"), F.lit(None).alias("_found"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_at"), "_kind")
+    after = F.first("_found", ignorenulls=True).over(
+        order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    before = F.last("_found", ignorenulls=True).over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return asked.unionByName(issued).withColumn("_found", F.coalesce(after, before)).filter(
+        (F.col("_kind") == 0) & F.col("_found").isNotNull()).select(
+        *keys, F.col("_at").alias("TARGET_DEKAD"),
+        F.col("_found.value").alias("YIELD_PRED_MCYFS"), F.col("_found.PRED_DEKAD"))
 
 
 def national_table(predictions: DataFrame, targets: DataFrame, forecasts: DataFrame,

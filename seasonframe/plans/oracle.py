@@ -852,6 +852,63 @@ ORACLE["knn_predictions_whole"] = f"""
                 AS pairs(IDREGION, FYEAR, other_region, other_year, y, d))
     GROUP BY IDREGION, FYEAR"""
 
+# ridge and lasso on the two previous yields; fold -1 trains on all rows
+VIEWS["v_lagged"] = """
+    SELECT *, ntile(5) OVER (ORDER BY IDREGION, FYEAR) - 1 AS fold
+    FROM (SELECT IDREGION, FYEAR, YIELD, lag(YIELD) OVER w AS x1, lag(YIELD, 2) OVER w AS x2
+          FROM v_yields WINDOW w AS (PARTITION BY IDREGION ORDER BY FYEAR))
+    WHERE x1 IS NOT NULL AND x2 IS NOT NULL"""
+VIEWS["v_lagged_sums"] = """
+    SELECT j, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(YIELD) AS my,
+           stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, corr(x1, x2) AS r,
+           covar_pop(x1, YIELD) / stddev_pop(x1) AS c1, covar_pop(x2, YIELD) / stddev_pop(x2) AS c2
+    FROM v_lagged, generate_series(-1, 4) f(j) WHERE fold <> j GROUP BY j"""
+VIEWS["v_lagged_errors"] = """
+    SELECT alpha, j, avg(e * e) AS squared, avg(abs(e)) AS absolute, var_pop(YIELD) AS variance
+    FROM (SELECT l.j, alpha, YIELD, YIELD - my
+              - (k * c1 - r * c2) / (k * k - r * r) * (x1 - m1) / s1
+              - (k * c2 - r * c1) / (k * k - r * r) * (x2 - m2) / s2 AS e
+          FROM (SELECT *, 1 + alpha / n AS k FROM v_lagged_sums,
+                    (VALUES (0.001::DOUBLE), (0.01), (0.1), (1), (10)) t(alpha)) l
+          JOIN v_lagged ON fold = l.j)
+    GROUP BY alpha, j"""
+ORACLE["cv_objectives"] = """
+    SELECT alpha AS ALPHA, OBJECTIVE, round(ERROR, 6) AS ERROR
+    FROM (SELECT alpha, avg(squared) AS MSE, avg(sqrt(squared)) AS RMSE, avg(absolute) AS MAE,
+                 avg(squared / variance) AS R2 FROM v_lagged_errors GROUP BY alpha)
+    UNPIVOT (ERROR FOR OBJECTIVE IN (MSE, RMSE, MAE, R2))"""
+ORACLE["lasso_path"] = """
+    WITH s AS (SELECT *, share * greatest(abs(c1), abs(c2)) AS a FROM v_lagged_sums,
+               (VALUES (1.0::DOUBLE), (0.9), (0.5), (0.1), (0.01), (0)) t(share) WHERE j = -1),
+    -- every pattern of signs, with the coefficients it would have
+    b AS (SELECT s.*, p, q,
+                 CASE WHEN p = 0 THEN 0 WHEN q = 0 THEN c1 - a * p
+                      ELSE (c1 - a * p - r * (c2 - a * q)) / (1 - r * r) END AS b1,
+                 CASE WHEN q = 0 THEN 0 WHEN p = 0 THEN c2 - a * q
+                      ELSE (c2 - a * q - r * (c1 - a * p)) / (1 - r * r) END AS b2
+          FROM s, generate_series(-1, 1) u(p), generate_series(-1, 1) v(q)),
+    best AS (SELECT share, arg_min({'b1': b1, 'b2': b2}, (b1 * b1 + 2 * r * b1 * b2 + b2 * b2) / 2
+                    - c1 * b1 - c2 * b2 + a * (abs(b1) + abs(b2))) AS b FROM b GROUP BY share)
+    SELECT share AS SHARE, 'YIELD-1' AS FEATURE, round(b.b1, 6) AS COEFFICIENT FROM best UNION ALL
+    SELECT share, 'YIELD-2', round(b.b2, 6) FROM best"""
+VIEWS["v_weather_bins"] = """
+    SELECT FEATURE, CASE WHEN hx > lx THEN least(floor((x - lx) / (hx - lx) * 10), 9) ELSE 0 END AS a,
+           CASE WHEN hy > ly THEN least(floor((YIELD - ly) / (hy - ly) * 10), 9) ELSE 0 END AS b
+    FROM (SELECT *, min(x) OVER f AS lx, max(x) OVER f AS hx, min(YIELD) OVER () AS ly,
+                 max(YIELD) OVER () AS hy
+          FROM (FROM v_weather_table WHERE SPLIT = 'train') UNPIVOT INCLUDE NULLS (
+              x FOR FEATURE IN (COLUMNS(* EXCLUDE (IDREGION, FYEAR, SPLIT, YIELD))))
+          WINDOW f AS (PARTITION BY FEATURE))
+    WHERE x IS NOT NULL"""
+ORACLE["mutual_information"] = """
+    SELECT FEATURE, round(sum(n / total * ln(n * total / (of_a * of_b))), 9) AS MI,
+           CAST(any_value(total) AS BIGINT) AS N
+    FROM (SELECT FEATURE, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY FEATURE) AS DOUBLE) AS total,
+                 CAST(sum(n) OVER (PARTITION BY FEATURE, a) AS DOUBLE) AS of_a,
+                 CAST(sum(n) OVER (PARTITION BY FEATURE, b) AS DOUBLE) AS of_b
+          FROM (SELECT FEATURE, a, b, count(*) AS n FROM v_weather_bins GROUP BY ALL))
+    GROUP BY FEATURE"""
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 ORACLE["source_csv"] = """

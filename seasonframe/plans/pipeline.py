@@ -120,11 +120,12 @@ def train_and_predict(table: DataFrame, cfg: RunConfig) -> MLResult:
         features = [f for f in features if f not in previous] + ["YIELD_TREND"]
 
     train = rows.filter(F.col("SPLIT") == "train")
-    ts = training_set(train, features, label, cfg.cv_folds, trend, cfg.parallelism)
+    ts = training_set(train, features, label, cfg.cv_folds, trend, cfg.parallelism,
+                      cfg.scaler)
     predicted, names, selections, params = rows, [], {}, {}
     for spec in specs:
-        picked = select_features(ts, spec, cfg.selectors, trend)
-        model = grid_fit(ts, spec, picked.features)
+        picked = select_features(ts, spec, cfg.selectors, trend, cfg.selection_objective)
+        model = grid_fit(ts, spec, picked.features, objective=cfg.training_objective)
         predicted = model.predict(predicted, f"YIELD_PRED_{spec.name}")
         names.append(spec.name)
         selections[spec.name], params[spec.name] = picked, model.params

@@ -16,8 +16,9 @@ from ..functions import (
 from ..operators import (
     calendars, clean, features, grouped, metrics, models, rollup, season, splits, summary, trend,
 )
-from ..operators.moments import collect_moments, lasso_elimination, ridge_fit
+from ..operators.moments import collect_moments, lasso_elimination, lasso_weights, ridge_fit
 from ..operators.neighbours import knn_predictions
+from ..operators.univariate import mutual_information as information
 from ..sources import readers, writers
 from ..storage import checkpoint_dir, cut
 from . import domain, pipeline
@@ -775,6 +776,47 @@ def experiment_ridge(t):
         *keys, "IDREGION", "FYEAR", "ALPHA", "YIELD", F.round("YIELD_PRED", 6).alias("YIELD_PRED"))
 
 
+def _lagged(t):
+    return trend.lag_columns(t.yields, 2).join(t.yields, ["IDREGION", "FYEAR"])
+
+
+@query("yields")
+def cv_objectives(t):
+    """Validation errors of ridge from the two previous yields, by penalty and objective."""
+    ts = models.training_set(_lagged(t), ["YIELD-1", "YIELD-2"])
+    spec = next(s for s in models.DEFAULT_ESTIMATORS if s.kind == "ridge")
+    grid, names = [{"alpha": a} for a in models.TREND_ALPHAS], [list(ts.features)] * len(ts.folds)
+    return t.spark.createDataFrame(
+        [(float(p["alpha"]), objective, float(e)) for objective in models.OBJECTIVES
+         for p, e in zip(grid, models.cv_errors(ts, spec, grid, names, objective))],
+        "ALPHA double, OBJECTIVE string, ERROR double").withColumn("ERROR", F.round("ERROR", 6))
+
+
+@query("yields")
+def lasso_path(t):
+    """Standardised lasso coefficients of the two previous yields, at shares of the penalty that
+    leaves none."""
+    moments = collect_moments(_lagged(t), ["YIELD-1", "YIELD-2"], "YIELD", "FYEAR")
+    total = moments.total()
+    n = total[0, 0]
+    covariance = total[1:-1, -1] / n - total[1:-1, 0] * total[0, -1] / n**2
+    spread = moments.standardisation()[1] / moments.scale
+    most = float(max(abs(covariance / spread)))
+    return t.spark.createDataFrame(
+        [(share, name, float(b)) for share in (1.0, 0.9, 0.5, 0.1, 0.01, 0.0)
+         for name, b in zip(moments.features, lasso_weights(total, share * most))],
+        "SHARE double, FEATURE string, COEFFICIENT double").withColumn(
+        "COEFFICIENT", F.round("COEFFICIENT", 6))
+
+
+@query("daily", "season", "weather_ready", "calendar", "yields", "weather_table")
+def mutual_information(t):
+    """Information of every weather feature on the yield, over the training rows."""
+    table = t.weather_table
+    found = information(table.filter(F.col("SPLIT") == "train"), _numeric(table), "YIELD")
+    return found.withColumn("MI", F.round("MI", 9))
+
+
 @query("daily", "season", "growth_ready", "weather_ready", "calendar", "yields")
 def lasso_selected(t):
     """Features left by recursive elimination down to 10."""

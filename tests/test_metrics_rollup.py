@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -126,6 +128,32 @@ def test_asof(spark, target, dekad, value):
     assert rows(got, "FYEAR", "PRED_DEKAD", "YIELD_PRED_MCYFS") == [(1, dekad, value)]
 
 
+def test_asof_against_all_pairs(spark):
+    rng = random.Random(6)
+    issued = [(rng.choice([1, 1, 1, 2, None]), rng.choice([*range(1, 37), None]),
+               f"{rng.randint(10, 12)}/03/2001", float(rng.randint(1, 5))) for _ in range(400)]
+    asked = [(rng.choice([1, 2, 3, None]), rng.choice([*range(-3, 40), None])) for _ in range(120)]
+    got = rollup.asof_forecast(
+        spark.createDataFrame(asked, "FYEAR int, TARGET_DEKAD int"),
+        spark.createDataFrame(issued, "FYEAR int, PRED_DEKAD int, PRED_DATE string, YIELD_PRED double"))
+    want = []
+    for year, target in set(asked):
+        own = [(d < (target or -9), -d if d < (target or -9) else d, p, v, d)
+               for y, d, p, v in issued if y == year and year is not None and d is not None]
+        want += [(year, target, min(own)[3], min(own)[4])] if own else []
+
+    def key(r):
+        return [(v is not None, v or 0) for v in r]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_asof_empty(spark):
+    targets = spark.createDataFrame([(1, 12.0)], "FYEAR int, TARGET_DEKAD double")
+    assert rollup.asof_forecast(targets.limit(0), forecasts(spark)).count() == 0
+    assert rollup.asof_forecast(targets, forecasts(spark).limit(0)).count() == 0
+
+
 def test_national_comparison(spark):
     pred = spark.createDataFrame(
         [("NL", y, a, 50.0 + y + d) for y in (1, 2, 3) for a, d in (("u", 0.0), ("v", 5.0))],

@@ -35,7 +35,8 @@ def test_every_query_has_sql_but_the_models():
 @pytest.mark.parametrize("name", [
     "date_parts", "season_bounds", "season_bounds_global", "growth_prepared", "weather_dekadal",
     "calendar_summary", "weather_features", "split_growth_features", "optimal_window",
-    "contiguous_folds", "prediction_scores", "national_scores", "season_features",
+    "contiguous_folds", "prediction_scores", "national_scores", "season_features", "forecast_asof",
+    "cv_objectives", "lasso_path", "mutual_information",
 ])
 def test_spark_and_sql_agree(spark, con, name):
     text, ok = compare(spark, con, name, SF)
