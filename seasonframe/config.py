@@ -43,7 +43,7 @@ class RunConfig:
     compare_with_forecast: bool = False
     # season ends from the first and last year of the whole table instead of each region's own
     global_year_bounds: bool = False
-    debug_level: int = 0
+    debug_level: int = 0  # above 0 results carry the row count after each joining step
     # machine learning
     test_fraction: float = 0.3
     cv_folds: int = 5

@@ -99,6 +99,7 @@ class MLResult:
     selections: dict        # algorithm -> Selection
     params: dict            # algorithm -> chosen parameters
     national: tuple[DataFrame, DataFrame] | None = None  # see run_comparison
+    row_counts: dict | None = None  # rows after each joining step, with debug_level above 0
 
     @property
     def test(self) -> DataFrame:
@@ -155,11 +156,15 @@ def run(spark: SparkSession, cfg: RunConfig) -> MLResult:
     if cfg.use_saved_features:
         return run_from_features(spark, cfg)
     parts = split_sources(preprocess(readers.load_all(spark, cfg), cfg), cfg)
-    table = feature_table(parts, summarise(parts, cfg)["CALENDAR"], cfg)
+    counts = {} if cfg.debug_level > 0 else None
+    table = feature_table(parts, summarise(parts, cfg)["CALENDAR"], cfg, counts)
     if cfg.save_features:
         table = cut(table)
         writers.save_features(table, cfg.output_path, cfg, cfg.file_format)
-    return _finish(spark, train_and_predict(table, cfg), cfg)
+    result = train_and_predict(table, cfg)
+    if counts is not None:  # observed while the table was written, by no job of their own
+        result = replace(result, row_counts={n: o.get["rows"] for n, o in counts.items()})
+    return _finish(spark, result, cfg)
 
 
 def run_from_features(spark: SparkSession, cfg: RunConfig) -> MLResult:

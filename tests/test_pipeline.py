@@ -92,6 +92,17 @@ def test_trend_residuals_and_saved_predictions(spark, cfg):
     assert "YIELD_PRED_Ridge" in wide.columns and scores.count() == 2
 
 
+def test_objective_scaler_and_row_counts(spark, cfg):
+    run = cfg.updated(estimators=SMALL[:2], cv_folds=1, use_yield_trend=True, trend_windows=(3,),
+                      save_features=False, selectors=("rfe_lasso", "mutual_info"), debug_level=1,
+                      scaler="minmax", selection_objective="MAE", training_objective="R2")
+    result = pipeline.run(spark, run)
+    assert {r["ALG"] for r in result.scores.collect()} == {"Ridge", "KNN", "trend"}
+    assert set(result.selections["Ridge"].scores) == {"rfe_lasso", "mutual_info", "combined"}
+    assert list(result.row_counts)[-3:] == ["YIELD", "SOIL", "CENTROIDS"]
+    assert result.row_counts["CENTROIDS"] == result.predictions.count() > 0
+
+
 def test_early_season(spark, cfg):
     run = cfg.updated(early_season_prediction=True, early_season_end_dekad=-12,
                       use_remote_sensing=False, use_centroids=False)
