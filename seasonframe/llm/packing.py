@@ -4,8 +4,8 @@ Lengths are integers up to the capacity, so a histogram of at most `capacity` nu
 whole corpus and the packing is planned on it, however many rows there are:
 
 1. Large lengths are put into groups of equal cardinality and rounded up to the group's largest.
-2. Over these few sizes the configurations (what a sequence holds together) are optimised as a
-   linear program by column generation and rounded down; the rest is filled greedily.
+2. Over these few sizes all configurations (what a sequence holds together) are listed, their linear
+   program is optimised by the simplex method and rounded down; the rest is filled greedily.
 3. Real lengths take the places of the rounded ones, which leaves exact gaps.
 4. Small lengths go into the gaps best-fit, longest first, and then into new sequences.
 
@@ -59,7 +59,9 @@ def _configurations(sizes: list[int], capacity: int) -> np.ndarray:
 
 
 def _solve(configurations: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest (fractional) sequences that meet the demand: revised simplex over all columns."""
+    """Fewest (fractional) sequences that meet the demand: revised simplex over all columns.
+
+    After 50 steps a size the sequences so far are taken: they meet the demand at every step."""
     singles = [int(np.flatnonzero((configurations.sum(axis=1) == 1) & (configurations[:, i] == 1))[0])
                for i in range(len(demand))]
     basis, matrix = np.array(singles), configurations.T.astype(float)
