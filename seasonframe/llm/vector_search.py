@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 BLOCK_BYTES = 64 << 20
+QUERIES_AT_ONCE, PAIRS_AT_ONCE = 64, 8192
 LEVELS = (1, 4, 16)
 
 
@@ -27,39 +28,78 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([means * root, spread * root], axis=1)
 
 
-def _exact(rows: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
-    """Integer inner products; beyond the range of doubles with Python's integers, kept in 64 bits."""
+def _exact(queries: np.ndarray, rows: np.ndarray, small: bool) -> np.ndarray:
+    """Integer inner products of pairs (last axis); beyond the range of doubles with Python's
+    integers, kept in 64 bits."""
     if small:
-        return (rows @ query).astype(np.int64)
-    sums = rows.astype(object) * np.array([int(v) for v in query], object)
-    return np.array([min(max(sum(map(int, r)), -2**63), 2**63 - 1) for r in sums], np.int64)
+        return np.einsum("...d,...d->...", queries, rows).astype(np.int64)
+    whole = np.frompyfunc(int, 1, 1)
+    sums = (whole(queries) * whole(rows)).sum(axis=-1) if rows.shape[-1] else np.zeros(rows.shape[:-1])
+    return np.clip(sums, -2**63, 2**63 - 1).astype(np.int64)
+
+
+def _reached(bound, left, queries, rows, k: int, small: bool) -> np.ndarray:
+    """For every query a score that k of the rows left reach, -inf if too few are found. Rows are
+    parted into 2 k groups (one row each, if fewer), and the most promising of each is scored."""
+    edges = np.linspace(0, bound.shape[1], min(2 * k, bound.shape[1]) + 1).astype(int)
+    if len(edges) <= k:
+        return np.full(len(bound), -np.inf)
+    open_ = np.where(left, bound, -np.inf)
+    best = np.stack([open_[:, a:b].argmax(axis=1) + a for a, b in zip(edges, edges[1:])], axis=1)
+    scores = _exact(queries[:, None], rows[best], small).astype(float)
+    scores[~np.take_along_axis(left, best, axis=1)] = -np.inf
+    floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+    return np.where(floor <= -2.0**63, -np.inf, floor)  # what is held there ties, whatever its bound
+
+
+def _best(of: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores of each query, ties to the smaller id."""
+    order = np.lexsort((ids, ~scores, of))  # ~ turns the order round within 64 bits
+    place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+    return order[place < k]
 
 
 def block_top(query_ids, queries, row_ids, rows, k: int) -> pd.DataFrame:
-    """The k best rows of a block for every query, ties to the smaller id."""
+    """The k best rows of a block for every query, ties to the smaller id.
+
+    Bounds, floors and scores are taken for many queries at once, as matrix products. Queries with
+    like means go together, and rows that none of them needs are left out of finer levels.
+    """
     out = []
     peak = max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0))
-    small = peak * peak * max(rows.shape[1], 1) < 2**53
-    statistics = [(segment_statistics(queries, n), segment_statistics(rows, n)) for n in LEVELS]
-    for i, query_id in enumerate(query_ids):
-        left = np.flatnonzero(row_ids != query_id)
-        floor = None
-        for of_query, of_rows in statistics:
-            bound = of_rows[left] @ of_query[i]
-            bound += 1e-9 * (1 + np.abs(bound))
-            if floor is not None:
-                left, bound = left[bound >= floor], bound[bound >= floor]
-            if len(left) > k:  # the k most promising give a score that the rest must reach
-                likely = left[np.argpartition(-bound, k - 1)[:k]]
-                reached = int(_exact(rows[likely], queries[i], small).min())
-                floor = reached if floor is None else max(floor, reached)
-                left = left[bound >= floor]
-        scores = _exact(rows[left], queries[i], small)
-        if small:
-            best = np.lexsort((row_ids[left], -scores))[:k]
+    largest = peak * peak * max(rows.shape[1], 1)
+    small = largest < 2**53
+    kind = np.float32 if largest < 2**24 else np.float64  # sums of whole numbers are exact
+    # the last product is more than the others may be off by, even where their terms cancel
+    off = 1e3 * np.finfo(kind).eps
+    statistics = [tuple(np.column_stack([segment_statistics(side, n), weight * np.linalg.norm(
+        side, axis=1)]).astype(kind) for side, weight in ((queries, off), (rows, 1))) for n in LEVELS]
+    near = np.lexsort(statistics[1][0][:, ::-1].T)
+    queries, rows = queries.astype(kind), rows.astype(kind)
+    for at in range(0, len(near), QUERIES_AT_ONCE):
+        some = near[at:at + QUERIES_AT_ONCE]
+        asked, floor, there = queries[some], np.full(len(some), -np.inf), np.arange(len(rows))
+        left = row_ids != query_ids[some][:, None]
+        for of_queries, of_rows in statistics:
+            bound = of_queries[some] @ of_rows[there].T
+            left &= ~(bound < floor[:, None])
+            floor = np.maximum(floor, _reached(bound, left, asked, rows[there], k, small))
+            left &= ~(bound < floor[:, None])
+            needed = left.any(axis=0)
+            if 4 * np.count_nonzero(needed) < 3 * len(needed):
+                there, left = there[needed], left[:, needed]
+        if small and 16 * np.count_nonzero(left) > left.size:
+            found = asked @ rows[there].T
+            of, which = np.nonzero(left & (found >= floor[:, None]))
+            scores = found[of, which].astype(np.int64)
         else:
-            best = sorted(range(len(left)), key=lambda t: (-int(scores[t]), row_ids[left[t]]))[:k]
-        out.append(pd.DataFrame({"query_id": query_id, "vec_id": row_ids[left][best],
+            of, which = np.nonzero(left)
+            parts = [slice(i, i + PAIRS_AT_ONCE) for i in range(0, len(of), PAIRS_AT_ONCE)]
+            scores = np.concatenate([np.empty(0, np.int64)] + [
+                _exact(asked[of[x]], rows[there[which[x]]], small) for x in parts])
+        ids = row_ids[there[which]]
+        best = _best(of, ids, scores, k)
+        out.append(pd.DataFrame({"query_id": query_ids[some][of[best]], "vec_id": ids[best],
                                  "score": scores[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 

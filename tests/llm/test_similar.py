@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import pytest
 import corpus_pipeline
 import seasonframe.llm.importance as importance
 import seasonframe.llm.near_dedup as near
+import seasonframe.llm.vector_search as vector_search
 from seasonframe.llm.components import connected_components
 from seasonframe.llm.decontaminate import benchmark_hits, least_hits
 from seasonframe.llm.hashing import shingles, words
@@ -228,6 +230,61 @@ def test_scores_beyond_doubles_are_exact():
 
 # quality sampling
 
+def plain_top(query_ids, queries, row_ids, rows, k):
+    out = []
+    for query_id, query in zip(query_ids, queries):
+        scores = [min(max(sum(int(x) * int(y) for x, y in zip(query, row)), -2**63), 2**63 - 1)
+                  for row in rows]
+        out += [(int(query_id), int(i), -s) for s, i in sorted(
+            (-s, i) for s, i in zip(scores, row_ids) if i != query_id)[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1, 64, 4000, 2.0**30, 2.0**61])
+def test_block_top_against_plain_scores(scale):
+    """Ties, copies, ids that repeat and components whose products no double holds."""
+    rng = np.random.default_rng(7)
+    for trial in range(30):
+        d, n, k = int(rng.choice([1, 3, 17, 40])), int(rng.integers(0, 120)), int(rng.choice([1, 3, 20]))
+        rows = np.floor(rng.normal(size=(n, d)) * scale)
+        if trial % 3 == 0:
+            rows[n // 2:] = rows[:n - n // 2]
+        ids = rng.permutation(2 * n)[:n] if trial % 2 else rng.integers(0, n // 2 + 1, n)
+        query_ids = rng.permutation(2 * n + 9)[:9]
+        queries = rows[rng.integers(0, n, 9)] if n and trial % 4 else np.floor(rng.normal(size=(9, d)) * scale)
+        got = block_top(query_ids, queries, ids, rows, k)
+        assert sorted(zip(*(got[c].tolist() for c in ("query_id", "vec_id", "score")))) == plain_top(
+            query_ids, queries, ids, rows, k)
+
+
+def test_bounds_of_like_vectors_leave_few_pairs_to_score(monkeypatch):
+    """Queries whose rows are few, all in one of many groups, are scored with little else."""
+    rng = np.random.default_rng(8)
+    rows = np.repeat(np.floor(rng.choice([-60, 60], (200, 16))).repeat(4, axis=1), 30, axis=0)
+    rows += rng.integers(-2, 3, rows.shape)
+    scored, exact = [], vector_search._exact
+    monkeypatch.setattr(vector_search, "_exact", lambda q, r, small: (
+        scored.append(np.prod(np.broadcast_shapes(q.shape, r.shape)[:-1])), exact(q, r, small))[1])
+    queries = np.arange(0, len(rows), 100)
+    got = block_top(queries, rows[queries], np.arange(len(rows)), rows, 20)
+    assert (got["vec_id"].to_numpy() // 30 == got["query_id"].to_numpy() // 30).all()
+    assert 0 < sum(scored) < 0.2 * len(queries) * len(rows)
+
+
+def test_queries_share_their_steps():
+    """On vectors that no bound tells apart, too: no chain of small calls for every query."""
+    rng = np.random.default_rng(9)
+    rows, queries = np.floor(rng.normal(size=(4096, 64)) * 8), np.floor(rng.normal(size=(512, 64)) * 8)
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, argument: calls.update([event]))
+    try:
+        got = block_top(-1 - np.arange(512), queries, np.arange(4096), rows, 20)
+    finally:
+        sys.setprofile(None)
+    assert len(got) == 512 * 20
+    assert calls["call"] + calls["c_call"] < 40 * 512
+
+
 def test_kth_largest(spark):
     rng = random.Random(8)
     values = [rng.randint(-2**62, 2**62) for _ in range(200)] + [-1, 0, 0, 0, 1, 5, -2**63, 2**63 - 1]
