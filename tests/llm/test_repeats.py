@@ -1,15 +1,19 @@
 """Suffix arrays against sorted suffixes, and removal of repeated strings against a plain count."""
 
 import hashlib
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from seasonframe.llm import repeats
 from seasonframe.llm import suffix_array as module
 from seasonframe.llm.repeats import cover, repeats_report, widths, without_repeats
 from seasonframe.llm.suffix_array import permuted_common_prefixes, suffix_array
 from seasonframe.llm.workers import importable
+from seasonframe.storage import cut
 
 
 @pytest.mark.parametrize("symbols", [3, 1024])
@@ -31,6 +35,33 @@ def test_suffix_array_and_common_prefixes(monkeypatch, symbols):
             assert data[i:i + n] == data[j:j + n] and data[i + n:i + n + 1] != data[j + n:j + n + 1]
 
 
+def test_common_prefixes_do_not_depend_on_how_many_are_compared_at_once(monkeypatch):
+    text = np.random.default_rng(2).integers(0, 3, 5000).astype(np.uint8)
+    order = suffix_array(text)
+    want = permuted_common_prefixes(text, order)
+    monkeypatch.setattr(module, "COMPARED", 7)
+    for a, b in zip(permuted_common_prefixes(text, order), want):
+        assert a.tolist() == b.tolist()
+
+
+def test_memory_of_a_shard():
+    """A worker keeps what a shard took, so it counts for all that follows."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(97, 123, (3000, 8)).astype(np.uint8)
+    text = words[rng.integers(0, 3000, 1 << 16)].ravel()
+    suffix_array(text)  # what is kept for the next shard is there
+    tracemalloc.start()
+    try:
+        order = suffix_array(text)
+        sorting = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        permuted_common_prefixes(text, order)
+        comparing = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(sorting, comparing) < 40 * len(text)
+
+
 def test_suffix_array_of_nothing():
     assert suffix_array(np.empty(0, np.uint8)).tolist() == []
 
@@ -96,3 +127,28 @@ def test_rest_keeps_other_columns_and_empty_tables(spark):
            for r in without_repeats(docs, 30).collect()}
     assert got == {1: (b"ab", 5), 2: (b"cd", 6), 3: (None, 7), 4: (b"x", 8)}
     assert repeats_report(docs.limit(0), 30).count() == 0
+
+
+def python_steps(plan: str) -> int:
+    """Most Python steps that one task runs at the same time, each in a worker of its own."""
+    above, most = [], 0  # (depth, steps) from the root to the line before
+    for line in plan.splitlines():
+        depth = re.search(r"[A-Za-z(]|\Z", line.replace("*(", "  ")).start()
+        while above and above[-1][0] >= depth:
+            above.pop()
+        steps = 0 if "Exchange" in line or not above else above[-1][1]
+        steps += bool(re.search(r"MapIn|FlatMapGroups|EvalPython", line))
+        above.append((depth, steps))
+        most = max(most, steps)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    importable(spark)
+    plans = []
+    monkeypatch.setattr(repeats, "cut", lambda df: plans.append(df) or cut(df))
+    docs = spark.createDataFrame([(i, word * 9) for i, word in enumerate(["abcde", "bcdea", "x"])],
+                                 "doc_id long, text string")
+    plans.append(repeats_report(docs, 10))
+    found = [python_steps(p._jdf.queryExecution().executedPlan().toString()) for p in plans]
+    assert max(found) == 1
