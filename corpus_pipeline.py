@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seasonframe.llm.decontaminate import benchmark_hits
 from seasonframe.llm.language_id import UNKNOWN, predict_language, train_model
+from seasonframe.llm.membership import may_be_among
 from seasonframe.llm.near_dedup import near_duplicates
 from seasonframe.llm.packing import packed_documents
 from seasonframe.llm.secrets import redact_secrets
@@ -35,21 +37,52 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.col(found) != UNKNOWN).select(docs.columns)
 
 
+def _worded() -> Column:
+    """Whether the text has a word, as near_duplicates takes words."""
+    return F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def _hashed(*first: int) -> Column:
+    return F.xxhash64(*map(F.lit, first), "text")
+
+
+def _text_keys(docs: DataFrame) -> tuple[Column, DataFrame]:
+    """64 bits of the text that tell apart all texts with a word (as 128 bits do), and a table of
+    those texts: key, rows that have it, least doc_id."""
+    for seed in count():
+        key = _hashed(seed)
+        texts = cut(docs.where(_worded()).select(key.alias("key"), _hashed(seed, 1).alias("other"),
+                                                 "doc_id")
+                    .groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high"),
+                                        F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")))
+        if texts.where("low != high").isEmpty():
+            return key, texts.drop("low", "high")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, 80 % shared) stays.
 
-    Rows are judged by a key of their own, so those that repeat a doc_id or have none are rows
-    like any other. The row with the smallest doc_id stays, before those without one.
+    Groups are found by the text alone, so rows that repeat a doc_id or have none are rows like any
+    other; all texts without a word stay. The row with the smallest doc_id stays, before those
+    without one. Rows alone in their group, which a filter tells, are not shuffled.
     """
     importable(spark)
-    row = _free("_row", docs)
-    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so keys are fixed
-    found = near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"))
-    placed = found.select(F.col("doc_id").alias(row), "component_id").join(
-        keyed.select(row, "doc_id"), row)
-    first = placed.groupBy("component_id").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first"))
-    return keyed.join(first.select(f"first.{row}"), row, "left_semi").select(docs.columns)
+    key, texts = _text_keys(docs)
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    placed = found.where("n_shingles > 0").select(
+        F.col("doc_id").alias("key"), "component_id").distinct().join(texts, "key")
+    groups = placed.groupBy("component_id").agg(F.sum("rows").alias("all"), F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    name = _free("_key", docs)
+    shared = cut(placed.join(groups.where("all > 1"), "component_id").select(
+        F.col("key").alias(name), (F.col("key") != F.col("first.key")).alias("goes")))
+    likely = _worded() & may_be_among(shared, name)(key)
+    rest = [F.col(f.name) for f in docs.schema.fields if f.name not in ("doc_id", "text")
+            and "map<" not in f.dataType.simpleString()]
+    of_text = docs.where(likely).groupBy(key.alias(name)).agg(F.min_by(
+        F.struct(*docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id", *rest)).alias("row"))
+    return docs.where(~likely).unionByName(
+        of_text.join(shared.where("goes"), name, "left_anti").select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

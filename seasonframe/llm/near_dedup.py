@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from seasonframe.llm.components import connected_components
 from seasonframe.llm.hashing import minhash, mix, odd_factors, shingles, words
+from seasonframe.llm.membership import may_be_among
 from seasonframe.storage import cut
 
 BANDS, ROWS = 40, 5
@@ -239,7 +240,9 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80,
     best = shared.groupBy("rep").agg(F.max(F.struct("c", -F.col("leader"))).alias("best"))
     pairs = best.select((-F.col("best.col2")).alias("a"), F.col("rep").alias("b"))
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(_texts(documents).join(involved, "doc_id", "left_semi").mapInArrow(
+    likely = may_be_among(involved, "doc_id")  # so that other texts are not shuffled
+    sets = cut(_texts(documents).where(F.col("doc_id").isNotNull() & likely(F.col("doc_id")))
+               .distinct().join(involved, "doc_id", "left_semi").mapInArrow(
         _describe(n, True), "doc_id long, n_shingles long, a binary, b binary").select(
         F.col("doc_id").alias("rep"), F.col("a").alias("sig"), F.col("b").alias("set")))
 

@@ -1,8 +1,13 @@
 """Each stage, and run, with null and repeated ids, clashing names and empty tables."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
+
+import seasonframe.llm.membership as membership
+from seasonframe.storage import checkpoint_dir
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -56,6 +61,74 @@ def test_near_dedup_by_row(spark, sf_dir):
     assert 0 not in got and 3 not in got
 
 
+def plain_near_dedup(rows):
+    """Numbers of the rows that stay, of (doc_id, text) in which every doc_id and text is its own,
+    comes with equal rows only, or has no doc_id."""
+    sets = {}
+    for i, (_, text) in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for i in sets:
+        for k in range(i):
+            both = sets[i] & sets[k]
+            if both and 100 * len(both) >= 80 * len(sets[i] | sets[k]) and group[i] != group[k]:
+                old = group[i]
+                group = {x: group[k] if g == old else g for x, g in group.items()}
+    first = {}
+    for i, g in group.items():
+        rank = (rows[i][0] is None, rows[i][0] or 0, i)
+        first[g] = min(first.get(g, rank), rank)
+    return [rank[2] for rank in first.values()]
+
+
+def many_texts(seed, words_each=60):
+    """Texts alone, in copies, in near copies, and without a word; ids ascend against the rows."""
+    rng, out = random.Random(seed), []
+    for g in range(25):
+        base = sentence(f"{seed} {g}", words_each).split()
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            out.append(" ".join(rng.choice([base, base[:-1], base[1:]])))
+    out += [None, None, "", "", " \n", "\u00a0", "\u00a0"]
+    return [(None if i % 11 == 5 else 1000 - i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_near_dedup_against_a_plain_version(spark, monkeypatch, bits):
+    """With 64 bits the filter lets every row through, and the joins decide alone."""
+    monkeypatch.setattr(membership, "FILTER_BITS", bits)
+    rows = many_texts(bits)
+    got = kept(corpus_pipeline.near_dedup(spark, docs_of(spark, rows).repartition(5), ""))
+    want = plain_near_dedup(rows)
+    both = [sorted((str(rows[i][0]), str(rows[i][1])) for i in x) for x in (got, want)]
+    assert both[0] == both[1] and len(want) < len(rows)
+
+
+def test_near_dedup_writes_and_shuffles_no_copy_of_all_texts(spark):
+    """Tables written on the way are smaller than the texts; the result shuffles likely rows only."""
+    rows = [(i, sentence(f"long {i}", 6000)) for i in range(30)] + [(99, sentence("long 3", 6000))]
+    size = sum(len(t) for _, t in rows)
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    got = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), "")
+    assert sum(p.stat().st_size for p in folder.rglob("*.parquet")) - before < size / 4
+    assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(range(30))
+
+
+def test_text_keys_that_collide_are_dealt_anew(spark, monkeypatch):
+    true = corpus_pipeline._hashed
+    monkeypatch.setattr(corpus_pipeline, "_hashed", lambda *first: F.lit(5).cast("long")
+                        if first == (0,) else true(*first))
+    texts = [(1, sentence(51)), (2, sentence(52)), (3, sentence(51))]
+    assert kept(corpus_pipeline.near_dedup(spark, docs_of(spark, texts), "")) == [0, 1]
+
+
+def test_filter_lets_all_keys_through_and_few_others(spark):
+    among = membership.may_be_among(spark.range(0, 5000, 5).toDF("k"), "k")
+    got = {r["id"] for r in spark.range(5000).where(among(F.col("id"))).collect()}
+    assert got >= set(range(0, 5000, 5)) and len(got) < 1010
+
+
 def test_decontaminate_by_row(spark, sf_dir):
     holder = f"{sentence(21)} {ITEM} {sentence(22)}"
     texts = [(1, holder), (1, sentence(23)), (None, holder), (2, sentence(24)), (None, sentence(25)),
